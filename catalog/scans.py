@@ -20,13 +20,14 @@ def scratch(t, name):
     return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_STAMP = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+def stamp():
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 @query("read_telemetry_csv", "SELECT ts, value FROM events")
 def _(t):
     path = scratch(t, "csv")
-    t.events.select(_STAMP.alias("ts"), "value").write.option("header", True).csv(path)
+    t.events.select(stamp().alias("ts"), "value").write.option("header", True).csv(path)
     return readers.read_telemetry_csv(t.spark, path)
 
 
@@ -39,7 +40,7 @@ def _response(columns, values):
 def _(t):
     # one saved response per entity and day
     path = scratch(t, "responses")
-    rows = F.collect_list(F.array(_STAMP, F.col("value").cast("string")))
+    rows = F.collect_list(F.array(stamp(), F.col("value").cast("string")))
     days = t.events.groupBy(F.col("event_type").alias("entity"), F.to_date("ts").alias("day")).agg(rows.alias("rows"))
     days.select("entity", _response(["time", "value"], F.col("rows")).alias("value")).write.partitionBy("entity").text(path)
     return readers.read_query_response(t.spark, path, lines=True).drop("source")
@@ -55,7 +56,7 @@ def _(t):
     path = scratch(t, "states")
     k = F.col("k")
     row = F.array(
-        _STAMP,
+        stamp(),
         F.col("value").cast("string"),
         F.when(k < 90, (k / 4.0).cast("string")).otherwise("unavailable"),
         F.when(k < 50, "auto").otherwise("low"),
