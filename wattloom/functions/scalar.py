@@ -151,6 +151,11 @@ def watts(x: Column | str) -> Column:
     return F.bround(_col(x), 0).cast("long").cast("string")
 
 
+def fixed_text(x: Column | str, digits: int = 1) -> Column:
+    """Text with a fixed number of digits, halves to even."""
+    return F.format_string(f"%.{digits}f", F.bround(_col(x), digits))
+
+
 def range_text(lo: Column | str, hi: Column | str) -> Column:
     return F.concat(watts(lo), F.lit("-"), watts(hi), F.lit("W"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.functions.scalar import flag
+from wattloom.functions.scalar import fixed_text, flag
 from wattloom.operators.joins import asof_join
 from wattloom.series import Series
 
@@ -122,7 +122,12 @@ def policy_v2(df: DataFrame, comfort: Comfort = Comfort(), units: str = "units")
         )
         .when(
             s == "stability",
-            F.format_string("Stabilitäts-Targeting: %s aktiviert (Ziel >%.0fW, σ=%.0fW).", "_off.name", "min_stable_power", "power_std"),
+            F.format_string(
+                "Stabilitäts-Targeting: %s aktiviert (Ziel >%sW, σ=%sW).",
+                "_off.name",
+                fixed_text("min_stable_power", 0),
+                fixed_text("power_std", 0),
+            ),
         )
         .when(s == "nudge", F.format_string("Gradual Nudge: %s um 0.3°C angepasst zur Stabilisierung.", "_on.name"))
         .when(~unstable & ~low, "System stabil und effizient.")
@@ -185,29 +190,30 @@ def room_decisions(rules: Rules = Rules()) -> Column:
     delta, target, on = F.col("delta"), F.col("target_temp"), F.col("is_on")
     unit = F.col("unit_id").cast("string")
     # fixed values: texts of the decisions
+    d1 = fixed_text(delta, 1)
     night = F.col("is_night") & on & (delta >= r.night_slack)
     hot = (F.col("operating_mode") == "heat") & (delta > r.overheating) & on
     raised = F.least(target + r.step, F.lit(r.target_max))
     lowered = F.greatest(target - r.step, F.lit(r.target_min))
     cold, warm = delta < -r.cold, delta > r.warm
-    too_cold = F.format_string("Too cold (%.1fK)", delta)
-    turn_off = F.when(night, _action("turn_off", F.format_string("Night mode (Δ=%.1fK, ok to turn off)", delta))).when(
-        hot, _action("turn_off", F.format_string("Overheating (%.1fK above target)", delta))
+    too_cold = F.format_string("Too cold (%sK)", d1)
+    turn_off = F.when(night, _action("turn_off", F.format_string("Night mode (Δ=%sK, ok to turn off)", d1))).when(
+        hot, _action("turn_off", F.format_string("Overheating (%sK above target)", d1))
     )
     comfort = (
         F.when(
             cold & ~on,
-            _action("turn_on", F.format_string("Too cold (%.1fK), unit=%s", delta, unit), unit=unit),
+            _action("turn_on", F.format_string("Too cold (%sK), unit=%s", d1, unit), unit=unit),
         )
         .when(cold & (raised != target), _action("adjust_target", too_cold, target, raised))
         .when(
             ~cold & warm & on & (lowered != target),
-            _action("adjust_target", F.format_string("Too warm (%.1fK)", delta), target, lowered),
+            _action("adjust_target", F.format_string("Too warm (%sK)", d1), target, lowered),
         )
     )
     load = F.when(
         (F.col("power") < r.low_power) & ~on & (delta < -0.5),
-        _action("turn_on", F.format_string("Stability targeting (power=%.0fW)", "power"), unit=unit),
+        _action("turn_on", F.format_string("Stability targeting (power=%sW)", fixed_text("power", 0)), unit=unit),
     )
     return F.when(night | hot, F.array_compact(F.array(turn_off))).otherwise(F.array_compact(F.array(comfort, load)))
 
