@@ -62,13 +62,15 @@ _CAUSAL = f"""{_FILLED}, ca AS (SELECT site_id, ts, us, power, stddev_samp(power
 CAUSAL = ops.causal_feature_names(ROOMS)
 
 
+# not rounded: integers, and plain differences of readings
+exact = ("any_target_changed", "is_weekend", "power", "power_level", "outdoor_temp", "outdoor_temp_norm", "outdoor_temp_change", "delta_eg", "delta_eg_abs", "total_delta_abs")
+
+
 def _r6(names):
-    exact = ("any_target_changed", "is_weekend", "power", "power_level")
     return ", ".join(c if c in exact else f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in names)
 
 
 def _rounded6(df, names):
-    exact = ("any_target_changed", "is_weekend", "power", "power_level")
     return df.withColumns({c: F.round(c, 6) + 0.0 for c in names if c not in exact})
 
 

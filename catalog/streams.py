@@ -1 +1,97 @@
+"""Streaming counterparts, fed from the table's own files."""
 
+from pyspark.sql import functions as F
+
+from catalog.cycling import CYCLES
+from catalog.joins import ZONES, zones
+from catalog.observing import OBS
+from catalog.registry import READINGS, TELEMETRY, S, Tables, query, rounded
+from catalog.scans import scratch
+from wattloom.sources import readers
+from wattloom.streaming import live
+
+
+def stream(t: Tables):
+    """The events table as a stream of telemetry."""
+    events = t.spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    ts = F.col("ts").cast("timestamp").alias("ts")
+    value = F.floor(F.col("value") * 10).cast("double").alias("value")
+    return events.select(F.col("event_type").alias("entity_id"), ts, value, (F.col("user_id") % 10).alias("site_id"))
+
+
+def drain(t, df, name, mode="append"):
+    """Run the stream to its end and read back what it wrote."""
+    path = scratch(t, name)
+    live.append_stream(df, f"{path}/out", f"{path}/checkpoint", mode).awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
+@query(
+    "stream_resample",
+    f"""WITH {TELEMETRY}, b AS (SELECT entity_id, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket, avg(value) AS value FROM telemetry GROUP BY 1, 2)
+    SELECT * FROM b WHERE epoch_us(bucket) + 3600000000 <= ((SELECT max(us) FROM telemetry) - 7200000000) // 1000 * 1000""",
+)
+def _(t):
+    df = live.stream_resample(stream(t).drop("site_id"), S, "1 hour", "2 hours")
+    return drain(t, df, "resample")
+
+
+@query("stream_observer", f"WITH {TELEMETRY}, {OBS} SELECT entity_id, ts, value, round(score, 6) AS instability_score, score > 0.6 AS is_cycling FROM obs")
+def _(t):
+    df = live.stream_observer(stream(t), S)
+    return rounded(drain(t, df, "observer").drop("cycling_risk"), "instability_score")
+
+
+@query("stream_cycles", f"WITH {TELEMETRY}, {CYCLES} SELECT * FROM cycles")
+def _(t):
+    return rounded(drain(t, live.stream_cycles(stream(t), S, on=300, off=150), "cycles"), "avg_power")
+
+
+@query(
+    "stream_stability_emergency",
+    f"""WITH {TELEMETRY}, m AS (SELECT entity_id, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS b, avg(value) AS v FROM telemetry GROUP BY 1, 2),
+      e AS (SELECT entity_id, v, epoch_us(b) // 600000000 - i AS n FROM m, range(18) r(i)),
+      w AS (SELECT entity_id, make_timestamp(n * 600000000) AS start, make_timestamp(n * 600000000 + 10800000000) AS "end", count(v) AS points, stddev_samp(v) AS sd, max(v) - min(v) AS power_range FROM e GROUP BY entity_id, n)
+    SELECT entity_id, start, "end", points, round(sd, 6) AS power_std, power_range, coalesce(points >= 5 AND (sd > 300 OR power_range > 800), false) AS stability_emergency FROM w
+    WHERE epoch_us("end") <= ((SELECT max(us) FROM telemetry) - 7200000000) // 1000 * 1000""",
+)
+def _(t):
+    df = live.stream_stability_emergency(stream(t), S, "10 minutes", "3 hours", "2 hours")
+    return rounded(drain(t, df, "emergency"), "power_std")
+
+
+@query(
+    "stream_zone_flag",
+    f"""WITH {TELEMETRY}, {ZONES} SELECT entity_id, ts, value, EXISTS (SELECT 1 FROM zones z WHERE z.entity_id = t.entity_id AND t.value BETWEEN z.lo AND z.hi) AS in_unstable FROM telemetry t""",
+)
+def _(t):
+    df = live.stream_zone_flag(stream(t).drop("site_id"), zones(t), ("entity_id",))
+    return drain(t, df, "zones")
+
+
+@query(
+    "stream_episode_sink",
+    f"""WITH {READINGS} SELECT site_id, ts, floor(value * 10) AS power, -(floor(value * 10) / 500) AS energy FROM readings""",
+)
+def _(t):
+    power = F.col("value")
+    none = F.lit(None)
+    df = stream(t).select(
+        F.col("site_id").cast("long").alias("site_id"),
+        "ts",
+        F.struct(power.alias("power"), none.cast("double").alias("outdoor_temp"), F.lit(0.0).alias("total_delta_abs"), none.cast("map<string,double>").alias("rooms")).alias("state"),
+        F.struct((-(power / 500)).alias("total"), F.lit(0.0).alias("comfort"), F.lit(0.0).alias("stability"), (-(power / 500)).alias("energy")).alias("reward"),
+    )
+    path = scratch(t, "episodes")
+    live.stream_episode_sink(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    back = readers.read_episodes(t.spark, f"{path}/out")
+    return back.select("site_id", "ts", "state.power", "reward.energy")
+
+
+@query("stream_cooldown")
+def _(t):
+    wanted = stream(t).filter("value > 400").select("entity_id", "site_id", "ts", (F.col("value") > 1000).alias("is_emergency"))
+    from wattloom.series import Series
+
+    df = live.stream_cooldown(wanted, Series(keys=("entity_id", "site_id")), minutes=720, emergency_minutes=300, delay="2 hours")
+    return drain(t, df, "cooldown")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.scalar import coerce_numeric, is_available, is_on
 from wattloom.operators.grids import grid_between
-from wattloom.series import HOME, ORD, SLICE, Series, micros, plain, running, with_neighbours, with_time
+from wattloom.series import ORD, SLICE, Series, micros, plain, running, with_time
 
 
 def outer_align_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -176,11 +176,10 @@ def state_snapshot(
 
 
 def on_off_pairing(df: DataFrame, s: Series, state: str = "state") -> DataFrame:
-    """Every switch-on with the first switch-off after it."""
-    near = with_neighbours(df, s, back=1).withColumn("_chg", F.col(state) - F.lag(state).over(s.window))
-    near = near.filter(HOME).drop(HOME)
-    paired = running(near, s, upcoming={"off_time": F.when(F.col("_chg") == -1, F.col(s.ts))})
-    hits = paired.filter("_chg = 1 and off_time is not null")
+    """Every switch-on with the first switch-off after it: the next row that is off."""
+    off = F.when(F.col(state) == 0, F.col(s.ts))
+    paired = running(df, s, prior={"_was": F.col(state)}, upcoming={"off_time": off})
+    hits = paired.filter((F.col(state) == 1) & (F.col("_was") == 0) & F.col("off_time").isNotNull())
     return hits.select(*s.keys, F.col(s.ts).alias("on_time"), "off_time")
 
 

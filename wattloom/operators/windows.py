@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.series import ORD, Series, micros, plain, running, with_neighbours, with_time
+from wattloom.series import ORD, SLICE, Series, micros, plain, running, sliced, with_neighbours, with_time
 
 STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
@@ -98,20 +98,51 @@ def trailing_exclusive(df: DataFrame, s: Series, n: int = 30, prefix: str = "pow
 
 
 def islands(df: DataFrame, s: Series, col: str, out: str = "run_id") -> DataFrame:
-    """Number of the run of equal values the row is in, from 1."""
+    """Number of the run of equal values the row is in, from 1.
+
+    Changes are counted within each slice; whether a slice begins with a change follows from
+    the last value of the slice before.
+    """
+    inside = F.lag(ORD).over(s.window).isNotNull()
     changed = ~F.col(col).eqNullSafe(F.lag(col).over(s.window))
-    first = F.lag(ORD).over(s.window).isNull()
-    near = with_neighbours(df, s, back=1).withColumn("_new", (first | changed).cast("long"))
-    near = near.filter("_home").drop("_home")
-    return plain(running(near, s, sums={out: F.col("_new")})).drop("_new")
+    marked = sliced(df, s).withColumn("_new", (inside & changed).cast("long"))
+    ends = marked.groupBy(*s.keys, SLICE).agg(
+        F.sum("_new").alias("_n"),
+        F.min_by(F.struct(col), ORD).alias("_first"),
+        F.max_by(F.struct(col), ORD).alias("_last"),
+    )
+    begins = (~F.col("_first").eqNullSafe(F.lag("_last").over(s.slices))).cast("long")
+    ends = ends.withColumn("_begins", begins)
+    before = s.slices.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = s.slices.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.sum("_begins").over(up_to)
+    joined = marked.join(ends.select(*s.keys, SLICE, start.alias("_start")), [*s.keys, SLICE])
+    here = F.sum("_new").over(s.window.rowsBetween(Window.unboundedPreceding, 0))
+    return plain(joined.withColumn(out, F.col("_start") + here)).drop("_new", "_start")
 
 
 def run_counter(df: DataFrame, s: Series, on: str, out: str = "runtime") -> DataFrame:
-    """Consecutive on rows up to the row; 0 on every off row."""
-    counted = running(df, s, sums={"_on": F.col(on).cast("long")})
-    at_off = F.when(~F.col(on).cast("boolean"), F.col("_on"))
-    counted = running(counted, s, last={"_base": at_off})
-    return plain(counted.withColumn(out, F.col("_on") - F.coalesce("_base", F.lit(0)))).drop("_on", "_base")
+    """Consecutive on rows up to the row; 0 on every off row.
+
+    Counted within each slice; up to the first off row of a slice, what the slices before
+    left running is added.
+    """
+    up_to = s.window.rowsBetween(Window.unboundedPreceding, 0)
+    is_on = F.coalesce(F.col(on).cast("boolean"), F.lit(False))
+    local = sliced(df, s).withColumn("_on", F.sum(is_on.cast("long")).over(up_to))
+    local = local.withColumn("_off", F.last(F.when(~is_on, F.col("_on")), ignorenulls=True).over(up_to))
+    local = local.withColumn("_run", F.col("_on") - F.coalesce("_off", F.lit(0)))
+    ends = local.groupBy(*s.keys, SLICE).agg(
+        F.max_by("_run", ORD).alias("_tail"), F.bool_or(F.col("_off").isNotNull()).alias("_cut")
+    )
+    so_far = s.slices.rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_sum", F.sum("_tail").over(so_far))
+    cut_at = F.last(F.when(F.col("_cut"), F.col("_sum") - F.col("_tail")), ignorenulls=True).over(so_far)
+    ends = ends.withColumn("_left", F.col("_sum") - F.coalesce(cut_at, F.lit(0)))
+    carry = ends.select(*s.keys, SLICE, F.coalesce(F.lag("_left").over(s.slices), F.lit(0)).alias("_carry"))
+    joined = local.join(carry, [*s.keys, SLICE])
+    runtime = F.col("_run") + F.when(F.col("_off").isNull(), F.col("_carry")).otherwise(0)
+    return plain(joined.withColumn(out, runtime)).drop("_on", "_off", "_run", "_carry")
 
 
 def ffill(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:

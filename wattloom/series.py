@@ -157,13 +157,15 @@ def running(
     last, prior, upcoming, sums = last or {}, prior or {}, upcoming or {}, sums or {}
     aggs, carry = [], []
     before = s.slices.rowsBetween(Window.unboundedPreceding, -1)
-    after = s.slices.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in the opposite order: frames that end at the last row
+    # would be evaluated anew for every row
+    after = Window.partitionBy(*s.keys).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     for name, expr in (*last.items(), *prior.items()):
         aggs.append(F.max_by(expr, F.when(expr.isNotNull(), F.col(ORD))).alias(f"_in_{name}"))
         carry.append(F.last(f"_in_{name}", ignorenulls=True).over(before).alias(f"_in_{name}"))
     for name, expr in upcoming.items():
         aggs.append(F.min_by(expr, F.when(expr.isNotNull(), F.col(ORD))).alias(f"_in_{name}"))
-        carry.append(F.first(f"_in_{name}", ignorenulls=True).over(after).alias(f"_in_{name}"))
+        carry.append(F.last(f"_in_{name}", ignorenulls=True).over(after).alias(f"_in_{name}"))
     for name, expr in sums.items():
         aggs.append(F.sum(expr).alias(f"_in_{name}"))
         carry.append(F.sum(f"_in_{name}").over(before).alias(f"_in_{name}"))
@@ -172,14 +174,15 @@ def running(
 
     up_to = s.window.rowsBetween(Window.unboundedPreceding, 0)
     strictly = s.window.rowsBetween(Window.unboundedPreceding, -1)
-    onward = s.window.rowsBetween(0, Window.unboundedFollowing)
+    backward = Window.partitionBy(*s.keys, SLICE).orderBy(F.col(ORD).desc())
+    onward = backward.rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for name, expr in last.items():
         out[name] = F.coalesce(F.last(expr, ignorenulls=True).over(up_to), F.col(f"_in_{name}"))
     for name, expr in prior.items():
         out[name] = F.coalesce(F.last(expr, ignorenulls=True).over(strictly), F.col(f"_in_{name}"))
     for name, expr in upcoming.items():
-        out[name] = F.coalesce(F.first(expr, ignorenulls=True).over(onward), F.col(f"_in_{name}"))
+        out[name] = F.coalesce(F.last(expr, ignorenulls=True).over(onward), F.col(f"_in_{name}"))
     for name, expr in sums.items():
         here = F.coalesce(F.sum(expr).over(up_to), F.lit(0))
         out[name] = here + F.coalesce(F.col(f"_in_{name}"), F.lit(0))

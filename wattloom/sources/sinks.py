@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# JSON keeps microseconds only when told to
+JSON_STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_telemetry(df: DataFrame, path: str) -> None:
     """Parquet laid out by measurement and day, so entity and time filters skip files."""
     day = F.to_date("ts").alias("day")
@@ -42,7 +46,7 @@ def write_zone_config(config: DataFrame, path: str) -> None:
 
 def append_episodes(episodes: DataFrame, path: str) -> None:
     """One JSON line per episode; earlier lines stay."""
-    episodes.write.mode("append").json(path)
+    episodes.write.mode("append").option("timestampFormat", JSON_STAMP).json(path)
 
 
 def write_feature_importance(ranking: DataFrame, path: str) -> None:
