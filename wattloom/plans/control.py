@@ -87,14 +87,14 @@ def closed_loop(rooms: DataFrame, states: DataFrame, s: Series, rules: p.Rules =
         held = pdf["_start"].iloc[0]
         return {r["room"]: r["at"] for r in held} if held is not None else {}
 
-    def leave(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def leave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         start = start_of(pdf)
         _, last = _simulate(pdf, start, rules.max_actions)
         end = (key[-1] + 1) * size
         held = sorted((r, int(at)) for r, at in last.items() if end - at < longest)
         return pd.DataFrame([[*key, [{"room": r, "at": at} for r, at in held]]], columns=[*keys, SLICE, "_end"])
 
-    def act(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def act(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _simulate(pdf, start_of(pdf), rules.max_actions)[0][[*cols, "action_rank"]]
 
     nobody = F.array().cast(recent)
