@@ -5,11 +5,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    CHANNELS, READINGS, ROOMS, SITE, TELEMETRY, UNITS, S, W, channels, query, readings, rooms, rounded, units,
+    READINGS, ROOMS, SITE, TELEMETRY, UNITS, S, W, query, readings, rooms, rounded, units,
 )
 from catalog.window_ops import PHASED, phased
 from wattloom.operators import joins as ops
-from wattloom.operators import scan, stats
+from wattloom.operators import stats
 from wattloom.operators.cycling import hysteresis_state
 from wattloom.operators.windows import lag_phase
 from wattloom.series import Series

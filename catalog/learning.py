@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import CHANNELS, READINGS, SITE, TELEMETRY, S, W, channels, query, readings, rounded
+from catalog.registry import CHANNELS, SITE, TELEMETRY, S, W, channels, query, rounded
 from catalog.scans import scratch
 from catalog.scalars import STAB, stab
 from wattloom.operators import features as ops
@@ -180,6 +180,13 @@ def _(t):
     return ml.predict_latest(ml.load_model(t.spark, path), predictor_frame(t), S)
 
 
+@query("load_model")
+def _(t):
+    path = scratch(t, "model")
+    ml.save_model(small_forest(t), path, t.spark)
+    return ml.feature_importance(t.spark, ml.load_model(t.spark, path))
+
+
 @query("feature_importance")
 def _(t):
     return ml.feature_importance(t.spark, small_forest(t), top=10)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import BY_USER, READINGS, TELEMETRY, S, W, query, readings, rounded
+from catalog.registry import READINGS, TELEMETRY, S, W, query, readings, rounded
 from wattloom.operators import observer as ops
 
 # windows are scaled to the readings at hand: steps beyond 1500 W, scores divided by 8

@@ -212,15 +212,23 @@ def _(t):
     return back.select("site_id", F.col("ts").alias("cycle"), "state.power", F.size("actions").alias("actions"), F.round("reward.total", 6).alias("reward_total"))
 
 
-@query(
-    "episode_stats",
-    f"""WITH {EPISODES} SELECT site_id, count(*) AS episodes, round(avg(reward_comfort + reward_stability + reward_energy), 6) AS avg_reward, round(avg(actions), 6) AS avg_actions,
-      round(avg(total_delta_abs), 6) AS avg_total_delta_abs FROM ep GROUP BY 1""",
-)
+_EPISODE_STATS = f"""WITH {EPISODES} SELECT site_id, count(*) AS episodes, round(avg(reward_comfort + reward_stability + reward_energy), 6) AS avg_reward, round(avg(actions), 6) AS avg_actions,
+      round(avg(total_delta_abs), 6) AS avg_total_delta_abs FROM ep GROUP BY 1"""
+
+
+@query("episode_stats", _EPISODE_STATS)
 def _(t):
     return rounded(ops.episode_stats(the_episodes(t), ("site_id",)), "avg_reward", "avg_actions", "avg_total_delta_abs")
 
 
+@query("read_episodes", _EPISODE_STATS)
+def _(t):
+    path = scratch(t, "episodes")
+    sinks.append_episodes(the_episodes(t).withColumnRenamed("cycle", "ts"), path)
+    stored = readers.read_episodes(t.spark, path)
+    return rounded(ops.episode_stats(stored, ("site_id",)), "avg_reward", "avg_actions", "avg_total_delta_abs")
+
+
 # unit strategies: one decision per site and cycle, the rooms are the units
 POLICY = f"""{CYCLES}, un AS (SELECT site_id, cycle, arg_min(room, CASE room WHEN 'view' THEN 10 WHEN 'click' THEN 90 ELSE 50 END * 100 + ascii(room)) FILTER (NOT is_on) AS off_,
       arg_min(room, room) FILTER (is_on AND target_temp < 21.5) AS on_, arg_min(target_temp, room) FILTER (is_on AND target_temp < 21.5) AS cur FROM rooms_on GROUP BY 1, 2),

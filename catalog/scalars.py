@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import CHANNELS, READINGS, ROOM_STATE, SITE, TELEMETRY, S, W, channels, query, r6, readings, room_state
+from catalog.registry import CHANNELS, READINGS, ROOM_STATE, SITE, TELEMETRY, S, W, channels, query, r6, room_state
 from catalog.scans import states
 from wattloom.functions import scalar as fn
 from wattloom.operators.stats import with_stability

@@ -59,8 +59,9 @@ def _(t):
     return rounded(df, "avg_std", "jump_rate", "stability_score")
 
 
-MIN_STABLE = """ms AS (SELECT entity_id, coalesce(arg_min(power_min, (power_min + power_max) / 2) FILTER (power_max > 300 AND stability_score > 0.6),
-    greatest(400.0::DOUBLE, arg_max(power_min, stability_score) FILTER (power_max > 300)), 450.0::DOUBLE) AS min_stable_power FROM regions GROUP BY 1)"""
+MIN_STABLE = """ms AS (SELECT k.entity_id, coalesce(arg_min(power_min, (power_min + power_max) / 2) FILTER (power_max > 300 AND stability_score > 0.6),
+    CASE WHEN count(*) FILTER (power_max > 300) > 0 THEN greatest(400.0::DOUBLE, arg_max(power_min, stability_score) FILTER (power_max > 300)) END, 450.0::DOUBLE) AS min_stable_power
+  FROM (SELECT DISTINCT entity_id FROM telemetry) k LEFT JOIN regions USING (entity_id) GROUP BY 1)"""
 
 
 @query("min_stable_power", f"WITH {TELEMETRY}, {METRICS}, {regions_sql(_BIN)}, {MIN_STABLE} SELECT * FROM ms")
@@ -72,7 +73,7 @@ ADVICE = f"""{MIN_STABLE}, ranges AS (SELECT entity_id, string_agg(CAST(power_mi
     arg_max(CAST(power_min AS BIGINT) || '-' || CAST(power_max AS BIGINT) || 'W', stability_score) AS best, max(stability_score) AS top FROM regions GROUP BY 1),
   advice AS (SELECT entity_id, min_stable_power, CASE WHEN min_stable_power <> 0 THEN 'Minimale stabile Last: ' || CAST(round_even(min_stable_power, 0) AS BIGINT) || 'W | ' ELSE '' END
     || CASE WHEN good IS NOT NULL THEN 'Empfohlene Bereiche: ' || good WHEN top > 0.4 THEN 'Empfohlene Bereiche: ' || best ELSE '⚠ Kein stabiler Betriebsbereich gefunden.' END AS recommendation
-    FROM ms JOIN ranges USING (entity_id))"""
+    FROM ms LEFT JOIN ranges USING (entity_id))"""
 
 
 @query("recommendation", f"WITH {TELEMETRY}, {METRICS}, {regions_sql(_BIN)}, {ADVICE} SELECT * FROM advice")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.scalar import clip, cycling_risk_additive
@@ -33,20 +33,6 @@ def hysteresis_state(df: DataFrame, s: Series, on: float = 200.0, off: float = 1
     return plain(held.withColumn(out, F.coalesce(out, F.lit(0))))
 
 
-def _segments(df: DataFrame, s: Series, inside: Column, closing: Column) -> DataFrame:
-    """Tag rows with ``_seg``, the position of the last row before them that is ``closing``.
-
-    All rows of one uninterrupted run share a tag, and so does the closing row after it.
-    Rows that are neither in a run nor close one are dropped.
-    """
-    tagged = running(
-        df,
-        s,
-        prior={"_seg": F.when(closing, F.col(ORD)), "_was": F.coalesce(inside, F.lit(False))},
-    )
-    return tagged.filter(inside | (closing & F.col("_was")))
-
-
 def detect_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.0) -> DataFrame:
     """Finished on/off cycles; the off row belongs to the cycle.
 
@@ -119,6 +105,30 @@ def instability_score(df: DataFrame, s: Series, width: str = "10 minutes", weigh
     return plain(_scored(df, s, width, weights).drop("sign", "turn", "next_sign", "next_turn"))
 
 
+def _fluctuation_groups(df: DataFrame, s: Series, width: str, threshold: float, weights: tuple[float, float, float]) -> DataFrame:
+    """One row per run of unstable rows with the row after it, and one for all other rows.
+
+    ``_seg`` is the position of the last stable row before a row, so the rows of a run and
+    its closing row share it.  Every reading is in exactly one group.
+    """
+    scored = _scored(df, s, width, weights)
+    unstable = F.col("score") > threshold
+    tagged = running(scored, s, prior={"_seg": F.when(~unstable, F.col(ORD)), "_was": unstable})
+    tagged = tagged.withColumn("_event", unstable | F.coalesce("_was", F.lit(False)))
+    return tagged.groupBy(*s.keys, "_event", F.when(F.col("_event"), F.col("_seg")).alias("_seg")).agg(
+        F.min(ORD).alias("_start"),
+        F.max(ORD).alias("_end"),
+        F.sum("score").alias("_score"),
+        F.max("score").alias("_top"),
+        F.min(s.value).alias("_low"),
+        F.max(s.value).alias("_high"),
+        F.avg(s.value).alias("avg_power"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("turn").alias("_turns"),
+        F.min_by(F.struct("turn", "next_sign", "next_turn"), ORD).alias("_first"),
+    )
+
+
 def detect_fluctuations(
     df: DataFrame,
     s: Series,
@@ -132,31 +142,13 @@ def detect_fluctuations(
     changes of the first two rows are replaced by "is the second sign non-zero", which the
     first row knows from its successor - no window over a whole period is needed.
     """
-    scored = _scored(df, s, width, weights)
-    unstable = F.col("score") > threshold
-    rows = _segments(scored, s, unstable, ~unstable)
-    first = F.min_by(F.struct("turn", "next_sign", "next_turn"), ORD)
-    events = (
-        rows.groupBy(*s.keys, "_seg")
-        .agg(
-            F.min(ORD).alias("_start"),
-            F.max(ORD).alias("_end"),
-            F.avg("score").alias("instability_score"),
-            (F.max(s.value) - F.min(s.value)).alias("amplitude_watts"),
-            F.avg(s.value).alias("avg_power"),
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("turn").alias("_turns"),
-            first.alias("_first"),
-        )
-        .filter("rows >= 2")
-        .withColumn("duration_minutes", minutes("_start", "_end"))
-        .withColumn(
-            "direction_changes",
-            F.col("_turns")
-            - F.col("_first.turn")
-            - F.col("_first.next_turn")
-            + (F.col("_first.next_sign") != 0).cast("int"),
-        )
+    events = _fluctuation_groups(df, s, width, threshold, weights).filter("_event and rows >= 2")
+    own = F.col("_turns") - F.col("_first.turn") - F.col("_first.next_turn")
+    events = events.withColumns(
+        {
+            "duration_minutes": minutes("_start", "_end"),
+            "direction_changes": own + (F.col("_first.next_sign") != 0).cast("int"),
+        }
     )
     per = F.when(F.col("duration_minutes") > 0, F.col("duration_minutes")).otherwise(1.0)
     return events.select(
@@ -164,8 +156,8 @@ def detect_fluctuations(
         F.timestamp_micros("_start").alias("start"),
         F.timestamp_micros("_end").alias("end"),
         "duration_minutes",
-        "instability_score",
-        "amplitude_watts",
+        (F.col("_score") / F.col("rows")).alias("instability_score"),
+        (F.col("_high") - F.col("_low")).alias("amplitude_watts"),
         "direction_changes",
         (F.col("direction_changes") / per).alias("frequency"),
         "avg_power",
@@ -208,18 +200,18 @@ def analyze_cycling(
         F.count_if(F.col("duration_minutes") < short_minutes).alias("short_cycle_count"),
         F.avg("duration_minutes").alias("avg_cycle_duration"),
     )
-    scores = instability_score(df, s, width).groupBy(*s.keys).agg(
-        F.avg("score").alias("avg_instability"), F.max("score").alias("max_instability")
-    )
-    fluctuations = detect_fluctuations(df, s, width, threshold).groupBy(*s.keys).agg(
-        F.count(F.lit(1)).alias("fluctuation_count")
+    # the groups hold every reading once, so they give the score statistics, too
+    fluctuations = _fluctuation_groups(df, s, width, threshold, SCORE_WEIGHTS).groupBy(*s.keys).agg(
+        (F.sum("_score") / F.sum("rows")).alias("avg_instability"),
+        F.max("_top").alias("max_instability"),
+        F.count_if(F.col("_event") & (F.col("rows") >= 2)).alias("fluctuation_count"),
     )
     jumps = detect_power_jumps(df, s, jump_watts, jump_pct).groupBy(*s.keys).agg(
         F.count(F.lit(1)).alias("jump_count")
     )
     # one row per series on every side
     joined = span
-    for part in (cycles, scores, fluctuations, jumps):
+    for part in (cycles, fluctuations, jumps):
         joined = joined.join(part, list(s.keys), "left")
     counts = ("total_cycles", "short_cycle_count", "fluctuation_count", "jump_count")
     joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,14 +184,13 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Column, slice_no: Col
 def shuffled_rank(df: DataFrame, label: str, identity: Sequence[str], seed: int = 42, out: str = "rank") -> DataFrame:
     """A fixed pseudo-random order of the rows of each class, by the hash of their identity."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
-    part = F.conv(F.substring(digest, 1, 3), 16, 10).cast("long")
+    part = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
     return rank_within(df, (label,), digest, part, out)
 
 
 def stratified_split(df: DataFrame, identity: Sequence[str], label: str = "target", train: float = 0.7, seed: int = 42) -> DataFrame:
     """Mark ``train`` of each class as training rows, always the same ones."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = shuffled_rank(df, label, identity, seed, "_rank").join(sizes, label)
+    ranked = shuffled_rank(df, label, identity, seed, "_rank").join(class_sizes(df, label), label)
     return ranked.withColumn("is_train", F.col("_rank") <= F.floor(F.col("_n") * F.lit(train) + 1e-9)).drop("_rank", "_n")
 
 
@@ -215,10 +215,19 @@ def balance_classes(df: DataFrame, identity: Sequence[str], label: str = "target
     return draws.select(label, hit.alias("_rank")).join(ranked, [label, "_rank"]).drop("_rank")
 
 
-def time_folds(df: DataFrame, s: Series, label: str, folds: int = 5, out: str = "fold") -> DataFrame:
-    """Contiguous folds in time order, each with the same share of every class."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    at = sliced(df, s)
+def class_sizes(df: DataFrame, label: str) -> DataFrame:
+    """Rows per class; a binary label has two, so the result is broadcast."""
+    return F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def time_folds(df: DataFrame, s: Series, label: str, folds: int = 5, out: str = "fold", slice: str = "10 minutes") -> DataFrame:
+    """Contiguous folds in time order, each with the same share of every class.
+
+    The order runs over all series at once, so its time slices are shorter than those of a
+    single series.
+    """
+    sizes = class_sizes(df, label)
+    at = sliced(df, replace(s, slice=slice))
     order = F.struct(F.col(ORD), *s.keys)
     ranked = running(at.withColumn(ORD, order), Series(keys=(label,)), sums={"_rank": F.lit(1).cast("long")})
     fold = F.floor((F.col("_rank") - 1) * folds / F.col("_n")).cast("int")

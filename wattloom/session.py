@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", app: str = "wattloom", **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # windows cost far more per byte than scans: keep small shuffles spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("WATTLOOM_DRIVER_MEMORY", "8g"))
