@@ -54,8 +54,9 @@ def _agree(a: str, b: str) -> Column:
 
 def _hits(docs: DataFrame, items: DataFrame, small: bool, k: int, window: int) -> DataFrame:
     """doc_id, item_id, lo, hi: spans of document words inside occurrences of item windows."""
-    items = items.select("item_id", F.inline("prints")).select("h", "item_id", *(F.col(c).alias(f"i_{c}") for c in ("gram", "left", "right")))
-    found = docs.select("doc_id", F.inline("prints")).join(F.broadcast(items) if small else items, "h")
+    # not inline(): it would have Spark test "prints" for being empty below, with the words found anew for every use
+    items = items.select("item_id", F.inline_outer("prints")).select("h", "item_id", *(F.col(c).alias(f"i_{c}") for c in ("gram", "left", "right")))
+    found = docs.select("doc_id", F.inline_outer("prints")).join(F.broadcast(items) if small else items, "h")
     found = found.where(F.col("gram") == F.col("i_gram")).withColumns({"_l": _agree("left", "i_left"), "_r": _agree("right", "i_right")})
     found = found.where(F.col("_l") + F.col("_r") + k >= window)
     return found.select("doc_id", "item_id", (F.col("pos") - F.col("_l")).alias("lo"), (F.col("pos") + k + F.col("_r") - 1).alias("hi"))

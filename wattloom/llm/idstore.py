@@ -43,7 +43,7 @@ _ARROW = pa.schema([
 
 
 def _place(keys: np.ndarray, level: int, width: int) -> np.ndarray:
-    return (mix(keys + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(width)).astype(np.int64)
+    return (mix(keys ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(width)).astype(np.int64)
 
 
 def _prints(keys: np.ndarray) -> np.ndarray:

@@ -53,7 +53,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition.quality(table(spark, sf_dir, "documents"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words"
     )
 
 

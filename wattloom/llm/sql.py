@@ -36,24 +36,17 @@ def _windows(n: int) -> str:
 
 
 REPETITION = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
-  five AS ({_windows(5)}), ten AS ({_windows(10)}),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+  five AS ({_windows(5)}), ten AS ({_windows(10)}), hundred AS ({_windows(101)}),
   lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)
     WHERE regexp_matches(x, '{_WORD}') GROUP BY doc_id),
-  pos AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM d),
-  runs(doc_id, n, p, g) AS (
-    SELECT doc_id, 1, p, dense_rank() OVER (PARTITION BY doc_id ORDER BY w) FROM pos
-    UNION ALL
-    SELECT a.doc_id, a.n + 1, a.p, dense_rank() OVER (PARTITION BY a.doc_id ORDER BY a.g, b.w)
-    FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS same FROM runs) a JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + a.n WHERE a.same > 1),
-  longest AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, n FROM runs GROUP BY doc_id, n, g HAVING count(*) > 1) GROUP BY doc_id),
   x AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
       CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       coalesce(lines.n, 0) AS n_dup_lines, coalesce(five.n, 0) AS n_repeat_words, coalesce(ten.n, 0) AS covered_words,
-      CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_repeat
-    FROM d LEFT JOIN five USING (doc_id) LEFT JOIN ten USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN longest USING (doc_id)),
+      hundred.n > 0 AS too_long
+    FROM d LEFT JOIN five USING (doc_id) LEFT JOIN ten USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN hundred USING (doc_id)),
   y AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x)
-SELECT *, NOT base_failed AND covered_words <= 0.3 * n_words AND longest_repeat <= 100 AS kept FROM y"""
+SELECT * EXCLUDE (too_long), NOT base_failed AND covered_words <= 0.3 * n_words AND too_long IS NULL AS kept FROM y"""
 
 
 def _quoted(s: str) -> str:
