@@ -12,14 +12,20 @@ def _lower(column: str) -> str:
     return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _unnested(key: str, rows: str, n: str | int) -> str:
+    """Windows of n words of each row, with their first word's number."""
+    starts = f"range(1, len(ws) - {n} + 2)"
+    return f"""SELECT {key}, unnest({starts}) AS p, unnest(list_transform({starts}, lambda p: array_to_string(ws[p : p + {n} - 1], ' '))) AS w
+      FROM {rows} WHERE len(ws) >= {n}"""
+
+
 WINNOWING = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_lower("text")}, '{_ALNUM}') AS ws FROM documents),
   i AS (SELECT item_id, regexp_extract_all({_lower("text")}, '{_ALNUM}') AS ws FROM benchmark),
   iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[p : p + least(len(ws), 10) - 1], ' ') AS w
     FROM (SELECT *, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS p FROM i WHERE len(ws) > 0)),
   sizes AS (SELECT DISTINCT n FROM iw),
-  dw AS (SELECT doc_id, n, p, array_to_string(ws[p : p + n - 1], ' ') AS w
-    FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, sizes WHERE len(ws) >= n)),
+  dw AS ({_unnested("doc_id, n", "d, sizes", "n")}),
   hits AS (SELECT doc_id, n, p, item_id FROM dw JOIN iw USING (n, w)),
   words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, n, p FROM hits)) GROUP BY doc_id),
   items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
@@ -31,8 +37,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 def _windows(n: int) -> str:
     """Positions of words in windows of n words that occur twice or more in their document."""
     return f"""SELECT doc_id, count(DISTINCT q) AS n, max(c) AS c FROM (SELECT doc_id, c, unnest(range(p, p + {n})) AS q FROM
-      (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[p : p + {n - 1}], ' ')) AS c
-       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n} + 2)) AS p FROM d WHERE len(ws) >= {n})) WHERE c > 1) GROUP BY doc_id"""
+      (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w) AS c FROM ({_unnested("doc_id", "d", n)})) WHERE c > 1) GROUP BY doc_id"""
 
 
 REPETITION = rf"""
