@@ -68,7 +68,7 @@ class _Frequent(dict):
 
 
 def token_counts(
-    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, cache: int = 400_000
+    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, cache: int = 1_000_000
 ) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens (as the tokenizers library counts, nothing added) of every row.
 

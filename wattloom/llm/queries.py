@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import counting, decontamination, idstore, language, packing, repetition, urls
+from wattloom.llm import counting, decontamination, idstore, katz, language, packing, repetition, urls
 from wattloom.llm import sql as oracle
 from wattloom.llm.common import table
 
@@ -50,6 +50,14 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("learn", ~language.held_out("doc_id", 7))
+    scored = katz.score(docs, "learn")
+    return scored.withColumn("held_out", ~F.col("train")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition.quality(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -63,6 +71,6 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_mixture, op2_slack_packing, op4_token_counts, op5_id_store, op7_winnowing, op9_repetition, op10_url_rules)
+    for f in (op1_language_mixture, op2_slack_packing, op4_token_counts, op5_id_store, op7_winnowing, op8_katz, op9_repetition, op10_url_rules)
 }
 SQL = {"op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES}

@@ -32,7 +32,7 @@ def pieces(text: str) -> list[str]:
 class PieceIds(dict):
     """Ids of pieces as little-endian unsigned 32-bit integers; remembers up to ``bound`` pieces."""
 
-    def __init__(self, vocabulary: str, bound: int = 250_000):
+    def __init__(self, vocabulary: str, bound: int = 1_200_000):
         super().__init__()
         self.encode, self.bound = tokenizer(vocabulary).encode, bound
 
