@@ -93,8 +93,8 @@ class Block:
 
 
 _SENT = "block long, part long, k1 binary, v1 binary, k2 binary, v2 binary"
-_GOT = "block long, part long, v1 binary, v2 binary, own binary, hist array<long>"
-_MASS = "block long, part long, v1 binary, v2 binary, own binary, hist array<long>, k3 binary, a3 binary, b3 binary"
+_GOT = "block long, part long, v1 binary, v2 binary, many binary, own binary, hist array<long>"
+_MASS = "block long, part long, v1 binary, v2 binary, many binary, own binary, hist array<long>, k3 binary, a3 binary, b3 binary"
 
 
 def _types(names: list[str]) -> pa.Schema:
@@ -123,13 +123,14 @@ def _totals(sent: pa.Table) -> pa.Table:
         first[inverse[seen]] = seen
         owned = np.zeros(len(flat), dtype=np.uint8)
         owned[first[first >= 0]] = 1
+        many = np.bincount(inverse, minlength=len(distinct)) > 1
         ends = np.cumsum([len(x) for x in keys])[:-1]
-        answers.append((np.split(total[inverse], ends), np.split(owned, ends)))
+        answers.append((np.split(total[inverse], ends), np.split(owned, ends), np.split(many[inverse], ends)))
         hist += [int((total == r).sum()) for r in range(1, ORDERS + 2)] + [int((total > 0).sum()), int(total.sum())]
     out = []
     for i, r in enumerate(sent):
         v1, v2 = answers[0][0][i], answers[1][0][i]
-        out.append((r["block"], r["part"], *_zip(v1.astype("<u4"), v2.astype("<u4"), np.packbits(answers[1][1][i])), hist))
+        out.append((r["block"], r["part"], *_zip(v1.astype("<u4"), v2.astype("<u4"), np.packbits(answers[0][2][i]), np.packbits(answers[1][1][i])), hist))
     return _rows(_GOT, out)
 
 
@@ -144,8 +145,14 @@ class Model:
         self.d1, self.d2 = discounts(hist[: ORDERS + 1]), discounts(hist[n : n + ORDERS + 1])
         self.c1 = np.concatenate([_unzip(r["v1"], "<u4") for r in got]).astype(np.float64)
         self.c2 = np.concatenate([_unzip(r["v2"], "<u4") for r in got]).astype(np.float64)
-        sizes = np.diff(_cuts(block.pairs, len(got)))
-        self.own = np.concatenate([np.unpackbits(np.frombuffer(_unzip(r["own"], "u1"), dtype=np.uint8), count=k) for r, k in zip(got, sizes)]).astype(bool)
+
+        def flags(name: str, keys: np.ndarray) -> np.ndarray:
+            sizes = np.diff(_cuts(keys, len(got)))
+            return np.concatenate([np.unpackbits(_unzip(r[name], "u1"), count=k) for r, k in zip(got, sizes)]).astype(bool)
+
+        # seen words that other blocks have too: what is known of them as contexts must be put together
+        self.shared = flags("many", block.words) & (self.c1 > 0)
+        self.own = flags("own", block.pairs)
         # unigrams over the seen words and one unknown word, which has what discounting leaves
         left = 1.0
         if self.tokens:
@@ -246,7 +253,6 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         own = model.own & (model.c2 > 0)
         context = np.where(block.pair_context == START, END, block.pair_context)[own]
         keys, a, b = _sum_by(context, discounted(model.c2, model.d2)[own], model.p1[block.pair_word][own])
-        cuts = _cuts(keys, blocks)
         # every context of the block is asked for: those it owns no bigram of with nothing to add
         asked = block.words
         full_a, full_b = np.zeros(len(asked)), np.zeros(len(asked))
@@ -256,10 +262,9 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         out = []
         for p, r in enumerate(got):
             s = slice(cuts[p], cuts[p + 1])
-            # a word that occurs in this block only needs no other block's part
-            shared = model.c1[s] > block.word_count[s]
+            shared = model.shared[s]
             k = _press_keys(asked[s][shared])
-            out.append((r["block"], p, r["v1"], r["v2"], r["own"], r["hist"], k, *_zip(full_a[s][shared], full_b[s][shared])))
+            out.append((r["block"], p, r["v1"], r["v2"], r["many"], r["own"], r["hist"], k, *_zip(full_a[s][shared], full_b[s][shared])))
         return _rows(_MASS, out)
 
     def sums(sent: pa.Table) -> pa.Table:
@@ -272,7 +277,7 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
             flat = np.concatenate([_unzip(r[name], "<f8") for r in sent])
             split.append(np.split(np.bincount(inverse, weights=flat, minlength=len(distinct))[inverse], ends))
         for i, r in enumerate(sent):
-            out.append((r["block"], r["part"], r["v1"], r["v2"], r["own"], r["hist"], b"", *_zip(split[0][i], split[1][i])))
+            out.append((r["block"], r["part"], r["v1"], r["v2"], r["many"], r["own"], r["hist"], b"", *_zip(split[0][i], split[1][i])))
         return _rows(_MASS, out)
 
     names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -289,7 +294,7 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         seen_mass, seen_base = np.zeros(len(block.words)), np.zeros(len(block.words))
         at = np.searchsorted(block.words, keys)
         seen_mass[at], seen_base[at] = a, b
-        shared = model.c1 > block.word_count
+        shared = model.shared
         seen_mass[shared] = np.concatenate([_unzip(r["a3"], "<f8") for r in got])
         seen_base[shared] = np.concatenate([_unzip(r["b3"], "<f8") for r in got])
         pair, word = _score(block, model, seen_mass, seen_base)
