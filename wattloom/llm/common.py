@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from wattloom.session import checkpoint_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,21 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def utf8_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words between ASCII white space, as UTF-8; ``lower`` lower-cases A-Z only. A null text has none."""
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
+
+
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound; ``hashes.of(words)`` gives an array."""
+    """64-bit hashes of UTF-8 words, remembered up to a bound; ``hashes.of(words)`` gives an array."""
 
     def __init__(self, bound: int = 400_000):
         super().__init__()
         self.bound = bound
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.bound:
             self.clear()
         self[word] = h
         return h
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

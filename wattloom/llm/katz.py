@@ -18,16 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import LOWER, WORD, WordHashes, mix
+from wattloom.llm.common import mix, utf8_words
 
 ORDERS = 5  # counts up to this are discounted
 END = np.uint64(0x9AE16A3B2F90404F)
 START = np.uint64(0xC949D7C7509E6557)
-_BLOCK_BYTES = 8 << 20
+_BLOCK_BYTES = 16 << 20
 
 
 def _zip(*arrays: np.ndarray) -> list[bytes]:
@@ -57,44 +58,57 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
 
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, *(np.bincount(inverse, weights=v, minlength=len(distinct)) for v in values)
+class _Numbers(dict):
+    """Numbers from 1 for words, in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
 
 
 class Block:
     """The documents of a block as word hashes; contexts are shifted by one, after ``START``."""
 
     def __init__(self, docs: pa.Table):
-        hashes = WordHashes()
         self.train = np.array(docs["train"].to_pylist(), dtype=bool)
+        numbers = _Numbers()
+        number = numbers.__getitem__
         words = []
         for t in docs["text"].to_pylist():
-            w = hashes.of(WORD.findall(t.translate(LOWER)) if t else [])
-            words.append(np.append(w, END))
-        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
-        self.word = np.concatenate(words) if words else np.empty(0, dtype=np.uint64)
+            w = utf8_words(t, lower=True)
+            words.append(np.fromiter(map(number, w), dtype=np.int64, count=len(w)))
+            words.append(np.zeros(1, dtype=np.int64))
+        self.sizes = np.array([len(w) + 1 for w in words[::2]], dtype=np.int64)
+        met = np.concatenate(words)
+        hashes = np.array([int(END), *map(xxhash.xxh3_64_intdigest, numbers)], dtype=np.uint64)
+        order = np.argsort(hashes)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.words, self.word_at = hashes[order], place[met]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[self.starts] = START
-        self.trained = np.repeat(self.train, self.sizes)
-        self.words, self.word_at = np.unique(self.word, return_inverse=True)
-        pair = mix(self.context * np.uint64(0x9E3779B97F4A7C15) + mix(self.word))
-        self.pairs, first, self.pair_at = np.unique(pair, return_index=True, return_inverse=True)
-        self.pair_context, self.pair_word = self.context[first], self.word_at[first]
-        self.word_count = np.bincount(self.word_at, weights=self.trained, minlength=len(self.words)).astype(np.int64)
-        self.pair_count = np.bincount(self.pair_at, weights=self.trained, minlength=len(self.pairs)).astype(np.int64)
-
-    def ends(self) -> np.ndarray:
-        """Each context as a place among the words: a context's count is that of its word, START's that of END."""
-        word = np.where(self.pair_context == START, END, self.pair_context)
-        return np.searchsorted(self.words, word)
+        context = np.empty(len(met), dtype=np.uint64)
+        context[1:] = hashes[met[:-1]]
+        context[self.starts] = START
+        pair = mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(hashes)[met])
+        trained = np.repeat(self.train, self.sizes)
+        order = np.argsort(pair)
+        ordered = pair[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        self.pair_at = np.empty_like(order)
+        self.pair_at[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.pairs, self.pair_context, self.pair_word = ordered[new], context[first], self.word_at[first]
+        self.word_count = np.bincount(self.word_at, weights=trained, minlength=len(self.words)).astype(np.int64)
+        self.pair_count = np.bincount(self.pair_at, weights=trained, minlength=len(self.pairs)).astype(np.int64)
+
+    def contexts(self) -> np.ndarray:
+        """Each bigram's context as a place among the words: a context's count is that of its word, START's that of END."""
+        return np.searchsorted(self.words, np.where(self.pair_context == START, END, self.pair_context))
 
 
 _SENT = "block long, part long, k1 binary, v1 binary, k2 binary, v2 binary"
 _GOT = "block long, part long, v1 binary, v2 binary, many binary, own binary, hist array<long>"
-_MASS = "block long, part long, v1 binary, v2 binary, many binary, own binary, hist array<long>, k3 binary, a3 binary, b3 binary"
+_MASS = "block long, part long, v1 binary, v2 binary, many binary, own binary, hist array<long>, k3 binary, k4 binary, a3 binary, b3 binary"
 
 
 def _types(names: list[str]) -> pa.Schema:
@@ -166,6 +180,18 @@ class Model:
             self.p1 = np.zeros(len(self.c1))
         self.unknown = left
         self.p1 = np.where(self.c1 > 0, self.p1, left)
+        # of the seen bigrams that the block owns, summed by context: discounted counts, and the words' p1
+        self.context = block.contexts()
+        share = discounted(self.c2, self.d2)
+        mine = self.own & (self.c2 > 0)
+        self.mass = np.bincount(self.context[mine], weights=share[mine], minlength=len(block.words))
+        self.base = np.bincount(self.context[mine], weights=self.p1[block.pair_word[mine]], minlength=len(block.words))
+        # contexts whose sums decide a score here: one with an unseen bigram, or without any discounted one
+        sure, ask = np.zeros(len(block.words), dtype=bool), np.ones(len(block.words), dtype=bool)
+        sure[self.context[(self.c2 > 0) & (self.c2 <= ORDERS)]] = True
+        ask[sure] = False
+        ask[self.context[self.c2 == 0]] = True
+        self.ask = ask & self.shared
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -190,22 +216,17 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * factor[np.minimum(c, len(d) + 1).astype(np.int64)]
 
 
-def _score(block: Block, model: Model, seen_mass: np.ndarray, seen_base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _score(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each distinct bigram, and of each word alone as the base rule has it.
 
     p(w | h) is the discounted share of a seen bigram, or the context's backoff weight times p(w): what is left
     of the context's mass over what the unseen words have among the unigrams. A context that was never
     seen backs off with weight 1; one without any discount is scaled by c / (c + 1), so that something is left.
     """
-    at = block.ends()
-    known = at < len(block.words)
-    known &= block.words[np.minimum(at, len(block.words) - 1)] == np.where(block.pair_context == START, END, block.pair_context)
-    at = np.where(known, at, 0)
-    c = np.where(known, model.c1[at], 0.0)
-    mass, base = seen_mass[at], seen_base[at]
+    at = model.context
+    c, mass, base = model.c1[at], model.mass[at], model.base[at]
     safe = np.maximum(c, 1.0)
-    whole = c - mass < 1e-9 * safe
-    scale = np.where(whole, safe / (safe + 1), 1.0)
+    scale = np.where(c - mass < 1e-6 + 1e-13 * c, safe / (safe + 1), 1.0)
     left = 1 - scale * mass / safe
     weight = np.where(c > 0, left / np.maximum(1 - base, model.unknown), 1.0)
     p = np.where(model.c2 > 0, scale * discounted(model.c2, model.d2) / safe, weight * model.p1[block.pair_word])
@@ -250,34 +271,26 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
         got = sorted(got.to_pylist(), key=lambda r: r["part"])
         block = Block(docs)
         model = Model(block, got)
-        own = model.own & (model.c2 > 0)
-        context = np.where(block.pair_context == START, END, block.pair_context)[own]
-        keys, a, b = _sum_by(context, discounted(model.c2, model.d2)[own], model.p1[block.pair_word][own])
-        # every context of the block is asked for: those it owns no bigram of with nothing to add
-        asked = block.words
-        full_a, full_b = np.zeros(len(asked)), np.zeros(len(asked))
-        at = np.searchsorted(asked, keys)
-        full_a[at], full_b[at] = a, b
-        cuts = _cuts(asked, blocks)
-        out = []
+        gives = model.shared & (model.mass > 0)
+        cuts, out = _cuts(block.words, blocks), []
         for p, r in enumerate(got):
             s = slice(cuts[p], cuts[p + 1])
-            shared = model.shared[s]
-            k = _press_keys(asked[s][shared])
-            out.append((r["block"], p, r["v1"], r["v2"], r["many"], r["own"], r["hist"], k, *_zip(full_a[s][shared], full_b[s][shared])))
+            k, a, b = (x[s][gives[s]] for x in (block.words, model.mass, model.base))
+            known = (r["block"], p, r["v1"], r["v2"], r["many"], r["own"], r["hist"])
+            out.append((*known, _press_keys(k), _press_keys(block.words[s][model.ask[s]]), *_zip(a, b)))
         return _rows(_MASS, out)
 
     def sums(sent: pa.Table) -> pa.Table:
         sent = sent.to_pylist()
-        keys = [_keys(r["k3"]) for r in sent]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        ends, out = np.cumsum([len(x) for x in keys])[:-1], []
-        split = []
-        for name in ("a3", "b3"):
-            flat = np.concatenate([_unzip(r[name], "<f8") for r in sent])
-            split.append(np.split(np.bincount(inverse, weights=flat, minlength=len(distinct))[inverse], ends))
-        for i, r in enumerate(sent):
-            out.append((r["block"], r["part"], r["v1"], r["v2"], r["many"], r["own"], r["hist"], b"", *_zip(split[0][i], split[1][i])))
+        distinct, inverse = np.unique(np.concatenate([_keys(r["k3"]) for r in sent]), return_inverse=True)
+        a, b = (np.bincount(inverse, weights=np.concatenate([_unzip(r[n], "<f8") for r in sent]), minlength=len(distinct)) for n in ("a3", "b3"))
+        distinct, a, b = np.append(distinct, np.uint64(0)), np.append(a, 0.0), np.append(b, 0.0)
+        out = []
+        for r in sent:
+            asked = _keys(r["k4"])
+            at = np.searchsorted(distinct[:-1], asked)
+            at = np.where(distinct[at] == asked, at, len(distinct) - 1)
+            out.append((*(r[c] for c in ("block", "part", "v1", "v2", "many", "own", "hist")), b"", b"", *_zip(a[at], b[at])))
         return _rows(_MASS, out)
 
     names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -288,16 +301,9 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
             return pa.table([docs["doc_id"], docs["train"], *([[]] * 5)], names=names)
         block = Block(docs)
         model = Model(block, got)
-        own = model.own & (model.c2 > 0)
-        context = np.where(block.pair_context == START, END, block.pair_context)[own]
-        keys, a, b = _sum_by(context, discounted(model.c2, model.d2)[own], model.p1[block.pair_word][own])
-        seen_mass, seen_base = np.zeros(len(block.words)), np.zeros(len(block.words))
-        at = np.searchsorted(block.words, keys)
-        seen_mass[at], seen_base[at] = a, b
-        shared = model.shared
-        seen_mass[shared] = np.concatenate([_unzip(r["a3"], "<f8") for r in got])
-        seen_base[shared] = np.concatenate([_unzip(r["b3"], "<f8") for r in got])
-        pair, word = _score(block, model, seen_mass, seen_base)
+        model.mass[model.ask] = np.concatenate([_unzip(r["a3"], "<f8") for r in got])
+        model.base[model.ask] = np.concatenate([_unzip(r["b3"], "<f8") for r in got])
+        pair, word = _score(block, model)
         by_doc = lambda x: np.add.reduceat(x, block.starts)
         return pa.table(
             [
