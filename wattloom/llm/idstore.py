@@ -138,7 +138,7 @@ def write_ids(
     """
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end = piece_ids(vocabulary).of, end_id.to_bytes(4, "little")
+        each, end = piece_ids(vocabulary).each, end_id.to_bytes(4, "little")
         part, block, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -146,9 +146,9 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW.types)], schema=_ARROW)
 
         for batch in rows:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, found in zip(batch.column(0).to_pylist(), each(batch.column(1).to_pylist())):
                 keys.append(key)
-                ids.append((of(t) if t else b"") + end)
+                ids.append(found + end)
                 size += len(ids[-1]) // 4
                 if size >= shard_ids:
                     yield row()

@@ -100,7 +100,7 @@ def pack(
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = piece_ids(vocabulary).of, end_id.to_bytes(4, "little")
+        encode, end = piece_ids(vocabulary).each, end_id.to_bytes(4, "little")
         bins, number, whole, waiting = _Bins(capacity), TaskContext.get().partitionId() << 33, [], 0
         out: list[tuple] = []
 
@@ -125,8 +125,8 @@ def pack(
                     [("doc_id", batch.schema.types[0]), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                      ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64())]
                 )
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = (encode(t) if t else b"") + end
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids += end
                 doc, n = (key, len(ids) // 4), len(ids) // 4
                 for start in range(0, n - capacity + 1, capacity):
                     emit([(doc, start, ids[4 * start : 4 * (start + capacity)])])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,23 +30,50 @@ def pieces(text: str) -> list[str]:
     return CUT.split(text)
 
 
-class PieceIds(dict):
-    """Ids of pieces as little-endian unsigned 32-bit integers; remembers up to ``bound`` pieces."""
+class PieceIds:
+    """Ids of texts as little-endian unsigned 32-bit integers; remembers up to ``bound`` pieces."""
 
     def __init__(self, vocabulary: str, bound: int = 1_200_000):
-        super().__init__()
-        self.encode, self.bound = tokenizer(vocabulary).encode, bound
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.bound:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, pieces(text)))
+        self.encode, self.bound, self.known = tokenizer(vocabulary).encode, bound, {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes new pieces. Those with a space in front only are encoded together, as one text, as that is
+        where a text may be cut; ids go to the piece in which their first character lies."""
+        alone = [p for p in pieces if not (len(p) > 1 and p[0] == " " and p.count(" ") == 1)]
+        for p in alone:
+            self.known[p] = np.array(self.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        joint = list(pieces.difference(alone))
+        if joint:
+            found = self.encode("".join(joint), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(starts, np.cumsum([len(p) for p in joint])).tolist()
+            self.known.update((p, ids[4 * a : 4 * b]) for p, a, b in zip(joint, [0, *ends], ends))
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of a few texts, nothing added; a null text has none."""
+        cut = [pieces(t) if t else [] for t in texts]
+        needed = set().union(*cut)
+        if len(self.known) >= self.bound:
+            self.known.clear()
+        new = needed.difference(self.known)
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, ps)) for ps in cut]
+        for p in new:
+            if len(p) > 64:
+                del self.known[p]
+        return out
+
+    def each(self, texts: list[str | None], chars: int = 500_000) -> Iterator[bytes]:
+        """Ids of any number of texts, some of them at a time."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and size < chars:
+                size += len(texts[j] or "")
+                j += 1
+            yield from self.of(texts[i:j])
+            i = j
 
 
 @lru_cache(maxsize=4)
