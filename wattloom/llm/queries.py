@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import counting, decontamination, idstore, katz, language, packing, repetition, urls
+from wattloom.llm import counting, decontamination, idstore, katz, language, packing, repetition, substrings, urls
 from wattloom.llm import sql as oracle
 from wattloom.llm.common import table
 
@@ -38,6 +38,11 @@ def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.global_starts(rows, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.repeated_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -71,6 +76,6 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_mixture, op2_slack_packing, op4_token_counts, op5_id_store, op7_winnowing, op8_katz, op9_repetition, op10_url_rules)
+    for f in (op1_language_mixture, op2_slack_packing, op4_token_counts, op5_id_store, op6_fm_index, op7_winnowing, op8_katz, op9_repetition, op10_url_rules)
 }
-SQL = {"op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES}
+SQL = {"op6_fm_index": oracle.SUBSTRINGS, "op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES}

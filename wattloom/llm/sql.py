@@ -54,6 +54,16 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 SELECT * EXCLUDE (too_long), NOT base_failed AND covered_words <= 0.3 * n_words AND too_long IS NULL AS kept FROM y"""
 
 
+SUBSTRINGS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+  w AS ({_unnested("doc_id", "d", 50)}),
+  gone AS (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY w) AS first FROM w) WHERE first < doc_id),
+  lost AS (SELECT doc_id, list(DISTINCT q) AS qs FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN qs IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(qs, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)"""
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
