@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import counting, decontamination, idstore, katz, language, packing, repetition, substrings, urls
+from wattloom.llm import counting, decontamination, idstore, katz, language, neardup, packing, repetition, substrings, urls
 from wattloom.llm import sql as oracle
 from wattloom.llm.common import table
 
@@ -25,6 +26,10 @@ def op2_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = counting.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -76,6 +81,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_mixture, op2_slack_packing, op4_token_counts, op5_id_store, op6_fm_index, op7_winnowing, op8_katz, op9_repetition, op10_url_rules)
+    for f in (op1_language_mixture, op2_slack_packing, op3_chosen_path, op4_token_counts, op5_id_store, op6_fm_index, op7_winnowing, op8_katz, op9_repetition, op10_url_rules)
 }
-SQL = {"op6_fm_index": oracle.SUBSTRINGS, "op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES}
+QUERIES["pipeline"] = corpus_pipeline.run
+SQL = {"op3_chosen_path": oracle.NEAR_DUPLICATES, "op6_fm_index": oracle.SUBSTRINGS, "op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES}

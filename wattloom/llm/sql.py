@@ -34,6 +34,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 5, 0) + 2),
+    lambda p: array_to_string(ws[p : p + 4], ' '))) AS w FROM d WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+  steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, steps.b FROM reach JOIN steps ON reach.b = steps.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+
 def _windows(n: int) -> str:
     """Positions of words in windows of n words that occur twice or more in their document."""
     return f"""SELECT doc_id, count(DISTINCT q) AS n, max(c) AS c FROM (SELECT doc_id, c, unnest(range(p, p + {n})) AS q FROM

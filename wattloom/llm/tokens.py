@@ -33,7 +33,7 @@ def pieces(text: str) -> list[str]:
 class PieceIds:
     """Ids of texts as little-endian unsigned 32-bit integers; remembers up to ``bound`` pieces."""
 
-    def __init__(self, vocabulary: str, bound: int = 1_200_000):
+    def __init__(self, vocabulary: str, bound: int = 2_000_000):
         self.encode, self.bound, self.known = tokenizer(vocabulary).encode, bound, {}
 
     def _learn(self, pieces: set[str]) -> None:
