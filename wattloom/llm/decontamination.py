@@ -46,6 +46,11 @@ def fingerprints(ws: Column, k: int, window: int) -> Column:
     return F.when(F.size(ws) >= window, _let(grams, chosen))
 
 
+def _all_grams(ws: Column, k: int) -> Column:
+    grams = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda p: _context(ws, _gram(ws, p, k), p, k, 0))
+    return F.when(F.size(ws) >= k, grams)
+
+
 def _agree(a: str, b: str) -> Column:
     """How many words two contexts share, counted from the fingerprint outwards."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -84,9 +89,7 @@ def contamination(
     about = items.agg(F.sum("_b").alias("size"), F.collect_set(F.when(F.size("ws").between(1, window - 1), F.size("ws"))).alias("short")).first()
     small = (about["size"] or 0) <= broadcast_bytes
     prints = [(fingerprints(F.col("ws"), k, window), F.lit(True), k, window)]
-    for n in sorted(about["short"]):
-        grams = F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda p, n=n: _context(F.col("ws"), _gram(F.col("ws"), p, n), p, n, 0))
-        prints.append((F.when(F.size("ws") >= n, grams), F.size("ws") == n, n, n))
+    prints += [(_all_grams(F.col("ws"), n), F.size("ws") == n, n, n) for n in sorted(about["short"])]
     found = reduce(
         DataFrame.unionByName,
         (
