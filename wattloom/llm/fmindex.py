@@ -53,16 +53,20 @@ class FMIndex:
     def __init__(self, text: np.ndarray, symbols: int, depth: int):
         n = len(text)
         rank, h = text.astype(np.int64), 1
+        self.ranks = [rank]  # equal where the next 1, 2, 4, ... symbols are
         while True:
             follow = np.zeros(n, dtype=np.int64)
             follow[: n - min(h, n)] = rank[h:] + 1
             key = rank * (int(rank.max(initial=0)) + 2) + follow
-            distinct, rank = np.unique(key, return_inverse=True)
+            self.order = np.argsort(key)
+            ordered = key[self.order]
+            rank = np.empty(n, dtype=np.int64)
+            rank[self.order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+            self.ranks.append(rank)
             h *= 2
-            if h >= depth or len(distinct) == n:
+            if h >= depth:
                 break
-        self.order = np.argsort(rank, kind="stable")
-        self.rank, self.text = rank, text
+        self.text = text
         self.bwt = WaveletMatrix(text[self.order - 1], symbols)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
 
@@ -74,12 +78,13 @@ class FMIndex:
     def common(self, length: int) -> np.ndarray:
         """Whether each suffix, in order, has the same first ``length`` symbols as the one before."""
         out = np.zeros(len(self.order), dtype=bool)
-        pair = np.flatnonzero(self.order[1:] + length <= len(self.text)) + 1
-        pair = pair[self.order[pair - 1] + length <= len(self.text)]
+        fits = self.order + length <= len(self.text)
+        pair = np.flatnonzero(fits[1:] & fits[:-1]) + 1
         a, b = self.order[pair - 1], self.order[pair]
-        for i in range(length):
-            same = self.text[a + i] == self.text[b + i]
-            pair, a, b = pair[same], a[same], b[same]
+        for k in range(len(self.ranks) - 1, -1, -1):
+            if length >> k & 1:
+                same = self.ranks[k][a] == self.ranks[k][b]
+                pair, a, b = pair[same], a[same] + (1 << k), b[same] + (1 << k)
         out[pair] = True
         return out
 

@@ -170,7 +170,7 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_substrings(
-    docs: DataFrame, window: int = 50, many: int = 1_000, doc_id: str = "doc_id", text: str = "text", shard_words: int = 200_000
+    docs: DataFrame, window: int = 50, many: int = 4_000, doc_id: str = "doc_id", text: str = "text", shard_words: int = 1_000_000
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (words joined by a space) and removed (starts and ends of spans, in turn).
 
