@@ -13,8 +13,9 @@ from wattloom.llm.common import WordHashes, cut, gram_hashes, mix, utf8_words, w
 
 SHINGLE = 5
 COORDINATES = 96  # minwise tokens a set; an estimate from them has a deviation under 0.04 at 0.85
-TREES = 12
-DEPTH = 4
+TREES = 6
+DEPTH = 3
+SECOND = 0.4  # share of nodes that branch twice; with 1.4 branches a pair at 0.85 is expected to meet again 1.19 times
 SMALL = 48
 SLACK = 0.17  # estimates this far below the threshold are still confirmed
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -70,19 +71,21 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
-    """The next level: each set of a node goes on by two of its minwise tokens, chosen by the node's path."""
+    """The next level: each set of a node goes on by one or two of its minwise tokens, as the node's path says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.num_rows
             node = batch.column(0).to_numpy().view(np.uint64)
             tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u4").reshape(k, COORDINATES)
-            nodes = []
+            nodes, rows = [], []
             for j in (1, 2):
                 path = mix(node + np.uint64(2 * level + j))
                 token = tokens[np.arange(k), (path % np.uint64(COORDINATES)).astype(np.int64)].astype(np.uint64)
-                nodes.append(mix(path ^ mix(token)).view(np.int64))
-            again = pa.array(np.tile(np.arange(k), 2))
+                goes = np.flatnonzero((mix(path) >> np.uint64(40)) < np.uint64(int(SECOND * (1 << 24)))) if j == 2 else np.arange(k)
+                nodes.append(mix(path ^ mix(token)).view(np.int64)[goes])
+                rows.append(goes)
+            again = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), *(batch.column(i).take(again) for i in (1, 2, 3))], names=["node", "doc", "n", "tokens"])
 
     return rows.select("node", "doc", "n", "tokens").mapInArrow(run, "node long, doc long, n long, tokens binary")
