@@ -1,6 +1,7 @@
 """Text operators against brute force, on the smallest tables and on rows with nulls, ties and repeats."""
 
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -192,6 +193,25 @@ def test_near_duplicates(spark, copies, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_large_nodes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = []
+    for group in range(3):  # chains: each text changes a word of the one before
+        words = [f"w{group}x{k}" for k in range(120)]
+        for k in range(60):
+            words[int(rng.integers(0, 120))] = f"c{group}x{k}"
+            texts.append((len(texts) + 1, " ".join(words)))
+    for name, value in (("PART", 7), ("BLOCK", 3), ("PIVOTS", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(neardup, "candidates", functools.partial(neardup.candidates, small=3, depth=1))
+    asked = []
+    rest = neardup.rest_pairs
+    monkeypatch.setattr(neardup, "rest_pairs", lambda *a: asked.append(rest(*a)) or asked[-1])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), trees=8).collect()}
+    assert got == _components(texts, 85)[0]
+    assert asked and asked[0].count() > 0
+
+
 def test_near_duplicates_of_odd_rows(docs):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 6} == {5}

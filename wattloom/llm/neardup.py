@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import WordHashes, cut, gram_hashes, mix, utf8_words, written
@@ -17,6 +17,8 @@ TREES = 6
 DEPTH = 3
 SECOND = 0.4  # share of nodes that branch twice; with 1.4 branches a pair at 0.85 is expected to meet again 1.19 times
 SMALL = 48
+PART, BLOCK = 1000, 500  # sets of a large node in one group, and sets compared with them
+PIVOTS = 16
 SLACK = 0.17  # estimates this far below the threshold are still confirmed
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -101,16 +103,15 @@ def _estimates(tokens: np.ndarray, sizes: np.ndarray, threshold: int, i: np.ndar
     return np.stack((i[good], j[good])), same[good]
 
 
-def _in_node(group: pa.Table, threshold: int) -> list[tuple[int, int]]:
-    """Candidates of a small node, all compared, the most alike first.
+def _thinned(docs: np.ndarray, pairs: np.ndarray, same: np.ndarray, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of documents, the most alike first, without those that others already tie.
 
-    A pair is left out if two sets are already tied by a chain of pairs that share nearly all coordinates.
+    Two sets are tied by a chain of pairs that share nearly all coordinates, or by an equal label.
     """
-    docs, sizes = group["doc"].to_numpy(), group["n"].to_numpy()
-    tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), dtype="<u4").reshape(len(docs), COORDINATES)
-    i, j = np.triu_indices(len(docs), 1)
-    pairs, same = _estimates(tokens, sizes, threshold, i, j)
     parent = list(range(len(docs)))
+    if labels is not None:
+        first: dict[int, int] = {}
+        parent = [first.setdefault(x, k) for k, x in enumerate(labels.tolist())]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -129,60 +130,90 @@ def _in_node(group: pa.Table, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs(out: list[tuple[int, int]]) -> pa.Table:
-    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    docs = group["doc"].to_numpy()
+    return docs, group["n"].to_numpy(), np.frombuffer(b"".join(group["tokens"].to_pylist()), dtype="<u4").reshape(len(docs), COORDINATES)
 
 
-def _deep(rows: DataFrame, threshold: int) -> DataFrame:
-    """Candidates of nodes that are large at the last level, so of sets that share a whole path of tokens.
+def _in_node(group: pa.Table, threshold: int) -> list[tuple[int, int]]:
+    """Candidates of a small node, all compared."""
+    docs, sizes, tokens = _columns(group)
+    return _thinned(docs, *_estimates(tokens, sizes, threshold, *np.triu_indices(len(docs), 1)))
 
-    Each set is compared with the node's smallest document, and with the 32 sets before it in the order of
-    their sizes; a node is spread over as many tasks as its rows need.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            if held is not None:
-                part = pa.concat_tables([held, part])
-            old = 0 if held is None else held.num_rows
-            node, docs, sizes = (part[c].to_numpy() for c in ("node", "doc", "n"))
-            tokens = np.frombuffer(b"".join(part["tokens"].to_pylist()), dtype="<u4").reshape(len(docs), COORDINATES)
-            out = []
-            for back in range(1, 33):
-                j = np.arange(max(old, back), len(docs))
-                i = j - back
-                mine = node[i] == node[j]
-                pairs, _ = _estimates(tokens, sizes, threshold, i[mine], j[mine])
-                out += [(int(min(docs[x], docs[y])), int(max(docs[x], docs[y]))) for x, y in pairs.T]
-            yield from _pairs(out).to_batches()
-            held = part.slice(max(0, part.num_rows - 32))
-
-    def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.to_pydict()
-            k = batch.num_rows
-            tokens = np.frombuffer(b"".join(x["tokens"] + x["p_tokens"]), dtype="<u4").reshape(2 * k, COORDINATES)
-            sizes = np.array(x["n"] + x["p_n"])
-            pairs, _ = _estimates(tokens, sizes, threshold, np.arange(k), np.arange(k, 2 * k))
-            yield from _pairs([(x["p_doc"][i], x["doc"][i]) for i in pairs[0]]).to_batches()
+def _pairs(out: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    near = rows.select("node", "n", "doc", "tokens").repartitionByRange("node", "n", "doc").sortWithinPartitions("node", "n", "doc")
-    first = rows.groupBy("node").agg(F.min("doc").alias("p_doc"))
-    first = first.join(rows.select(F.col("node").alias("_n"), F.col("doc").alias("_d"), F.col("n").alias("p_n"), F.col("tokens").alias("p_tokens")), (F.col("node") == F.col("_n")) & (F.col("p_doc") == F.col("_d"))).drop("_n", "_d")
-    star = rows.join(first, "node").where(F.col("doc") > F.col("p_doc")).select("doc", "n", "tokens", "p_doc", "p_n", "p_tokens")
-    return near.mapInArrow(run, "a long, b long").union(star.mapInArrow(pivots, "a long, b long"))
 
+def _part(salt: int, parts: str) -> Column:
+    return F.pmod(F.xxhash64("doc", "node", F.lit(salt)), F.col(parts))
 
-def candidates(classes: DataFrame, threshold: int, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """a, b: pairs of sets that may be linked, each once, from all trees.
+
+def _pivot_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """Candidates that tie most of a large node: each set with the pivot it is most like, and pivots with each other.
+
+    A node is cut in parts of about ``PART`` sets; its pivots, about ``PIVOTS`` drawn by hash, go to all parts.
+    """
+    parts = rows.withColumn("parts", F.ceil(F.col("size") / PART)).withColumn("pivot", F.pmod(F.xxhash64("node", "doc"), F.col("size")) < PIVOTS)
+    part = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(_part(1, "parts")))
+    parts = parts.select("node", "doc", "n", "tokens", "pivot", F.explode(part).alias("part"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        docs, sizes, tokens = _columns(group)
+        pivot = group["pivot"].to_numpy()
+        p, r = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+        pairs, same = _estimates(tokens, sizes, threshold, np.repeat(r, len(p)), np.tile(p, len(r)))
+        order = np.lexsort((docs[pairs[1]], -same, pairs[0]))
+        best = pairs[:, order[np.unique(pairs[0][order], return_index=True)[1]]]
+        if group["part"][0].as_py() == 0:
+            i, j = np.triu_indices(len(p), 1)
+            best = np.concatenate((best, _estimates(tokens, sizes, threshold, p[i], p[j])[0]), axis=1)
+        ids = docs[best]
+        return _pairs(list(zip(ids.min(axis=0).tolist(), ids.max(axis=0).tolist())))
+
+    return parts.groupBy("node", "part").applyInArrow(compare, "a long, b long")
+
+
+def rest_pairs(large: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """Candidates between sets of a large node that ``found``, components of confirmed links, has apart.
+
+    All sets outside a node's largest component are compared with every set of the node in another component, in
+    blocks of parts, so no pair of a node is left out: it is compared, or one component already holds both.
+    """
+    rows = large.join(found.select("doc", "component"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+    top = rows.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node")
+    top = top.agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all")).where("most < all")
+    top = top.select("node", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("all") / PART).alias("parts"))
+    rows = rows.join(top, "node").withColumn("rest", F.col("label") != F.col("main"))
+    zero = F.lit(0).cast("long")
+    base = ["node", "doc", "n", "tokens", "label", "rest"]
+    asked = rows.where("rest").select(*base, F.lit(True).alias("asks"), _part(2, "blocks").alias("block"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
+    others = rows.select(*base, F.lit(False).alias("asks"), _part(1, "parts").alias("part"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        docs, sizes, tokens = _columns(group)
+        labels, rest, asks = (group[c].to_numpy() for c in ("label", "rest", "asks"))
+        all_others, out = np.flatnonzero(~asks), ([np.empty((2, 0), dtype=np.int64)], [np.empty(0, dtype=np.int64)])
+        for i in np.flatnonzero(asks):
+            # of two sets that both ask, the one with the smaller id does
+            j = all_others[(labels[all_others] != labels[i]) & (~rest[all_others] | (docs[all_others] > docs[i]))]
+            pairs, same = _estimates(tokens, sizes, threshold, np.full(len(j), i), j)
+            out[0].append(pairs)
+            out[1].append(same)
+        return _pairs(_thinned(docs, np.concatenate(out[0], axis=1), np.concatenate(out[1]), labels))
+
+    return asked.unionByName(others).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long").distinct()
+
+
+def candidates(classes: DataFrame, threshold: int, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """a, b: pairs of sets that may be linked, each once, from all trees; and the nodes still large at the last level.
 
     Two sets with similarity s share a tree's first node with probability s, so ``trees`` independent trees miss
     a pair with probability (1 - s) ** trees. Nodes of at most ``small`` sets are compared within; larger
-    ones branch, up to ``depth`` levels.
+    ones branch, up to ``depth`` levels. Of nodes large even then, the pairs tie sets with pivots;
+    :func:`rest_pairs` gives those that remain once these are confirmed.
     """
-    nodes, found = _roots(classes, trees), []
+    nodes, found, deep = _roots(classes, trees), [], None
     sets = classes.select("doc", "n", "tokens")
     for level in range(depth):
         count = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -199,13 +230,14 @@ def candidates(classes: DataFrame, threshold: int, trees: int = TREES, depth: in
         if large.isEmpty():
             break
         if level == depth - 1:
-            found.append(_deep(large.drop("size"), threshold))
+            deep = large
+            found.append(_pivot_pairs(large, threshold))
         # a node that all of its sets enter twice counts them once
         nodes = _branches(large, level).dropDuplicates(["node", "doc"])
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.distinct()
+    return out.distinct(), deep
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
@@ -264,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     Documents are linked where 100 * intersection >= threshold * union of their sets of 5-word shingles (A-Z
     lower-cased; fewer words are one shingle). component_id is the smallest doc_id reachable over links, and
     kept whether that is the row itself. Equal sets are one class from the start, represented by its smallest
-    document, so copies cost nothing; classes are joined by :func:`candidates`, and links confirmed on full sets.
+    document, so copies cost nothing; classes are joined by :func:`candidates` and :func:`rest_pairs`, and links confirmed on full sets.
 
     A null or empty text has an empty set and is linked with nothing. Rows with equal ids and texts get equal
     results; rows with equal ids and other texts share a component. doc_id is an integer; a row without one is
@@ -276,8 +308,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     same = some.groupBy("c1", "c2", "n").agg(F.min("doc").alias("first"))
     classes = some.join(same.select(F.col("first").alias("doc"), F.col("c1").alias("_1"), F.col("c2").alias("_2")), "doc").where("c1 = _1 AND c2 = _2")
     classes = classes.select("doc", "n", "tokens").dropDuplicates(["doc"])
-    pairs = cut(candidates(classes, threshold, trees))
-    found = components(confirm(pairs, rows.where("doc IS NOT NULL"), threshold))
+    pairs, large = candidates(classes, threshold, trees)
+    named = rows.where("doc IS NOT NULL")
+    links = cut(confirm(cut(pairs), named, threshold))
+    found = components(links)
+    if large is not None:
+        rest = cut(rest_pairs(large, found, threshold))
+        more = cut(confirm(rest, named, threshold))
+        if not more.isEmpty():
+            found = components(links.union(more))
     # a class's documents have its component, found through its first document
     same = same.join(found.select(F.col("doc").alias("first"), "component"), "first", "left")
     same = same.select("c1", "c2", "n", F.coalesce("component", "first").alias("component"))
