@@ -203,7 +203,7 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
             texts.append((len(texts) + 1, " ".join(words)))
     for name, value in (("PART", 7), ("BLOCK", 3), ("PIVOTS", 2)):
         monkeypatch.setattr(neardup, name, value)
-    monkeypatch.setattr(neardup, "candidates", functools.partial(neardup.candidates, small=3, depth=1))
+    monkeypatch.setattr(neardup, "branched", functools.partial(neardup.branched, small=3, depth=1))
     asked = []
     rest = neardup.rest_pairs
     monkeypatch.setattr(neardup, "rest_pairs", lambda *a: asked.append(rest(*a)) or asked[-1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,15 +104,13 @@ def _estimates(tokens: np.ndarray, sizes: np.ndarray, threshold: int, i: np.ndar
     return np.stack((i[good], j[good])), same[good]
 
 
-def _thinned(docs: np.ndarray, pairs: np.ndarray, same: np.ndarray, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _thinned(docs: np.ndarray, pairs: np.ndarray, same: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of documents, the most alike first, without those that others already tie.
 
     Two sets are tied by a chain of pairs that share nearly all coordinates, or by an equal label.
     """
-    parent = list(range(len(docs)))
-    if labels is not None:
-        first: dict[int, int] = {}
-        parent = [first.setdefault(x, k) for k, x in enumerate(labels.tolist())]
+    first: dict[int, int] = {}
+    parent = [first.setdefault(x, k) for k, x in enumerate(labels.tolist())]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -136,9 +135,12 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _in_node(group: pa.Table, threshold: int) -> list[tuple[int, int]]:
-    """Candidates of a small node, all compared."""
+    """Candidates of a small node: all pairs are compared but those with equal labels."""
     docs, sizes, tokens = _columns(group)
-    return _thinned(docs, *_estimates(tokens, sizes, threshold, *np.triu_indices(len(docs), 1)))
+    labels = group["label"].to_numpy()
+    i, j = np.triu_indices(len(docs), 1)
+    apart = labels[i] != labels[j]
+    return _thinned(docs, *_estimates(tokens, sizes, threshold, i[apart], j[apart]), labels)
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.Table:
@@ -153,8 +155,9 @@ def _pivot_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     """Candidates that tie most of a large node: each set with the pivot it is most like, and pivots with each other.
 
     A node is cut in parts of about ``PART`` sets; its pivots, about ``PIVOTS`` drawn by hash, go to all parts.
+    A document's hash is the same in every node, so nodes of one group have pivots, and pairs, in common.
     """
-    parts = rows.withColumn("parts", F.ceil(F.col("size") / PART)).withColumn("pivot", F.pmod(F.xxhash64("node", "doc"), F.col("size")) < PIVOTS)
+    parts = rows.withColumn("parts", F.ceil(F.col("size") / PART)).withColumn("pivot", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) * F.col("size") < PIVOTS << 30)
     part = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(_part(1, "parts")))
     parts = parts.select("node", "doc", "n", "tokens", "pivot", F.explode(part).alias("part"))
 
@@ -171,7 +174,23 @@ def _pivot_pairs(rows: DataFrame, threshold: int) -> DataFrame:
         ids = docs[best]
         return _pairs(list(zip(ids.min(axis=0).tolist(), ids.max(axis=0).tolist())))
 
-    return parts.groupBy("node", "part").applyInArrow(compare, "a long, b long")
+    return parts.groupBy("node", "part").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows with the component of their document, its own id if it has none."""
+    if found is None:
+        return rows.withColumn("label", F.col("doc"))
+    return rows.join(found.select("doc", "component"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+
+
+def small_pairs(small: DataFrame, found: DataFrame | None, threshold: int) -> DataFrame:
+    """Candidates within small nodes, but for pairs that one component of ``found`` already holds."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        return _pairs(_in_node(group, threshold))
+
+    return _labelled(small, found).select("node", "doc", "n", "tokens", "label").groupBy("node").applyInArrow(compare, "a long, b long")
 
 
 def rest_pairs(large: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
@@ -180,7 +199,7 @@ def rest_pairs(large: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
     All sets outside a node's largest component are compared with every set of the node in another component, in
     blocks of parts, so no pair of a node is left out: it is compared, or one component already holds both.
     """
-    rows = large.join(found.select("doc", "component"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+    rows = _labelled(large, found)
     top = rows.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node")
     top = top.agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all")).where("most < all")
     top = top.select("node", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("all") / PART).alias("parts"))
@@ -202,18 +221,17 @@ def rest_pairs(large: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
             out[1].append(same)
         return _pairs(_thinned(docs, np.concatenate(out[0], axis=1), np.concatenate(out[1]), labels))
 
-    return asked.unionByName(others).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long").distinct()
+    return asked.unionByName(others).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long")
 
 
-def candidates(classes: DataFrame, threshold: int, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
-    """a, b: pairs of sets that may be linked, each once, from all trees; and the nodes still large at the last level.
+def branched(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes of at most ``small`` sets, as rows of node, doc, n, tokens and size; and those still larger at the last level.
 
     Two sets with similarity s share a tree's first node with probability s, so ``trees`` independent trees miss
-    a pair with probability (1 - s) ** trees. Nodes of at most ``small`` sets are compared within; larger
-    ones branch, up to ``depth`` levels. Of nodes large even then, the pairs tie sets with pivots;
-    :func:`rest_pairs` gives those that remain once these are confirmed.
+    a pair with probability (1 - s) ** trees. Nodes of at most ``small`` sets end there; larger ones branch,
+    up to ``depth`` levels.
     """
-    nodes, found, deep = _roots(classes, trees), [], None
+    nodes, done, large = _roots(classes, trees), [], None
     sets = classes.select("doc", "n", "tokens")
     for level in range(depth):
         count = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -221,23 +239,29 @@ def candidates(classes: DataFrame, threshold: int, trees: int = TREES, depth: in
         if level == 0:
             rows = rows.join(sets, "doc")
         rows = written(rows.select("node", "doc", "n", "tokens", "size"), f"nodes{level}")
-
-        def compare(group: pa.Table) -> pa.Table:
-            return _pairs(_in_node(group, threshold))
-
-        found.append(rows.where(F.col("size") <= small).drop("size").groupBy("node").applyInArrow(compare, "a long, b long"))
+        done.append(rows.where(F.col("size") <= small))
         large = rows.where(F.col("size") > small)
         if large.isEmpty():
+            large = None
             break
-        if level == depth - 1:
-            deep = large
-            found.append(_pivot_pairs(large, threshold))
         # a node that all of its sets enter twice counts them once
         nodes = _branches(large, level).dropDuplicates(["node", "doc"])
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct(), deep
+    return reduce(DataFrame.union, done), large
+
+
+def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int = TREES) -> DataFrame:
+    """doc, component of every set with a link.
+
+    Large groups are tied first, through the pivots of their nodes. All other pairs of a node are then
+    compared unless the links confirmed so far already join them.
+    """
+    small, large = branched(classes, trees)
+    if large is None:
+        return components(confirm(cut(small_pairs(small, None, threshold).distinct()), docs, threshold))
+    links = cut(confirm(cut(_pivot_pairs(large, threshold)), docs, threshold))
+    found = components(links)
+    pairs = small_pairs(small, found, threshold).union(rest_pairs(large, found, threshold)).distinct()
+    return components(links.union(confirm(cut(pairs), docs, threshold)))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
@@ -296,7 +320,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     Documents are linked where 100 * intersection >= threshold * union of their sets of 5-word shingles (A-Z
     lower-cased; fewer words are one shingle). component_id is the smallest doc_id reachable over links, and
     kept whether that is the row itself. Equal sets are one class from the start, represented by its smallest
-    document, so copies cost nothing; classes are joined by :func:`candidates` and :func:`rest_pairs`, and links confirmed on full sets.
+    document, so copies cost nothing; classes are joined by :func:`linked`, and links confirmed on full sets.
 
     A null or empty text has an empty set and is linked with nothing. Rows with equal ids and texts get equal
     results; rows with equal ids and other texts share a component. doc_id is an integer; a row without one is
@@ -308,15 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     same = some.groupBy("c1", "c2", "n").agg(F.min("doc").alias("first"))
     classes = some.join(same.select(F.col("first").alias("doc"), F.col("c1").alias("_1"), F.col("c2").alias("_2")), "doc").where("c1 = _1 AND c2 = _2")
     classes = classes.select("doc", "n", "tokens").dropDuplicates(["doc"])
-    pairs, large = candidates(classes, threshold, trees)
-    named = rows.where("doc IS NOT NULL")
-    links = cut(confirm(cut(pairs), named, threshold))
-    found = components(links)
-    if large is not None:
-        rest = cut(rest_pairs(large, found, threshold))
-        more = cut(confirm(rest, named, threshold))
-        if not more.isEmpty():
-            found = components(links.union(more))
+    found = linked(classes, rows.where("doc IS NOT NULL"), threshold, trees)
     # a class's documents have its component, found through its first document
     same = same.join(found.select(F.col("doc").alias("first"), "component"), "first", "left")
     same = same.select("c1", "c2", "n", F.coalesce("component", "first").alias("component"))
