@@ -205,8 +205,8 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
         monkeypatch.setattr(neardup, name, value)
     monkeypatch.setattr(neardup, "branched", functools.partial(neardup.branched, small=3, depth=1))
     asked = []
-    rest = neardup.rest_pairs
-    monkeypatch.setattr(neardup, "rest_pairs", lambda *a: asked.append(rest(*a)) or asked[-1])
+    rest = neardup.rest_links
+    monkeypatch.setattr(neardup, "rest_links", lambda *a: asked.append(rest(*a)) or asked[-1])
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), trees=8).collect()}
     assert got == _components(texts, 85)[0]
     assert asked and asked[0].count() > 0

@@ -19,6 +19,7 @@ DEPTH = 3
 SECOND = 0.4  # share of nodes that branch twice; with 1.4 branches a pair at 0.85 is expected to meet again 1.19 times
 SMALL = 48
 PART, BLOCK = 1000, 500  # sets of a large node in one group, and sets compared with them
+BLOCK_ITEMS = 500_000  # shingles of the sets on either side of one group
 PIVOTS = 16
 SLACK = 0.17  # estimates this far below the threshold are still confirmed
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -193,35 +194,69 @@ def small_pairs(small: DataFrame, found: DataFrame | None, threshold: int) -> Da
     return _labelled(small, found).select("node", "doc", "n", "tokens", "label").groupBy("node").applyInArrow(compare, "a long, b long")
 
 
-def rest_pairs(large: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
-    """Candidates between sets of a large node that ``found``, components of confirmed links, has apart.
+def _full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """doc, items: the whole sets of the documents in ``needed``."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in rows:
+            for i in range(0, batch.num_rows, 200):
+                texts = batch.column(1).slice(i, 200).to_pylist()
+                found = [shingle_set(t, hashes).astype("<u8").tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 200), pa.array(found, pa.binary())], names=["doc", "items"])
+
+    return written(docs.join(needed.select("doc").distinct(), "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, items binary"), "sets")
+
+
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many items of ``x``, sorted, each of the others has."""
+    flat = np.concatenate(others)
+    in_x = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(in_x, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
+def rest_links(large: DataFrame, found: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links between sets of a large node that ``found``, components of confirmed links, has apart.
 
     All sets outside a node's largest component are compared with every set of the node in another component, in
-    blocks of parts, so no pair of a node is left out: it is compared, or one component already holds both.
+    blocks of parts, so no pair of a node is left out: it is compared, or links already join both. A block has
+    the whole sets, of bounded total size, and gives at most one link for each of its sets.
     """
     rows = _labelled(large, found)
-    top = rows.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node")
-    top = top.agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all")).where("most < all")
-    top = top.select("node", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("all") / PART).alias("parts"))
+    top = rows.groupBy("node", "label").agg(F.count("*").alias("k"), F.sum("n").alias("m")).groupBy("node")
+    top = top.agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max(F.struct("k", "label", "m")).alias("most"), F.sum("k").alias("all"), F.sum("m").alias("m"))
+    top = top.where("most.k < all").select(
+        "node",
+        "main",
+        F.ceil(F.greatest((F.col("all") - F.col("most.k")) / BLOCK, (F.col("m") - F.col("most.m")) / BLOCK_ITEMS)).alias("blocks"),
+        F.ceil(F.greatest(F.col("all") / PART, F.col("m") / BLOCK_ITEMS)).alias("parts"),
+    )
     rows = rows.join(top, "node").withColumn("rest", F.col("label") != F.col("main"))
+    rows = rows.join(_full_sets(docs, rows), "doc")
     zero = F.lit(0).cast("long")
-    base = ["node", "doc", "n", "tokens", "label", "rest"]
+    base = ["node", "doc", "n", "tokens", "label", "rest", "items"]
     asked = rows.where("rest").select(*base, F.lit(True).alias("asks"), _part(2, "blocks").alias("block"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
     others = rows.select(*base, F.lit(False).alias("asks"), _part(1, "parts").alias("part"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
 
     def compare(group: pa.Table) -> pa.Table:
-        docs, sizes, tokens = _columns(group)
+        ids, sizes, tokens = _columns(group)
         labels, rest, asks = (group[c].to_numpy() for c in ("label", "rest", "asks"))
-        all_others, out = np.flatnonzero(~asks), ([np.empty((2, 0), dtype=np.int64)], [np.empty(0, dtype=np.int64)])
+        items = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in group["items"]]
+        joined, out, all_others = labels.copy(), [], np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
             # of two sets that both ask, the one with the smaller id does
-            j = all_others[(labels[all_others] != labels[i]) & (~rest[all_others] | (docs[all_others] > docs[i]))]
-            pairs, same = _estimates(tokens, sizes, threshold, np.full(len(j), i), j)
-            out[0].append(pairs)
-            out[1].append(same)
-        return _pairs(_thinned(docs, np.concatenate(out[0], axis=1), np.concatenate(out[1]), labels))
+            j = all_others[(joined[all_others] != joined[i]) & (~rest[all_others] | (ids[all_others] > ids[i]))]
+            j = _estimates(tokens, sizes, threshold, np.full(len(j), i), j)[0][1]
+            if not len(j):
+                continue
+            both = _shared(items[i], [items[k] for k in j])
+            for k in j[100 * both >= threshold * (sizes[i] + sizes[j] - both)]:
+                if joined[k] != joined[i]:
+                    out.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+                    joined[joined == joined[k]] = joined[i]
+        return _pairs(out)
 
-    return asked.unionByName(others).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long")
+    return asked.unionByName(others).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long").distinct()
 
 
 def branched(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
@@ -260,21 +295,14 @@ def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int = TRE
         return components(confirm(cut(small_pairs(small, None, threshold).distinct()), docs, threshold))
     links = cut(confirm(cut(_pivot_pairs(large, threshold)), docs, threshold))
     found = components(links)
-    pairs = small_pairs(small, found, threshold).union(rest_pairs(large, found, threshold)).distinct()
-    return components(links.union(confirm(cut(pairs), docs, threshold)))
+    links = links.union(cut(rest_links(large, found, docs, threshold)))
+    found = components(links)
+    return components(links.union(confirm(cut(small_pairs(small, found, threshold).distinct()), docs, threshold)))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Those pairs with 100 * intersection >= threshold * union of the full sets."""
 
-    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in rows:
-            for i in range(0, batch.num_rows, 200):
-                texts = batch.column(1).slice(i, 200).to_pylist()
-                found = [shingle_set(t, hashes).astype("<u8").tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 200), pa.array(found, pa.binary())], names=["doc", "items"])
-
     def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             good = []
@@ -285,9 +313,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
                 good.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    full = docs.join(needed, "doc", "left_semi").select("doc", "text").mapInArrow(sets, "doc long, items binary")
-    full = written(full, "sets")
+    full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     x = full.select(F.col("doc").alias("a"), F.col("items").alias("x"))
     y = full.select(F.col("doc").alias("b"), F.col("items").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
