@@ -198,13 +198,13 @@ def _(t):
     return ops.comfort_emergency(room_state(t), ("site_id", "cycle"))
 
 
-@query(
-    "stability_emergency",
-    f"""WITH {TELEMETRY}, m AS (SELECT entity_id, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS bucket, avg(value) AS value FROM telemetry GROUP BY 1, 2),
+EMERGENCY_WINDOWS = """m AS (SELECT entity_id, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS bucket, avg(value) AS value FROM telemetry GROUP BY 1, 2),
       f AS (SELECT *, count(*) OVER w AS points, stddev_samp(value) OVER w AS sd, max(value) OVER w - min(value) OVER w AS rg FROM m
-        WINDOW w AS (PARTITION BY entity_id ORDER BY epoch_us(bucket) RANGE BETWEEN 10800000000 PRECEDING AND CURRENT ROW))
-    SELECT entity_id, bucket, value, points, round(sd, 6) AS power_std, rg AS power_range, points >= 5 AND (sd > 300 OR rg > 800) AS stability_emergency FROM f""",
-)
+        WINDOW w AS (PARTITION BY entity_id ORDER BY epoch_us(bucket) RANGE BETWEEN 10800000000 PRECEDING AND CURRENT ROW))"""
+EMERGENCY_ROWS = """SELECT entity_id, bucket, value, points, round(sd, 6) AS power_std, rg AS power_range, points >= 5 AND (sd > 300 OR rg > 800) AS stability_emergency FROM f"""
+
+
+@query("stability_emergency", f"WITH {TELEMETRY}, {EMERGENCY_WINDOWS} {EMERGENCY_ROWS}")
 def _(t):
     return rounded(ops.stability_emergency(t.telemetry, S, "10 minutes", "3 hours"), "power_std")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catalog.aggregates import EMERGENCY_ROWS, EMERGENCY_WINDOWS
 from catalog.cycling import CYCLES
 from catalog.joins import ZONES, zones
 from catalog.observing import OBS
@@ -49,11 +50,7 @@ def _(t):
 
 @query(
     "stream_stability_emergency",
-    f"""WITH {TELEMETRY}, m AS (SELECT entity_id, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS b, avg(value) AS v FROM telemetry GROUP BY 1, 2),
-      e AS (SELECT entity_id, v, epoch_us(b) // 600000000 - i AS n FROM m, range(18) r(i)),
-      w AS (SELECT entity_id, make_timestamp(n * 600000000) AS start, make_timestamp(n * 600000000 + 10800000000) AS "end", count(v) AS points, stddev_samp(v) AS sd, max(v) - min(v) AS power_range FROM e GROUP BY entity_id, n)
-    SELECT entity_id, start, "end", points, round(sd, 6) AS power_std, power_range, coalesce(points >= 5 AND (sd > 300 OR power_range > 800), false) AS stability_emergency FROM w
-    WHERE epoch_us("end") <= ((SELECT max(us) FROM telemetry) - 7200000000) // 1000 * 1000""",
+    f"""WITH {TELEMETRY}, {EMERGENCY_WINDOWS} {EMERGENCY_ROWS} WHERE epoch_us(bucket) + 600000000 <= ((SELECT max(us) FROM telemetry) - 7200000000) // 1000 * 1000""",
 )
 def _(t):
     df = live.stream_stability_emergency(stream(t), S, "10 minutes", "3 hours", "2 hours")

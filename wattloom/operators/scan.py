@@ -13,7 +13,6 @@ from wattloom.series import Series
 
 # fixed values: measurements in the order they are tried
 MEASUREMENTS = ("W", "°C", "kW", "kWh", "%", "state", " ")
-HVAC_KEYWORDS = ("climate", "hvac", "temp", "power")
 
 
 def dedup(df: DataFrame, s: Series) -> DataFrame:

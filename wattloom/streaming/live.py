@@ -18,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from wattloom.operators.joins import in_ranges, unstable_ranges
 from wattloom.operators.observer import FIRST, HISTORY
-from wattloom.series import Series
+from wattloom.series import Series, micros
 from wattloom.sources.sinks import JSON_STAMP
 
 
@@ -38,18 +38,24 @@ def stream_stability_emergency(
     max_range: float = 800.0,
     min_points: int = 5,
 ) -> DataFrame:
-    """Did power oscillate over the bucket means of each sliding window of ``width``."""
+    """Per bucket: did power oscillate over the bucket means of the last ``width``, both ends included.
+
+    A bucket is emitted once the watermark has passed its end.
+    """
     means = df.withWatermark(s.ts, delay).groupBy(*s.keys, F.window(s.ts, bucket).alias("_b")).agg(F.avg(s.value).alias("_v"))
-    sliding = means.groupBy(*s.keys, F.window(F.window_time("_b"), width, bucket).alias("_w")).agg(
+    both_ends = f"{micros(width) + micros(bucket)} microseconds"
+    sliding = means.groupBy(*s.keys, F.window(F.window_time("_b"), both_ends, bucket).alias("_w")).agg(
+        F.max(F.struct(F.col("_b.end").alias("end"), F.col("_b.start").alias("bucket"), "_v")).alias("_newest"),
         F.count("_v").alias("points"),
         F.stddev_samp("_v").alias("power_std"),
         (F.max("_v") - F.min("_v")).alias("power_range"),
     )
     hit = (F.col("points") >= min_points) & ((F.col("power_std") > max_std) | (F.col("power_range") > max_range))
-    return sliding.select(
+    # a window that ends in a bucket without readings belongs to no bucket
+    return sliding.filter(F.col("_newest.end") == F.col("_w.end")).select(
         *s.keys,
-        F.col("_w.start").alias("start"),
-        F.col("_w.end").alias("end"),
+        F.col("_newest.bucket").alias("bucket"),
+        F.col("_newest._v").alias(s.value),
         "points",
         "power_std",
         "power_range",
