@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import WordHashes, gram_hashes, sliding_min, utf8_words
+from wattloom.llm.common import WordHashes, gram_hashes, sliding_min, utf8_words, written
 from wattloom.llm.fmindex import FMIndex, LeastOwner
 
 GRAM = 8
@@ -187,7 +187,7 @@ def repeated_substrings(
     document, and up to 200,000 hashes.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
-    anchors = _anchor_rows(rows, window)
+    anchors = written(_anchor_rows(rows, window), "anchors")
     # documents are counted by the smallest and the largest id, and roughly for the split: repeated rows may count twice
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b")
     mine = anchors.join(shared.select("anchor", (F.col("n") > many).alias("hot")), "anchor")
