@@ -195,7 +195,7 @@ def small_pairs(small: DataFrame, found: DataFrame | None, threshold: int) -> Da
 
 
 def _full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """doc, items: the whole sets of the documents in ``needed``."""
+    """doc, items: the whole sets of the documents in ``needed``, but for empty ones of rows that repeat an id."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -205,14 +205,13 @@ def _full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 found = [shingle_set(t, hashes).astype("<u8").tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 200), pa.array(found, pa.binary())], names=["doc", "items"])
 
-    return written(docs.join(needed.select("doc").distinct(), "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, items binary"), "sets")
+    return written(docs.join(needed.select("doc").distinct(), "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, items binary").where("length(items) > 0"), "sets")
 
 
-def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """How many items of ``x``, sorted, each of the others has."""
-    flat = np.concatenate(others)
-    in_x = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
-    return np.add.reduceat(in_x, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+def _coded(items: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets, and their items one set after the other, numbered densely."""
+    sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in items]
+    return np.array([len(x) for x in sets], dtype=np.int64), np.unique(np.concatenate(sets), return_inverse=True)[1]
 
 
 def rest_links(large: DataFrame, found: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
@@ -234,23 +233,33 @@ def rest_links(large: DataFrame, found: DataFrame, docs: DataFrame, threshold: i
     rows = rows.join(top, "node").withColumn("rest", F.col("label") != F.col("main"))
     rows = rows.join(_full_sets(docs, rows), "doc")
     zero = F.lit(0).cast("long")
-    base = ["node", "doc", "n", "tokens", "label", "rest", "items"]
+    base = ["node", "doc", "label", "rest", "items"]
     asked = rows.where("rest").select(*base, F.lit(True).alias("asks"), _part(2, "blocks").alias("block"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
     others = rows.select(*base, F.lit(False).alias("asks"), _part(1, "parts").alias("part"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, sizes, tokens = _columns(group)
-        labels, rest, asks = (group[c].to_numpy() for c in ("label", "rest", "asks"))
-        items = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in group["items"]]
-        joined, out, all_others = labels.copy(), [], np.flatnonzero(~asks)
+        ids, labels, rest, asks = (group[c].to_numpy() for c in ("doc", "label", "rest", "asks"))
+        sizes, codes = _coded(group["items"])
+        places = np.cumsum(sizes) - sizes
+        other = np.flatnonzero(~asks)
+        other = other[np.argsort(sizes[other], kind="stable")]
+        if not len(other):
+            return _pairs([])
+        flat = np.concatenate([codes[places[k] : places[k] + sizes[k]] for k in other])
+        first = np.cumsum(sizes[other]) - sizes[other]
+        has, joined, out = np.zeros(codes.max() + 1, dtype=bool), labels.copy(), []
         for i in np.flatnonzero(asks):
-            # of two sets that both ask, the one with the smaller id does
-            j = all_others[(joined[all_others] != joined[i]) & (~rest[all_others] | (ids[all_others] > ids[i]))]
-            j = _estimates(tokens, sizes, threshold, np.full(len(j), i), j)[0][1]
-            if not len(j):
+            # sizes that allow a link lie together; of two sets that both ask, the one with the smaller id does
+            lo, hi = np.searchsorted(sizes[other], (-(-threshold * sizes[i] // 100), 100 * sizes[i] // threshold + 1))
+            j = other[lo:hi]
+            apart = (joined[j] != joined[i]) & (~rest[j] | (ids[j] > ids[i]))
+            if not apart.any():
                 continue
-            both = _shared(items[i], [items[k] for k in j])
-            for k in j[100 * both >= threshold * (sizes[i] + sizes[j] - both)]:
+            mine = codes[places[i] : places[i] + sizes[i]]
+            has[mine] = True
+            both = np.add.reduceat(has[flat[first[lo] : first[hi - 1] + sizes[j[-1]]]], first[lo:hi] - first[lo], dtype=np.int64)
+            has[mine] = False
+            for k in j[apart & (100 * both >= threshold * (sizes[i] + sizes[j] - both))]:
                 if joined[k] != joined[i]:
                     out.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
                     joined[joined == joined[k]] = joined[i]
