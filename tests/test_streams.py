@@ -54,6 +54,37 @@ def test_cycles(spark, readings, tmp_path):
     assert rows(got, "entity_id", "start") == rows(want.select(*got.columns), "entity_id", "start")
 
 
+def feed_unordered(spark, df, folder):
+    """Six files, each with rows from all over half an hour, and from the half hours before and after."""
+    minute = F.floor(F.unix_timestamp("ts") / 60) - F.lit(1704067200 // 60)
+    spread = df.withColumn("_file", F.floor((minute + F.pmod(F.xxhash64("ts", "entity_id"), F.lit(45))) / 30))
+    for k in sorted(r[0] for r in spread.select("_file").distinct().collect()):
+        spread.filter(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_held_rows_come_in_time_order(spark, readings, tmp_path):
+    df, _ = readings
+    newest = df.agg(F.max("ts")).first()[0]
+    # two hours of disorder are allowed, so a reading is out once the newest one is two hours ahead of it
+    passed = F.col("ts") + F.expr("INTERVAL 2 HOURS") <= F.lit(newest)
+    source = feed_unordered(spark, df, f"{tmp_path}/in")
+    got = drain(spark, live.stream_observer(source, S, "2 hours", hold=True), tmp_path / "observer")
+    cols = ("entity_id", "ts", "value", "is_cycling")
+    assert rows(got.select(*cols), "entity_id", "ts") == rows(observer.observer_risk(df, S).filter(passed).select(*cols), "entity_id", "ts")
+    assert got.count() > 20
+
+
+def test_held_cycles(spark, readings, tmp_path):
+    df, _ = readings
+    newest = df.agg(F.max("ts")).first()[0]
+    source = feed_unordered(spark, df, f"{tmp_path}/in")
+    got = drain(spark, live.stream_cycles(source, S, 300, 150, "80 minutes", hold=True), tmp_path / "cycles")
+    want = cycling.detect_cycles(df, S, 300, 150).filter(F.col("end") + F.expr("INTERVAL 80 MINUTES") <= F.lit(newest))
+    assert got.count() > 3
+    assert rows(got, "entity_id", "start") == rows(want.select(*got.columns), "entity_id", "start")
+
+
 def test_resample_drops_late_rows(spark, readings, tmp_path):
     df, _ = readings
     late = df.filter("entity_id = 'a'").orderBy("ts").limit(1).withColumn("value", F.lit(1e6))

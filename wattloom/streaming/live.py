@@ -2,7 +2,9 @@
 
 Built-in windows where they suffice, keyed state for the observer, cycles and cooldowns.
 Within a micro-batch the rows of a key are put in time order; a row that is not newer than
-the last one processed for its key is late and ignored.
+the last one processed for its key is late and ignored. Where micro-batches do not come in time
+order, ``hold=True`` keeps rows in the state until the watermark has passed them: only rows behind
+the watermark are lost then, and results come ``delay`` later.
 """
 
 from __future__ import annotations
@@ -74,6 +76,31 @@ def _in_order(batches: Iterable[pd.DataFrame], after: int) -> pd.DataFrame:
     return rows[rows["_us"] > after].sort_values("_us", kind="stable")
 
 
+_PENDING = "pending_us array<bigint>, pending_v array<double>"
+
+
+def _due(batches: Iterable[pd.DataFrame], pending: tuple[list, list], after: int, state: GroupState, hold: bool) -> tuple[pd.DataFrame, tuple[list, list]]:
+    """Rows to process now, in time order, and the times and values to keep until the watermark has passed them."""
+    if not hold:
+        return _in_order(batches, after), ([], [])
+    held = pd.DataFrame({"_us": np.asarray(pending[0], dtype="int64"), "_v": np.asarray(pending[1], dtype="float64")})
+    new = [b[["_us", "_v"]].astype({"_us": "int64", "_v": "float64"}) for b in batches]
+    rows = _in_order([held, *new], after)
+    passed = rows["_us"] <= state.getCurrentWatermarkMs() * 1000
+    rest = rows[~passed]
+    return rows[passed], (rest["_us"].tolist(), rest["_v"].tolist())
+
+
+def _wake(state: GroupState, pending: tuple[list, list]) -> None:
+    """Calls the key again, with or without new rows, once the watermark has passed its first pending row."""
+    if pending[0]:
+        state.setTimeoutTimestamp(max(pending[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def _timeout(hold: bool) -> str:
+    return GroupStateTimeout.EventTimeTimeout if hold else GroupStateTimeout.NoTimeout
+
+
 def _key_types(df: DataFrame, s: Series) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in s.keys)
 
@@ -83,13 +110,13 @@ def _with_micros(df: DataFrame, s: Series, delay: str, *more: str) -> DataFrame:
     return late.select(*s.keys, s.ts, F.col(s.value).cast("double").alias("_v"), F.unix_micros(s.ts).alias("_us"), *more)
 
 
-def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: float = 200.0, cycling: float = 0.6) -> DataFrame:
-    """The risk of every reading; the state of a key is its last 20 readings."""
+def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: float = 200.0, cycling: float = 0.6, hold: bool = False) -> DataFrame:
+    """The risk of every reading; the state of a key is its last 20 readings, and with ``hold`` those above the watermark."""
     n_keys = len(s.keys)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last = state.get if state.exists else ([], -(2**62))
-        rows = _in_order(batches, last)
+        held, last, *pending = state.get if state.exists else ([], -(2**62), [], [])
+        rows, pending = _due(batches, pending, last, state, hold)
         history, scores = list(held), []
         for value in rows["_v"]:
             history = [*history[-(HISTORY - 1) :], value]
@@ -100,8 +127,9 @@ def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: f
             jumps = float((np.abs(np.diff(recent)) > jump).sum())
             raw = 0.4 * recent.std() / 125.0 + 0.4 * np.ptp(recent) / 1000.0 + 0.2 * jumps / 10.0
             scores.append(float(min(1.0, max(0.0, raw))))
-        if len(rows):
-            state.update((history, int(rows["_us"].iloc[-1])))
+        if len(rows) or pending[0]:
+            state.update((history, int(rows["_us"].iloc[-1]) if len(rows) else last, *pending))
+            _wake(state, pending)
         out = pd.DataFrame({k: [key[i]] * len(rows) for i, k in enumerate(s.keys[:n_keys])})
         out["_us"], out["value"] = rows["_us"].to_numpy(), rows["_v"].to_numpy()
         out["instability_score"] = scores
@@ -113,9 +141,9 @@ def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: f
         .applyInPandasWithState(
             update,
             f"{_key_types(df, s)}, _us long, value double, instability_score double",
-            "history array<double>, last_us long",
+            f"history array<double>, last_us long, {_PENDING}",
             "append",
-            GroupStateTimeout.NoTimeout,
+            _timeout(hold),
         )
     )
     return scored.select(
@@ -128,23 +156,23 @@ def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: f
     )
 
 
-def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.0, delay: str = "10 minutes") -> DataFrame:
+def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.0, delay: str = "10 minutes", hold: bool = False) -> DataFrame:
     """A row per finished cycle, emitted at its off reading.
 
     State: on/off, whether the cycle counts (a run on from the first reading does not), its
-    start, peak, sum and number of readings, and the last time seen.
+    start, peak, sum and number of readings, the last time seen, and with ``hold`` the readings
+    above the watermark.
     """
     if off > on:
         raise ValueError("the off threshold must not exceed the on threshold")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            is_on, counts, start, peak, total, known, n, last = state.get
-            fresh = False
+            is_on, counts, start, peak, total, known, n, last, *pending = state.get
         else:
-            is_on, counts, start, peak, total, known, n, last = False, False, 0, 0.0, 0.0, 0, 0, -(2**62)
-            fresh = True
-        rows = _in_order(batches, last)
+            is_on, counts, start, peak, total, known, n, last, *pending = False, False, 0, 0.0, 0.0, 0, 0, -(2**62), [], []
+        fresh = last == -(2**62)
+        rows, pending = _due(batches, pending, last, state, hold)
         done = []
         for us, value in zip(rows["_us"], rows["_v"]):
             us, present = int(us), value == value
@@ -158,8 +186,10 @@ def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.
             if was and not is_on and counts:
                 done.append((*key, start, us, (us - start) / 6e7, peak, total / known, n))
             fresh = False
-        if len(rows):
-            state.update((bool(is_on), bool(counts), start, peak, total, known, n, int(rows["_us"].iloc[-1])))
+        if len(rows) or pending[0]:
+            newest = int(rows["_us"].iloc[-1]) if len(rows) else last
+            state.update((bool(is_on), bool(counts), start, peak, total, known, n, newest, *pending))
+            _wake(state, pending)
         yield pd.DataFrame(done, columns=[*s.keys, "_start", "_end", "duration_minutes", "peak_power", "avg_power", "rows"])
 
     found = (
@@ -168,9 +198,9 @@ def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.
         .applyInPandasWithState(
             update,
             f"{_key_types(df, s)}, _start long, _end long, duration_minutes double, peak_power double, avg_power double, rows long",
-            "is_on boolean, counts boolean, start long, peak double, total double, known long, n long, last_us long",
+            f"is_on boolean, counts boolean, start long, peak double, total double, known long, n long, last_us long, {_PENDING}",
             "append",
-            GroupStateTimeout.NoTimeout,
+            _timeout(hold),
         )
     )
     return found.select(
