@@ -212,6 +212,29 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert asked and asked[0].count() > 0
 
 
+def test_near_duplicates_around_one_text(spark, threshold=80, shingles=360, changed=8):
+    """Each copy is linked with the first text alone, just at the threshold, in nodes that stay large."""
+    rng, step = np.random.default_rng(threshold), (shingles - 8) // changed
+    base = [f"w{i}" for i in range(shingles + 4)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 2_001):
+        words = list(base)
+        for j in range(changed):  # five shingles each
+            at = 4 + j * step + int(rng.integers(0, step - 4))
+            words[at] = f"c{i}x{j}"
+        texts.append((i, " ".join(words)))
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), threshold=threshold).collect()
+    assert len(got) == 2_001 and [r.doc_id for r in got if r.component_id != 0] == []
+
+
+def test_near_duplicate_trees_follow_the_threshold():
+    shapes = {t: neardup.shape(t) for t in (30, 50, 80, 85, 95)}
+    assert all(neardup.missed(t, *s) <= 1e-6 for t, s in shapes.items())
+    assert shapes[80][0] > shapes[85][0] > shapes[95][0]
+    with pytest.raises(ValueError):
+        neardup.shape(5)
+
+
 def test_near_duplicates_of_odd_rows(docs):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 6} == {5}

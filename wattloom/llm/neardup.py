@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,8 @@ from wattloom.llm.common import WordHashes, cut, gram_hashes, mix, utf8_words, w
 
 SHINGLE = 5
 COORDINATES = 96  # minwise tokens a set; an estimate from them has a deviation under 0.04 at 0.85
-TREES = 6
-DEPTH = 3
-SECOND = 0.4  # share of nodes that branch twice; with 1.4 branches a pair at 0.85 is expected to meet again 1.19 times
+MISSED = 1e-6  # chance that a pair at the threshold meets in no node, if all its nodes stay large
+DEPTH = 3  # levels; a level loses pairs and makes nodes smaller, and what stays large is compared exactly
 SMALL = 48
 PART, BLOCK = 1000, 500  # sets of a large node in one group, and sets compared with them
 BLOCK_ITEMS = 500_000  # shingles of the sets on either side of one group
@@ -75,21 +75,19 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
-    """The next level: each set of a node goes on by one or two of its minwise tokens, as the node's path says."""
+    """The next level: each set of a node goes on by two of its minwise tokens, chosen by the node's path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.num_rows
             node = batch.column(0).to_numpy().view(np.uint64)
             tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u4").reshape(k, COORDINATES)
-            nodes, rows = [], []
+            nodes = []
             for j in (1, 2):
                 path = mix(node + np.uint64(2 * level + j))
                 token = tokens[np.arange(k), (path % np.uint64(COORDINATES)).astype(np.int64)].astype(np.uint64)
-                goes = np.flatnonzero((mix(path) >> np.uint64(40)) < np.uint64(int(SECOND * (1 << 24)))) if j == 2 else np.arange(k)
-                nodes.append(mix(path ^ mix(token)).view(np.int64)[goes])
-                rows.append(goes)
-            again = pa.array(np.concatenate(rows))
+                nodes.append(mix(path ^ mix(token)).view(np.int64))
+            again = pa.array(np.tile(np.arange(k), 2))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), *(batch.column(i).take(again) for i in (1, 2, 3))], names=["node", "doc", "n", "tokens"])
 
     return rows.select("node", "doc", "n", "tokens").mapInArrow(run, "node long, doc long, n long, tokens binary")
@@ -268,13 +266,38 @@ def rest_links(large: DataFrame, found: DataFrame, docs: DataFrame, threshold: i
     return asked.unionByName(others).groupBy("node", "block", "part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def branched(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+def missed(threshold: int, trees: int, depth: int) -> float:
+    """The chance that two sets at the threshold meet in no last node, if no node of theirs ends before.
+
+    They share a number of the coordinates that is binomial. All trees draw from the same coordinates, so only
+    for a given share are draws independent; a node whose two branches both lose the pair has lost it.
+    """
+    s, out = threshold / 100, 0.0
+    for k in range(COORDINATES + 1):
+        apart, lost = 1 - k / COORDINATES, 0.0
+        for _ in range(depth - 1):
+            lost = (apart + (1 - apart) * lost) ** 2
+        out += comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k) * (apart + (1 - apart) * lost) ** trees
+    return out
+
+
+def shape(threshold: int) -> tuple[int, int]:
+    """The fewest trees that miss a pair at the threshold with probability ``MISSED`` or less, and their levels."""
+    for depth in range(DEPTH, 0, -1):
+        for trees in range(1, COORDINATES + 1):
+            if missed(threshold, trees, depth) <= MISSED:
+                return trees, depth
+    raise ValueError(f"{COORDINATES} coordinates are too few for a threshold of {threshold}")
+
+
+def branched(classes: DataFrame, trees: int | None = None, threshold: int = 85, depth: int | None = None, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
     """Nodes of at most ``small`` sets, as rows of node, doc, n, tokens and size; and those still larger at the last level.
 
-    Two sets with similarity s share a tree's first node with probability s, so ``trees`` independent trees miss
-    a pair with probability (1 - s) ** trees. Nodes of at most ``small`` sets end there; larger ones branch,
-    up to ``depth`` levels.
+    Two sets with similarity s share a tree's first node with probability s. Nodes of at most ``small`` sets end
+    there; larger ones branch, up to ``depth`` levels. Trees and levels not given are those of :func:`shape`.
     """
+    fit = shape(threshold) if trees is None or depth is None else (trees, depth)
+    trees, depth = trees or fit[0], depth or fit[1]
     nodes, done, large = _roots(classes, trees), [], None
     sets = classes.select("doc", "n", "tokens")
     for level in range(depth):
@@ -293,13 +316,13 @@ def branched(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, small:
     return reduce(DataFrame.union, done), large
 
 
-def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int = TREES) -> DataFrame:
+def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int | None = None) -> DataFrame:
     """doc, component of every set with a link.
 
     Large groups are tied first, through the pivots of their nodes. All other pairs of a node are then
     compared unless the links confirmed so far already join them.
     """
-    small, large = branched(classes, trees)
+    small, large = branched(classes, trees, threshold)
     if large is None:
         return components(confirm(cut(small_pairs(small, None, threshold).distinct()), docs, threshold))
     links = cut(confirm(cut(_pivot_pairs(large, threshold)), docs, threshold))
@@ -349,13 +372,14 @@ def components(links: DataFrame) -> DataFrame:
         state = new
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id", text: str = "text", trees: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Documents are linked where 100 * intersection >= threshold * union of their sets of 5-word shingles (A-Z
     lower-cased; fewer words are one shingle). component_id is the smallest doc_id reachable over links, and
     kept whether that is the row itself. Equal sets are one class from the start, represented by its smallest
     document, so copies cost nothing; classes are joined by :func:`linked`, and links confirmed on full sets.
+    ``trees`` is by default as many as :func:`shape` finds for the threshold.
 
     A null or empty text has an empty set and is linked with nothing. Rows with equal ids and texts get equal
     results; rows with equal ids and other texts share a component. doc_id is an integer; a row without one is
