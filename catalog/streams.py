@@ -1,5 +1,7 @@
 """Streaming counterparts, fed from the table's own files."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from catalog.aggregates import EMERGENCY_ROWS, EMERGENCY_WINDOWS
@@ -27,6 +29,23 @@ def drain(t, df, name, mode="append"):
     return t.spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
+def drain_held(t, name, build):
+    """Run the held stream that ``build`` makes of the readings to the end of the table, and read back what it wrote.
+
+    Once the table has been read, a closing reading far ahead of all moves the watermark past them and so releases
+    what is held. It comes from a folder of its own, stays above the watermark and never comes out itself.
+    """
+    path = scratch(t, name)
+    readings = stream(t)
+    closing = t.spark.createDataFrame([("", dt.datetime(2200, 1, 1, tzinfo=dt.timezone.utc), 1e9, 0)], readings.schema)
+    closing.limit(0).write.parquet(f"{path}/closing")
+    df = build(readings.unionByName(t.spark.readStream.schema(readings.schema).parquet(f"{path}/closing")))
+    live.append_stream(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    closing.write.mode("append").parquet(f"{path}/closing")
+    live.append_stream(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
 @query(
     "stream_resample",
     f"""WITH {TELEMETRY}, b AS (SELECT entity_id, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket, avg(value) AS value FROM telemetry GROUP BY 1, 2)
@@ -39,13 +58,14 @@ def _(t):
 
 @query("stream_observer", f"WITH {TELEMETRY}, {OBS} SELECT entity_id, ts, value, round(score, 6) AS instability_score, score > 0.6 AS is_cycling FROM obs")
 def _(t):
-    df = live.stream_observer(stream(t), S)
-    return rounded(drain(t, df, "observer").drop("cycling_risk"), "instability_score")
+    df = drain_held(t, "observer", lambda readings: live.stream_observer(readings, S, "2 hours", hold=True))
+    return rounded(df.drop("cycling_risk"), "instability_score")
 
 
 @query("stream_cycles", f"WITH {TELEMETRY}, {CYCLES} SELECT * FROM cycles")
 def _(t):
-    return rounded(drain(t, live.stream_cycles(stream(t), S, on=300, off=150), "cycles"), "avg_power")
+    df = drain_held(t, "cycles", lambda readings: live.stream_cycles(readings, S, on=300, off=150, delay="2 hours", hold=True))
+    return rounded(df, "avg_power")
 
 
 @query(
@@ -87,8 +107,11 @@ def _(t):
 
 @query("stream_cooldown")
 def _(t):
-    wanted = stream(t).filter("value > 400").select("entity_id", "site_id", "ts", (F.col("value") > 1000).alias("is_emergency"))
     from wattloom.series import Series
 
-    df = live.stream_cooldown(wanted, Series(keys=("entity_id", "site_id")), minutes=720, emergency_minutes=300, delay="2 hours")
-    return drain(t, df, "cooldown")
+    def build(readings):
+        # every reading wants an action
+        wanted = readings.select("entity_id", "site_id", "ts", (F.col("value") > 1000).alias("is_emergency"))
+        return live.stream_cooldown(wanted, Series(keys=("entity_id", "site_id")), minutes=720, emergency_minutes=300, delay="2 hours", hold=True)
+
+    return drain_held(t, "cooldown", build)

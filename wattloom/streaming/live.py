@@ -214,35 +214,39 @@ def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.
     )
 
 
-def stream_cooldown(df: DataFrame, s: Series, minutes: float = 15.0, emergency_minutes: float = 7.0, emergency: str = "is_emergency", delay: str = "10 minutes") -> DataFrame:
+def stream_cooldown(df: DataFrame, s: Series, minutes: float = 15.0, emergency_minutes: float = 7.0, emergency: str = "is_emergency", delay: str = "10 minutes", hold: bool = False) -> DataFrame:
     """Wanted actions that the cooldown of their key lets through.
 
-    The state is the time of the last action; event time clears it when it no longer matters.
+    The state is the time of the last action, and with ``hold`` the wanted actions above the watermark;
+    event time clears it when it no longer matters.
     """
     longest = int(max(minutes, emergency_minutes) * 60_000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        acted, last, *pending = state.get if state.exists else (-(2**62), -(2**62), [], [])
+        if state.hasTimedOut and not len(pending[0]):
             state.remove()
             return
-        acted, last = state.get if state.exists else (-(2**62), -(2**62))
-        rows = _in_order(batches, last)
+        rows, pending = _due(batches, pending, last, state, hold)
         allowed = []
-        for us, urgent in zip(rows["_us"], rows["_urgent"]):
+        for us, urgent in zip(rows["_us"], rows["_v"]):
             if us - acted >= (emergency_minutes if urgent else minutes) * 6e7:
                 acted = int(us)
                 allowed.append((*key, acted, bool(urgent)))
-        if len(rows):
-            state.update((acted, int(rows["_us"].iloc[-1])))
-            expiry = max(int(rows["_us"].iloc[-1]) // 1000 + longest, state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(expiry)
+        if len(rows) or pending[0]:
+            newest = int(rows["_us"].iloc[-1]) if len(rows) else last
+            state.update((acted, newest, *pending))
+            if pending[0]:
+                _wake(state, pending)
+            else:
+                state.setTimeoutTimestamp(max(newest // 1000 + longest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(allowed, columns=[*s.keys, "_us", "is_emergency"])
 
-    wanted = df.withWatermark(s.ts, delay).select(*s.keys, s.ts, F.unix_micros(s.ts).alias("_us"), F.col(emergency).alias("_urgent"))
+    wanted = df.withWatermark(s.ts, delay).select(*s.keys, s.ts, F.unix_micros(s.ts).alias("_us"), F.coalesce(F.col(emergency).cast("boolean"), F.lit(False)).cast("double").alias("_v"))
     passed = wanted.groupBy(*s.keys).applyInPandasWithState(
         update,
         f"{_key_types(df, s)}, _us long, is_emergency boolean",
-        "acted long, last_us long",
+        f"acted long, last_us long, {_PENDING}",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
