@@ -164,21 +164,21 @@ def _(t):
 @query("learn_zones")
 def _(t):
     # readings are far apart here, so a bucket holds one
-    return analysis.learn_zones(t.telemetry, S, restarts=1, stable_below=450)
+    return analysis.learn_zones(t.telemetry, S, stable_below=450)
 
 
 @query("retrain_zones_daily")
 def _(t):
     path = scratch(t, "zones")
     for day in (25, 26):
-        out = analysis.retrain_zones(t.telemetry, S, path, dt.datetime(2024, 1, day, 3, tzinfo=dt.timezone.utc), restarts=1, ks=range(2, 4), stable_below=450)
+        out = analysis.retrain_zones(t.telemetry, S, path, dt.datetime(2024, 1, day, 3, tzinfo=dt.timezone.utc), stable_below=450)
     return out
 
 
 @query("gmm_bic_select")
 def _(t):
     df = stab(t).filter("value > 100 and power_std is not null")
-    out, _ = cl.gmm_bic_select(df, ["value", "power_std"], range(2, 5), restarts=1)
+    out, _ = cl.gmm_bic_select(df, ["value", "power_std"], range(2, 8))
     return out.select("entity_id", "ts", "value", "power_std", "cluster")
 
 
@@ -187,7 +187,7 @@ def _(t):
     from wattloom.operators.stats import with_stability
 
     df = with_stability(t.telemetry, S, 6).withColumnRenamed("value", "power").withColumn("power_std", F.col("power_std") / 4)
-    return cl.gmm_labels(df, ["entity_id", "ts"], ks=range(2, 5)).select("entity_id", "ts", "cluster", "label")
+    return cl.gmm_labels(df, ["entity_id", "ts"]).select("entity_id", "ts", "cluster", "label")
 
 
 # density on the scale of the readings, a cluster needs 50 neighbours
