@@ -299,6 +299,17 @@ def test_decontamination(spark, docs, none, limit):
     assert decontamination.contamination(none, bench).count() == 0
 
 
+def test_decontamination_judges_rows_without_an_id_alone(spark, monkeypatch):
+    texts = [(None, "x a b c d e f g h i j y"), (None, "clean words here"), (None, None), (None, "clean words here"), (1, "more clean words")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.hit, r.items) for r in decontamination.contamination(rows, bench).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 12, list(range(1, 11)), ["1"]), (None, 3, [], []), (None, 0, [], []), (None, 3, [], []), (1, 3, [], [])], key=repr)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: bench)
+    kept = corpus_pipeline.drop_contaminated(spark, rows, "").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(texts[1:], key=repr)
+
+
 # -- language model -------------------------------------------------------------------
 def _katz(texts):
     tokens = [(k, train, [*WORD.findall((t or "").translate(AZ)), "\n"]) for k, t, train in texts]

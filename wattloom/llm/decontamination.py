@@ -58,13 +58,13 @@ def _agree(a: str, b: str) -> Column:
 
 
 def _hits(docs: DataFrame, items: DataFrame, small: bool, k: int, window: int) -> DataFrame:
-    """doc_id, item_id, lo, hi: spans of document words inside occurrences of item windows."""
+    """doc_id, alone, item_id, lo, hi: spans of document words inside occurrences of item windows."""
     # not inline(): it would have Spark test "prints" for being empty below, with the words found anew for every use
     items = items.select("item_id", F.inline_outer("prints")).select("h", "item_id", *(F.col(c).alias(f"i_{c}") for c in ("gram", "left", "right")))
-    found = docs.select("doc_id", F.inline_outer("prints")).join(F.broadcast(items) if small else items, "h")
+    found = docs.select("doc_id", "alone", F.inline_outer("prints")).join(F.broadcast(items) if small else items, "h")
     found = found.where(F.col("gram") == F.col("i_gram")).withColumns({"_l": _agree("left", "i_left"), "_r": _agree("right", "i_right")})
     found = found.where(F.col("_l") + F.col("_r") + k >= window)
-    return found.select("doc_id", "item_id", (F.col("pos") - F.col("_l")).alias("lo"), (F.col("pos") + k + F.col("_r") - 1).alias("hi"))
+    return found.select("doc_id", "alone", "item_id", (F.col("pos") - F.col("_l")).alias("lo"), (F.col("pos") + k + F.col("_r") - 1).alias("hi"))
 
 
 def contamination(
@@ -81,10 +81,11 @@ def contamination(
 
     A null or empty text has no words and no hits; null and empty items have no windows. An item's id counts
     once, however often its row is repeated, and an item without an id is hit without being listed. Rows of
-    ``docs`` are all kept; rows with the same doc_id (or none) are taken as one document's, and share their
-    hits. Empty tables on either side give no hits. Other columns are not carried.
+    ``docs`` are all kept; rows with the same doc_id are taken as one document's, and share their
+    hits; a row without one is judged alone, by its text. Empty tables on either side give no hits. Other columns are not carried.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("ws"))
+    alone = F.when(F.col(doc_id).isNull(), F.sha2(F.col(text), 256)).alias("alone")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), alone, words(F.col(text)).alias("ws"))
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("ws"), F.octet_length(item_text).alias("_b"))
     about = items.agg(F.sum("_b").alias("size"), F.collect_set(F.when(F.size("ws").between(1, window - 1), F.size("ws"))).alias("short")).first()
     small = (about["size"] or 0) <= broadcast_bytes
@@ -93,16 +94,17 @@ def contamination(
     found = reduce(
         DataFrame.unionByName,
         (
-            _hits(docs.select("doc_id", p.alias("prints")), items.where(which).select("item_id", p.alias("prints")), small, size, span)
+            _hits(docs.select("doc_id", "alone", p.alias("prints")), items.where(which).select("item_id", p.alias("prints")), small, size, span)
             for p, which, size, span in prints
         ),
     )
-    found = found.groupBy("doc_id").agg(
+    found = found.groupBy("doc_id", "alone").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("lo", "hi"))))).alias("hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
-    rows = docs.select("doc_id", F.size("ws").cast("long").alias("n_words"))
+    rows = docs.select("doc_id", "alone", F.size("ws").cast("long").alias("n_words"))
     none = F.array()
-    return rows.join(found.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(
+    found = found.withColumnsRenamed({"doc_id": "_d", "alone": "_a"})
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("alone").eqNullSafe(F.col("_a")), "left").select(
         "doc_id", "n_words", F.coalesce("hit", none.cast("array<int>")).alias("hit"), F.coalesce("items", none.cast("array<string>")).alias("items")
     )
