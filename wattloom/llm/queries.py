@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import counting, decontamination, idstore, katz, language, neardup, packing, repetition, substrings, urls
+from wattloom.llm import counting, decontamination, idstore, katz, language, neardup, packing, repetition, substrings, urls, whitening
 from wattloom.llm import sql as oracle
 from wattloom.llm.common import table
 
@@ -79,9 +79,14 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_mixture, op2_slack_packing, op3_chosen_path, op4_token_counts, op5_id_store, op6_fm_index, op7_winnowing, op8_katz, op9_repetition, op10_url_rules)
+    for f in (op1_language_mixture, op2_slack_packing, op3_chosen_path, op4_token_counts, op5_id_store, op6_fm_index, op7_winnowing, op8_katz, op9_repetition, op10_url_rules, op11_block_whitening)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = {"op3_chosen_path": oracle.NEAR_DUPLICATES, "op6_fm_index": oracle.SUBSTRINGS, "op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES}
