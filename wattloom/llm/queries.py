@@ -6,9 +6,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import counting, decontamination, idstore, katz, language, neardup, packing, repetition, substrings, urls, whitening
+from wattloom.llm import centroids, counting, decontamination, idstore, katz, language, neardup, packing, repetition, substrings, urls, warc, whitening
 from wattloom.llm import sql as oracle
-from wattloom.llm.common import table
+from wattloom.llm.common import shared_path, table
 
 BYTE_BPE, BYTE_BPE_END = "byte_bpe_50k.json", 0
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -84,9 +84,21 @@ def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op12_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    index = warc.write_archives(warc.classify(table(spark, sf_dir, "pages")), path)
+    return warc.read_archives(index, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    whole = {c: F.expr(f"try_cast({c} AS bigint)") for c in ("distance", "cluster_inertia", "inertia")}
+    return found.withColumns(whole).withColumn("centroid_sha256", F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)).drop("centroid")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_mixture, op2_slack_packing, op3_chosen_path, op4_token_counts, op5_id_store, op6_fm_index, op7_winnowing, op8_katz, op9_repetition, op10_url_rules, op11_block_whitening)
+    for f in (op1_language_mixture, op2_slack_packing, op3_chosen_path, op4_token_counts, op5_id_store, op6_fm_index, op7_winnowing, op8_katz, op9_repetition, op10_url_rules, op11_block_whitening, op12_dictionary_warc, op13_shallot)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL = {"op3_chosen_path": oracle.NEAR_DUPLICATES, "op6_fm_index": oracle.SUBSTRINGS, "op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES}
+SQL = {"op3_chosen_path": oracle.NEAR_DUPLICATES, "op6_fm_index": oracle.SUBSTRINGS, "op7_winnowing": oracle.WINNOWING, "op9_repetition": oracle.REPETITION, "op10_url_rules": oracle.URL_RULES, "op12_dictionary_warc": oracle.WARC, "op13_shallot": oracle.CLUSTERS}

@@ -93,3 +93,33 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
     FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_PATTERNS} THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN fits USING (page_id)"""
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+  d AS (SELECT page_id, n, sha256(body) AS digest FROM p),
+  f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (digest)"""
+
+
+def _round(i: int) -> str:
+    """Assignment to the centroids c{i}, and the centroids after it."""
+    return f"""
+  a{i} AS (SELECT vec_id, x, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT vec_id, x, cluster,
+      list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM v CROSS JOIN c{i}) GROUP BY vec_id, x),
+  m{i} AS (SELECT cluster, list(m ORDER BY i) AS m FROM (SELECT cluster, i, floor(sum(e) / count(*))::BIGINT AS m
+      FROM (SELECT cluster, unnest(x) AS e, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY cluster, i) GROUP BY cluster),
+  c{i + 1} AS (SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))"""
+
+
+CLUSTERS = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+  c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, x AS c FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)),
+  {",".join(_round(i) for i in range(4))},
+  s AS (SELECT cluster, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, cluster_inertia, CAST((SELECT sum(d) FROM a3) AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN s USING (cluster) JOIN c3 USING (cluster)"""
