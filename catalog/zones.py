@@ -109,7 +109,7 @@ def _(t):
 
 @query("regions_by_kmeans")
 def _(t):
-    return analysis.regions_by_kmeans(metrics(t), ["entity_id"], restarts=3, **SCORING)
+    return analysis.regions_by_kmeans(metrics(t), ["entity_id"], **SCORING)
 
 
 @query("analyze_series_kmeans")
@@ -178,16 +178,94 @@ def _(t):
 @query("gmm_bic_select")
 def _(t):
     df = stab(t).filter("value > 100 and power_std is not null")
-    out, _ = cl.gmm_bic_select(df, ["value", "power_std"], range(2, 8))
+    out, _ = cl.gmm_bic_select(df, ["value", "power_std"], range(2, 8), ["entity_id"])
     return out.select("entity_id", "ts", "value", "power_std", "cluster")
 
 
+# one round over all rows from fixed starts: components at each key's quantiles, with the key's variances
+_SIZES = (2, 3, 5)
+_STARTS = f"""pts AS (SELECT entity_id, ts, value AS x, std AS y FROM stab WHERE value > 100 AND std IS NOT NULL),
+    start AS ({" UNION ALL ".join(f"""SELECT entity_id, {k} AS k, {j} AS j, 1.0::DOUBLE / {k} AS w, quantile_cont(x, {(j + 0.5) / k!r}::DOUBLE) AS mx, quantile_cont(y, {(j + 0.5) / k!r}::DOUBLE) AS my,
+      var_pop(x) AS vx, var_pop(y) AS vy, count(*) AS n FROM pts GROUP BY entity_id""" for k in _SIZES for j in range(k))})"""
+
+
+def starts(df):
+    """(entity_id, k, weights, means, covs) of the fixed starts."""
+    from wattloom.operators.stats import quantiles
+
+    names = {f"q{k}_{j}": (j + 0.5) / k for k in _SIZES for j in range(k)}
+    at = quantiles(df, ["entity_id"], "value", names).join(quantiles(df, ["entity_id"], "power_std", names).withColumnsRenamed({n: f"s{n}" for n in names}), "entity_id")
+    at = at.join(df.groupBy("entity_id").agg(F.var_pop("value").alias("vx"), F.var_pop("power_std").alias("vy")), "entity_id")
+    per = [
+        F.struct(
+            F.lit(k).alias("k"),
+            F.array(*[F.lit(1.0 / k)] * k).alias("weights"),
+            F.array(*[c for j in range(k) for c in (F.col(f"q{k}_{j}"), F.col(f"sq{k}_{j}"))]).alias("means"),
+            F.array(*[c for _ in range(k) for c in (F.col("vx"), F.lit(0.0), F.lit(0.0), F.col("vy"))]).alias("covs"),
+        )
+        for k in _SIZES
+    ]
+    return at.select("entity_id", F.inline(F.array(*per)))
+
+
+def components(df, *columns):
+    """One row a component."""
+    flat = df.select("entity_id", "k", "score", "bic", F.posexplode("components").alias("component", "c"))
+    return flat.select("entity_id", "k", F.col("component").cast("int").alias("component"), *columns)
+
+
+@query(
+    "gmm_round",
+    f"""WITH {TELEMETRY}, {STAB}, {_STARTS},
+      dens AS (SELECT entity_id, ts, k, j, x, y, n, ln(w) - ln(2 * pi()) - 0.5::DOUBLE * (ln(vx) + ln(vy)) - 0.5::DOUBLE * ((x - mx) * (x - mx) / vx + (y - my) * (y - my) / vy) AS lp
+        FROM pts JOIN start USING (entity_id)),
+      tops AS (SELECT *, max(lp) OVER (PARTITION BY entity_id, ts, k) AS top FROM dens),
+      ll AS (SELECT *, top + ln(sum(exp(lp - top)) OVER (PARTITION BY entity_id, ts, k)) AS l FROM tops),
+      score AS (SELECT entity_id, k, sum(l) / k AS score, any_value(n) AS n FROM ll GROUP BY entity_id, k),
+      est AS (SELECT entity_id, k, j, sum(exp(lp - l)) AS s, sum(exp(lp - l) * x) / s AS mx, sum(exp(lp - l) * y) / s AS my, sum(exp(lp - l) * x * x) / s - mx * mx + 1e-6 AS vx,
+        sum(exp(lp - l) * x * y) / s - mx * my AS vxy, sum(exp(lp - l) * y * y) / s - my * my + 1e-6 AS vy FROM ll GROUP BY entity_id, k, j)
+    SELECT entity_id, k, CAST(row_number() OVER (PARTITION BY entity_id, k ORDER BY mx) - 1 AS INTEGER) AS component, round(s / n, 6) AS weight, round(mx, 4) AS mean_power, round(my, 4) AS mean_std,
+      round(vx, 2) AS var_power, round(vxy, 2) AS covariance, round(vy, 2) AS var_std, round(score, 4) AS log_likelihood,
+      round(-2 * score + (6 * k - 1) * ln(n), 4) AS bic FROM est JOIN score USING (entity_id, k)""",
+)
+def _(t):
+    from wattloom.operators import models
+
+    df = stab(t).filter("value > 100 and power_std is not null")
+    out = models.one_round(df, ["entity_id"], ["value", "power_std"], models.Mixture(), starts(df))
+    names = {"weight": (F.col("c.weight"), 6), "mean_power": (F.col("c.mean")[0], 4), "mean_std": (F.col("c.mean")[1], 4)}
+    names |= {"var_power": (F.col("c.cov")[0], 2), "covariance": (F.col("c.cov")[1], 2), "var_std": (F.col("c.cov")[3], 2), "log_likelihood": (F.col("score"), 4), "bic": (F.col("bic"), 4)}
+    return components(out, *[F.round(c, digits).alias(n) for n, (c, digits) in names.items()])
+
+
+@query(
+    "kmeans_round",
+    f"""WITH {TELEMETRY}, {STAB}, {_STARTS},
+      near AS (SELECT entity_id, ts, k, x, y, n, vx, vy, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT *, (x - mx) * (x - mx) / vx + (y - my) * (y - my) / vy AS d
+        FROM pts JOIN start USING (entity_id)) GROUP BY ALL),
+      cost AS (SELECT entity_id, k, sum(d) AS inertia FROM near GROUP BY entity_id, k),
+      est AS (SELECT entity_id, k, j, count(*) / any_value(n) AS s, avg(x) AS mx, avg(y) AS my FROM near GROUP BY entity_id, k, j),
+      a AS (SELECT entity_id, k, j, coalesce(est.s, 0) AS s, coalesce(est.mx, start.mx) AS mx, coalesce(est.my, start.my) AS my FROM start LEFT JOIN est USING (entity_id, k, j))
+    SELECT entity_id, k, CAST(row_number() OVER (PARTITION BY entity_id, k ORDER BY mx, my) - 1 AS INTEGER) AS component, round(s, 6) AS weight,
+      round(mx, 4) AS mean_power, round(my, 4) AS mean_std, round(inertia, 4) AS inertia FROM a JOIN cost USING (entity_id, k)""",
+)
+def _(t):
+    from wattloom.operators import models
+
+    df = stab(t).filter("value > 100 and power_std is not null")
+    given = starts(df).withColumn("covs", F.array().cast("array<double>"))
+    out = models.one_round(df, ["entity_id"], ["value", "power_std"], models.Means(), given)
+    return components(
+        out, F.round("c.weight", 6).alias("weight"), F.round(F.col("c.mean")[0], 4).alias("mean_power"), F.round(F.col("c.mean")[1], 4).alias("mean_std"), F.round("score", 4).alias("inertia")
+    )
+
+
 @query("gmm_labels")
 def _(t):
     from wattloom.operators.stats import with_stability
 
     df = with_stability(t.telemetry, S, 6).withColumnRenamed("value", "power").withColumn("power_std", F.col("power_std") / 4)
-    return cl.gmm_labels(df, ["entity_id", "ts"]).select("entity_id", "ts", "cluster", "label")
+    return cl.gmm_labels(df, ["entity_id", "ts"], keys=["entity_id"]).select("entity_id", "ts", "cluster", "label")
 
 
 # density on the scale of the readings, a cluster needs 50 neighbours

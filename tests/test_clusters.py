@@ -132,25 +132,3 @@ def test_steady_series_is_stable(minutes):
     assert not got["short"].sufficient_data and got["short"].recommendation.startswith("Zu wenige Datenpunkte (10)")
     km = {r.entity_id: r for r in analysis.analyze_series(df, Series(slice="1 day"), method="kmeans", restarts=2).collect()}
     assert km["a"].min_stable_power < 700
-
-
-@pytest.mark.parametrize("name, most", [("learn_zones", 5), ("retrain_zones_daily", 5), ("gmm_bic_select", 7), ("gmm_labels", 7)])
-def test_registered_mixtures_search_all_components(spark, monkeypatch, name, most):
-    """Each query tries every number of components asked for, from three starts."""
-    import catalog
-    from catalog.registry import Tables
-    from wattloom.operators import clusters
-
-    class Stop(Exception):
-        pass
-
-    tried = []
-
-    def fits(estimators, data):
-        tried.extend(e.getK() for e in estimators)
-        raise Stop
-
-    monkeypatch.setattr(clusters, "fit_all", fits)
-    with pytest.raises(Stop):
-        catalog.load()[name].run(Tables(spark, "/root/testdata/sf0.01"))
-    assert sorted(tried) == [k for k in range(2, most + 1) for _ in range(3)]

@@ -1,19 +1,17 @@
-"""Clustering: k-means and Gaussian mixtures from MLlib, and density clusters on a grid."""
+"""Clustering: labels from the models of each key, principal components, and density clusters on a grid."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.operators import models
 from wattloom.operators.joins import label_writeback, stable_cluster_label
 from wattloom.operators.stats import quantiles
 from wattloom.session import checkpoint_dir
@@ -39,61 +37,33 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.na.drop(subset=list(cols)))
 
 
-def fit_all(estimators: Sequence, data: DataFrame, parallelism: int = 8) -> list:
-    """Fit several estimators on the same frame at once, as tuning does."""
-    fit = inheritable_thread_target(data.sparkSession)(lambda e: e.fit(data))
-    with ThreadPool(min(parallelism, len(estimators))) as pool:
-        return pool.map(fit, estimators, chunksize=1)
+def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int, keys: Sequence[str] = (), seed: int = 42, restarts: int = 10, out: str = "cluster") -> DataFrame:
+    """Cluster numbers of each key's cheapest k-means run on standardised columns; of all rows without keys."""
+    grouped, names = models.grouped(df, keys)
+    fitted = models.k_means(grouped, names, cols, k, restarts, seed=seed)
+    return models.label(grouped, names, cols, fitted, out).select(*df.columns, out)
 
 
-def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, restarts: int = 10, out: str = "cluster") -> DataFrame:
-    """Cluster numbers of the cheapest of several k-means runs on standardised columns."""
-    data = _vectors(standardize(df, cols), [f"{c}_z" for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = fit_all([KMeans(k=k, seed=seed + i, predictionCol=out) for i in range(restarts)], data)
-        best = min(models, key=lambda m: m.summary.trainingCost)
-    finally:
-        data.unpersist()
-    return best.transform(data).drop("features", *[f"{c}_z" for c in cols])
-
-
-def gmm_parameters(k: int, d: int) -> int:
-    """Free parameters of a mixture of k full-covariance Gaussians in d dimensions."""
-    return (k - 1) + k * d + k * d * (d + 1) // 2
+def gmm_bic_select(df: DataFrame, cols: Sequence[str], ks: Sequence[int], keys: Sequence[str] = (), seed: int = 42, restarts: int = 3, scale: bool = True, min_rows: int = 1, out: str = "cluster") -> tuple[DataFrame, DataFrame]:
+    """Labels of each key's mixture with the smallest BIC, and all candidates with their BIC and status.
 
+    Every number of components is fitted from several starts. Without keys all rows share a model. Rows that lack a
+    value, and keys with fewer than ``min_rows`` complete rows, get no label.
+    """
+    grouped, names = models.grouped(df, keys)
+    fitted = models.mixtures(grouped, names, cols, ks, restarts, seed=seed, scale=scale, min_rows=min_rows)
+    labelled = models.label(grouped, names, cols, fitted, out).select(*df.columns, out)
+    return labelled, fitted.drop(*[k for k in names if k not in keys])
 
-def gmm_bic_select(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 42, restarts: int = 3, scale: bool = True, out: str = "cluster") -> tuple[DataFrame, list[tuple[int, float]]]:
-    """Labels of the mixture with the smallest BIC, and the BIC per number of components.
 
-    Every k is fitted from several starts and keeps its most likely model.  The feature
-    frame is kept for the whole search and is read once per EM step.
-    """
-    names = [f"{c}_z" for c in cols] if scale else list(cols)
-    data = _vectors(standardize(df, cols) if scale else df, names).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = data.count()
-        starts = [(k, GaussianMixture(k=k, seed=seed + i, predictionCol=out, probabilityCol="_p")) for k in ks for i in range(restarts)]
-        fits = fit_all([e for _, e in starts], data)
-        scores, best = [], None
-        for k in ks:
-            fit = max((m for (kk, _), m in zip(starts, fits) if kk == k), key=lambda m: m.summary.logLikelihood)
-            bic = -2 * fit.summary.logLikelihood + gmm_parameters(k, len(names)) * math.log(n)
-            scores.append((k, bic))
-            if best is None or bic < best[0]:
-                best = (bic, fit)
-    finally:
-        data.unpersist()
-    labelled = best[1].transform(data).drop("features", "_p", *(names if scale else ()))
-    return labelled, scores
-
-
-def gmm_labels(df: DataFrame, identity: Sequence[str], power: str = "power", std: str = "power_std", ks: Sequence[int] = range(2, 8), min_power: float = 100.0, stable_below: float = 80.0, seed: int = 42) -> DataFrame:
-    """stable / unstable / unknown from mixture clusters of (power, std) of the running rows."""
+def gmm_labels(df: DataFrame, identity: Sequence[str], power: str = "power", std: str = "power_std", ks: Sequence[int] = range(2, 8), keys: Sequence[str] = (), min_power: float = 100.0, stable_below: float = 80.0, seed: int = 42) -> DataFrame:
+    """stable / unstable / unknown from each key's mixture clusters of (power, std) of its running rows."""
     running = df.filter((F.col(power) > min_power) & F.col(std).isNotNull())
-    labelled, _ = gmm_bic_select(running.select(*identity, power, std), [power, std], ks, seed)
-    medians = quantiles(labelled, ["cluster"], std, {"m": 0.5})
+    kept = [*identity, *[k for k in keys if k not in identity]]
+    labelled, _ = gmm_bic_select(running.select(*kept, power, std), [power, std], ks, keys, seed)
+    medians = quantiles(labelled, [*keys, "cluster"], std, {"m": 0.5})
     back = label_writeback(df, labelled, identity)
-    return stable_cluster_label(back, medians.filter(F.col("m") < stable_below))
+    return stable_cluster_label(back, medians.filter(F.col("m") < stable_below), keys=keys)
 
 
 def pca_2d(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[float]]:

@@ -130,10 +130,11 @@ def room_unit_lookup(rooms: DataFrame, units: DataFrame, site: str = "site_id")
     ).drop("_mode", "_fallback")
 
 
-def stable_cluster_label(df: DataFrame, stable_clusters: DataFrame, cluster: str = "cluster", out: str = "label") -> DataFrame:
-    """stable / unstable by membership in the stable set; unclustered rows are unknown."""
-    flagged = stable_clusters.select(cluster).distinct().withColumn("_stable", F.lit(True))
-    joined = df.join(flagged, cluster, "left")
+def stable_cluster_label(df: DataFrame, stable_clusters: DataFrame, cluster: str = "cluster", out: str = "label", keys: Sequence[str] = ()) -> DataFrame:
+    """stable / unstable by membership in the stable set (of the key); unclustered rows are unknown."""
+    on = [*keys, cluster]
+    flagged = stable_clusters.select(*on).distinct().withColumn("_stable", F.lit(True))
+    joined = df.join(flagged, on, "left")
     label = F.when(F.col("_stable"), "stable").when(F.col(cluster) >= 0, "unstable").otherwise("unknown")
     return joined.withColumn(out, label).drop("_stable")
 

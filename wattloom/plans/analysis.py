@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.operators import models
 from wattloom.operators import zones as z
-from wattloom.operators.clusters import gmm_bic_select, kmeans_labels
+from wattloom.operators.clusters import gmm_bic_select
 from wattloom.operators.scan import resample_mean
 from wattloom.operators.stats import data_quality, data_sufficiency
 from wattloom.operators.windows import trailing_exclusive
 from wattloom.series import Series
+from wattloom.session import saved
 
 
-def regions_by_kmeans(metrics: DataFrame, keys: list[str], value: str = "value", seed: int = 42, restarts: int = 10, min_rows: int = 20, **scoring) -> DataFrame:
-    """Regions from clusters of (power, rolling std); power bins for fewer than 100 rows.
+def regions_by_kmeans(metrics: DataFrame, keys: list[str], value: str = "value", seed: int = 42, restarts: int = 10, min_rows: int = 20, few: int = 100, **scoring) -> DataFrame:
+    """Regions from each key's own clusters of (power, rolling std).
 
-    One model is fitted over all given series; regions are summarised per key and cluster.
+    A key with fewer than ``few`` complete rows has regions from power bins instead; ``method`` tells which.
     """
-    n = metrics.filter(F.col(value).isNotNull() & F.col("power_std").isNotNull()).count()
-    if n < 100:
-        return z.regions_by_bins(metrics, keys, value, **scoring)
-    k = min(8, n // 150 + 3)
-    labelled = kmeans_labels(metrics, [value, "power_std"], k, seed, restarts, out="region")
+    cols = [value, "power_std"]
+    # read by the fit, the labels and the bins
+    metrics = saved(metrics.select(*keys, *[c for c in (*cols, "power_jump") if c in metrics.columns]), "metrics")
+    fitted = models.k_means(metrics, keys, cols, lambda n: min(8, n // 150 + 3), restarts, seed=seed, min_rows=few)
+    labelled = models.label(metrics, keys, cols, fitted, "region").filter("region IS NOT NULL")
     labelled = labelled.withColumn("region", F.col("region").cast("string"))
     regions = z.region_summary(labelled, [*keys, "region"], value, **scoring)
-    return regions.filter(F.col("sample_count") >= min_rows).orderBy(*keys, "power_min")
+    regions = regions.filter(F.col("sample_count") >= min_rows).withColumn("method", F.lit("kmeans"))
+    rest = metrics.join(fitted.filter("status = 'ok'").select(*keys).distinct(), keys, "left_anti")
+    bins = z.regions_by_bins(rest, keys, value, **scoring).withColumn("method", F.lit("bins"))
+    return regions.unionByName(bins).orderBy(*keys, "power_min")
 
 
 def analyze_series(
@@ -78,23 +83,34 @@ def learn_zones(
     restarts: int = 3,
     **labels,
 ) -> DataFrame:
-    """Zones of the last ``days`` before ``as_of`` (default: the newest reading).
+    """Zones of each key from its last ``days`` before ``as_of`` (default: the key's newest reading).
 
-    Bucket means of the running compressor, mean and population std of the n buckets before
-    each, a Gaussian mixture on both, then zones per cluster; the fixed zones if there is
-    too little data.  One model is fitted over all given series.
+    Bucket means of the running compressor, mean and population std of the n buckets before each, a Gaussian mixture
+    of the key on both, then zones per cluster. ``status`` is ``ok``, or ``too_few_rows`` or ``too_few_windows`` for
+    keys that get the fixed zones instead; so does, with ``no_zone``, a key none of whose clusters is large enough.
     """
-    until = df.agg(F.max(s.ts)).scalar() if as_of is None else F.lit(as_of)
-    recent = df.filter((F.col(s.ts) > until - F.expr(f"INTERVAL {days} DAYS")) & (F.col(s.ts) <= until))
+    keys = list(s.keys)
+    if as_of is None:
+        newest = df.groupBy(*keys).agg(F.max(s.ts).alias("_until"))
+        until, rows = F.col("_until"), df.join(newest, keys)
+    else:
+        until, rows = F.lit(as_of), df
+    recent = rows.filter((F.col(s.ts) > until - F.expr(f"INTERVAL {days} DAYS")) & (F.col(s.ts) <= until))
     means = resample_mean(recent, s, bucket).filter(F.col(s.value) > min_power)
     b = Series(keys=s.keys, ts="bucket", value=s.value, slice=s.slice)
-    windows = trailing_exclusive(means, b, n)
-    none = df.sparkSession.createDataFrame([], "kind string, cluster_id long, power_mean double, power_std double, power_min double, power_max double, samples long")
-    every = df.sparkSession.range(1).select(F.lit(0).alias("_k"))
-    if means.count() < min_rows or windows.count() < min_windows:
-        return z.fallback_zones(none.withColumn("_k", F.lit(0)), every, ["_k"]).drop("_k")
-    labelled, _ = gmm_bic_select(windows.select("power_mean", "power_std"), ["power_mean", "power_std"], ks, seed, restarts, scale=False)
-    return z.zones_from_labels(labelled, **labels)
+    # read by the fit and by the labels
+    windows = saved(trailing_exclusive(means, b, n).select(*keys, "power_mean", "power_std"), "windows")
+    # a row has its n rows before it unless it is one of the key's first n
+    counts = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    state = F.when(F.col("_n") < min_rows, "too_few_rows").when(F.col("_n") - n < min_windows, "too_few_windows").otherwise("ok")
+    status = df.select(*keys).distinct().join(counts, keys, "left").select(*keys, F.coalesce(state, F.lit("too_few_rows")).alias("status"))
+    status = saved(status, "status")
+    ready = windows.join(status.filter("status = 'ok'").select(*keys), keys, "left_semi")
+    labelled, _ = gmm_bic_select(ready, ["power_mean", "power_std"], ks, keys, seed, restarts, scale=False)
+    zones = saved(z.zones_from_labels(labelled, keys, **labels), "zones")
+    zones = z.fallback_zones(zones, status, keys)
+    fixed = F.col("cluster_id").isNull() & (F.col("status") == "ok")
+    return zones.join(status, keys).withColumn("status", F.when(fixed, "no_zone").otherwise(F.col("status")))
 
 
 def retrain_zones(df: DataFrame, s: Series, path: str, as_of, **options) -> DataFrame:
@@ -104,4 +120,5 @@ def retrain_zones(df: DataFrame, s: Series, path: str, as_of, **options) -> Data
 
     version = as_of.strftime("%Y-%m-%dT%H%M%S")
     write_zones(learn_zones(df, s, as_of, **options), path, version)
-    return read_zones(df.sparkSession, path, version)
+    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in s.keys)
+    return read_zones(df.sparkSession, path, version, keys)

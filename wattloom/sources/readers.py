@@ -71,9 +71,10 @@ def read_state_records(spark: SparkSession, path: str, lines: bool = False, room
     )
 
 
-def read_zones(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """The newest version of the learned zones, or the named one."""
-    zones = spark.read.schema(ZONE_SCHEMA + ", version string").json(path)
+def read_zones(spark: SparkSession, path: str, version: str | None = None, keys: str = "") -> DataFrame:
+    """The newest version of the learned zones, or the named one; ``keys`` are the key columns as DDL."""
+    schema = ", ".join(x for x in (keys, ZONE_SCHEMA, "status string" if keys else "", "version string") if x)
+    zones = spark.read.schema(schema).json(path)
     if version is None:
         newest = zones.agg(F.max("version"))
         return zones.filter(F.col("version") == newest.scalar())
