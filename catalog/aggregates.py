@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.cycling import CYCLES, cycles
 from catalog.registry import (
-    BY_USER, CHANNEL_COLS, CHANNELS, READINGS, ROOM_STATE, TELEMETRY, S, channels, query, readings, room_state, rounded,
+    BY_USER, CHANNEL_COLS, CHANNELS, READINGS, ROOM_STATE, TELEMETRY, channels, query, readings, room_state, rounded,
 )
 from catalog.scalars import STAB, stab
 from wattloom.functions import scalar as fn
@@ -169,11 +169,10 @@ def _(t):
     SELECT channel, round(avg(delta), 6) AS mean_delta, count(*) FILTER (abs(delta) > 0.1) AS changes, count(*) AS transitions FROM l GROUP BY 1""",
 )
 def _(t):
-    from catalog.registry import SITE
     from wattloom.operators.windows import diff_n
 
-    df = diff_n(channels(t), SITE.of("outdoor_temp"), 1, "outdoor_delta")
-    df = diff_n(df, SITE.of("target_eg"), 1, "target_delta")
+    df = diff_n(channels(t), t.SITE.of("outdoor_temp"), 1, "outdoor_delta")
+    df = diff_n(df, t.SITE.of("target_eg"), 1, "target_delta")
     return rounded(ops.transition_change_counts(df, ["outdoor_delta", "target_delta"]), "mean_delta")
 
 
@@ -206,7 +205,7 @@ EMERGENCY_ROWS = """SELECT entity_id, bucket, value, points, round(sd, 6) AS pow
 
 @query("stability_emergency", f"WITH {TELEMETRY}, {EMERGENCY_WINDOWS} {EMERGENCY_ROWS}")
 def _(t):
-    return rounded(ops.stability_emergency(t.telemetry, S, "10 minutes", "3 hours"), "power_std")
+    return rounded(ops.stability_emergency(t.telemetry, t.S, "10 minutes", "3 hours"), "power_std")
 
 
 @query(
@@ -216,7 +215,7 @@ def _(t):
       WHEN hours < 700 THEN format('Zu kurzer Zeitraum ({{:.1f}}h). Benötigt mindestens 700h.', hours) ELSE format('Ausreichend: {{}} Punkte über {{:.1f}}h', rows, hours) END AS message FROM s""",
 )
 def _(t):
-    return ops.data_sufficiency(t.by_user, S, min_rows=60, min_hours=700)
+    return ops.data_sufficiency(t.by_user, t.S, min_rows=60, min_hours=700)
 
 
 @query(
@@ -227,7 +226,7 @@ def _(t):
 )
 def _(t):
     df = t.by_user.withColumn("value", F.expr("case when value > 300 then value end"))
-    return rounded(ops.data_quality(df, S), "data_quality_score")
+    return rounded(ops.data_quality(df, t.S), "data_quality_score")
 
 
 @query(

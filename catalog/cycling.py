@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import TELEMETRY, S, W, query, rounded
+from catalog.registry import TELEMETRY, W, query, rounded
 from wattloom.operators import cycling as ops
 
 # 1 above on, 0 below off, otherwise the state holds
@@ -40,12 +40,12 @@ JUMPS = f"""jumps AS (SELECT entity_id, ts, p AS power_before, value AS power_af
 
 
 def cycles(t):
-    return ops.detect_cycles(t.telemetry, S, on=300, off=150)
+    return ops.detect_cycles(t.telemetry, t.S, on=300, off=150)
 
 
 @query("hysteresis_state", f"WITH {TELEMETRY}, {STATE} SELECT entity_id, ts, value, state FROM st")
 def _(t):
-    return ops.hysteresis_state(t.telemetry, S, on=300, off=150)
+    return ops.hysteresis_state(t.telemetry, t.S, on=300, off=150)
 
 
 @query("detect_cycles", f"WITH {TELEMETRY}, {CYCLES} SELECT * FROM cycles")
@@ -60,7 +60,7 @@ def _(t):
 
 @query("instability_score", f"WITH {TELEMETRY}, {SCORES} SELECT entity_id, ts, value, round(score, 6) AS score FROM sc")
 def _(t):
-    return rounded(ops.instability_score(t.telemetry, S, "2 hours"), "score")
+    return rounded(ops.instability_score(t.telemetry, t.S, "2 hours"), "score")
 
 
 @query(
@@ -69,13 +69,13 @@ def _(t):
       round(direction_changes / CASE WHEN duration_minutes > 0 THEN duration_minutes ELSE 1 END, 6) AS frequency FROM fluct""",
 )
 def _(t):
-    df = ops.detect_fluctuations(t.telemetry, S, "2 hours", threshold=0.75)
+    df = ops.detect_fluctuations(t.telemetry, t.S, "2 hours", threshold=0.75)
     return rounded(df, "instability_score", "avg_power", "frequency")
 
 
 @query("detect_power_jumps", f"WITH {TELEMETRY}, {JUMPS} SELECT * FROM jumps")
 def _(t):
-    return rounded(ops.detect_power_jumps(t.telemetry, S), "delta_pct")
+    return rounded(ops.detect_power_jumps(t.telemetry, t.S), "delta_pct")
 
 
 @query(
@@ -95,7 +95,7 @@ def _(t):
     FROM sp LEFT JOIN c USING (entity_id) LEFT JOIN i USING (entity_id) LEFT JOIN f USING (entity_id) LEFT JOIN j USING (entity_id)""",
 )
 def _(t):
-    df = ops.analyze_cycling(t.telemetry, S, 300, 150, width="2 hours", threshold=0.75, short_minutes=60)
+    df = ops.analyze_cycling(t.telemetry, t.S, 300, 150, width="2 hours", threshold=0.75, short_minutes=60)
     return rounded(df, "avg_cycle_duration", "avg_instability", "max_instability", "time_span_hours", "cycles_per_hour")
 
 
@@ -107,7 +107,7 @@ def _(t):
     FROM grid LEFT JOIN b USING (entity_id, bucket)""",
 )
 def _(t):
-    return ops.find_cycling_periods(cycles(t), S, "6 hours", per_hour=0.5)
+    return ops.find_cycling_periods(cycles(t), t.S, "6 hours", per_hour=0.5)
 
 
 _RISK = f"""rk AS (SELECT *, CASE WHEN sd > 250 THEN 30 ELSE 0 END + CASE WHEN sd > 500 THEN 30 ELSE 0 END
@@ -126,7 +126,7 @@ def _episodes(condition, min_rows):
 
 @query("cycling_episodes", f"WITH {TELEMETRY}, {_episodes('risk > 70', 3)} SELECT * FROM eps")
 def _(t):
-    return rounded(ops.cycling_episodes(t.telemetry, S, min_rows=3, scale=5), "power_mean", "power_std")
+    return rounded(ops.cycling_episodes(t.telemetry, t.S, min_rows=3, scale=5), "power_mean", "power_std")
 
 
 @query(
@@ -134,7 +134,7 @@ def _(t):
     f"WITH {TELEMETRY}, {_episodes('risk < 30', 1)} SELECT *, power_mean < 250 AS low_power FROM eps",
 )
 def _(t):
-    df = ops.stable_episodes(t.telemetry, S, min_rows=1, low_power=250, scale=5)
+    df = ops.stable_episodes(t.telemetry, t.S, min_rows=1, low_power=250, scale=5)
     return rounded(df, "power_mean", "power_std")
 
 
@@ -145,8 +145,8 @@ def _(t):
     FROM eps GROUP BY 1""",
 )
 def _(t):
-    eps = ops.cycling_episodes(t.telemetry, S, min_rows=3, scale=5)
-    out = rounded(ops.episode_summary(eps, S.keys), "avg_rows", "avg_spread")
+    eps = ops.cycling_episodes(t.telemetry, t.S, min_rows=3, scale=5)
+    out = rounded(ops.episode_summary(eps, t.S.keys), "avg_rows", "avg_spread")
     return rounded(out, "avg_power", "avg_std", digits=4)
 
 
@@ -155,7 +155,7 @@ def _(t):
     f"WITH {TELEMETRY}, {_RISK} SELECT entity_id, ts, risk AS cycling_risk, risk > 70 AS is_cycling, risk < 30 AS is_stable FROM rk",
 )
 def _(t):
-    df = ops.with_additive_risk(t.telemetry, S, scale=5)
+    df = ops.with_additive_risk(t.telemetry, t.S, scale=5)
     return df.select(
         "entity_id",
         "ts",

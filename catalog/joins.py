@@ -1,18 +1,18 @@
 """Alignment, as-of and range joins."""
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    READINGS, ROOMS, SITE, TELEMETRY, UNITS, S, W, query, readings, rooms, rounded, units,
+    READINGS, ROOMS, TELEMETRY, UNITS, W, query, readings, rooms, rounded, units,
 )
 from catalog.window_ops import PHASED, phased
 from wattloom.operators import joins as ops
 from wattloom.operators import stats
 from wattloom.operators.cycling import hysteresis_state
 from wattloom.operators.windows import lag_phase
-from wattloom.series import Series
 
 UTC = dt.timezone.utc
 BUCKET = "time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01')"
@@ -42,7 +42,7 @@ def _(t):
     SELECT g.entity_id, g.ts, t.value FROM grid g ASOF LEFT JOIN telemetry t ON g.entity_id = t.entity_id AND t.ts <= g.ts""",
 )
 def _(t):
-    return ops.asof_grid(t.telemetry, S, "1 hour", ["value"])
+    return ops.asof_grid(t.telemetry, t.S, "1 hour", ["value"])
 
 
 # unstable zones: the power range of the highest three readings of each event type
@@ -77,9 +77,9 @@ _EVENTS = f"""ev AS (SELECT *, lag(phase) OVER ({W}) AS prev FROM phased)"""
 
 
 def impact(t, width="2 hours"):
-    df = lag_phase(phased(t), S, "phase")
+    df = lag_phase(phased(t), t.S, "phase")
     event = (F.col("prev_phase") == "stable") & (F.col("phase") == "unstable")
-    return ops.event_window(df, S, event, ["value"], width)
+    return ops.event_window(df, t.S, event, ["value"], width)
 
 
 @query(
@@ -181,7 +181,7 @@ def snapshot(t):
         (20 + F.floor(k / 25) * 0.5).cast("string").alias("target_temp"),
         F.when(k % 50 < 15, "off").otherwise("heat").alias("hvac_mode"),
     )
-    return ops.state_snapshot(ticks, power, outdoor, states, states.select("site_id", "room").distinct(), SITE)
+    return ops.state_snapshot(ticks, power, outdoor, states, states.select("site_id", "room").distinct(), t.SITE)
 
 
 @query("state_snapshot", f"WITH {SNAPSHOT} SELECT * FROM snap")
@@ -197,7 +197,7 @@ def _(t):
       ON a.entity_id = b.entity_id AND b.ts > a.ts WHERE a.chg = 1""",
 )
 def _(t):
-    return ops.on_off_pairing(hysteresis_state(t.telemetry, S, 300, 150), S)
+    return ops.on_off_pairing(hysteresis_state(t.telemetry, t.S, 300, 150), t.S)
 
 
 NIGHTS = {
@@ -221,7 +221,7 @@ NIGHT_SQL = """tagged AS (
 
 def night(t):
     tagged = ops.tag_periods(t.telemetry, "ts", NIGHTS)
-    return stats.night_report(tagged, Series(keys=("entity_id", "period"), slice="6 hours"), calm=400)
+    return stats.night_report(tagged, replace(t.S, keys=("entity_id", "period")), calm=400)
 
 
 @query("night_report", f"WITH {TELEMETRY}, {NIGHT_SQL} SELECT * FROM night")
@@ -252,7 +252,7 @@ def _(t):
     FROM (SELECT * FROM k WHERE period = 'baseline') b JOIN (SELECT * FROM k WHERE period = 'controller') c USING (entity_id)""",
 )
 def _(t):
-    df = stats.with_stability(t.telemetry, S, 6)
+    df = stats.with_stability(t.telemetry, t.S, 6)
     days = {
         "baseline": (dt.datetime(2024, 1, 1, tzinfo=UTC), dt.datetime(2024, 1, 7, 23, 59, 59, 999999, tzinfo=UTC)),
         "controller": (dt.datetime(2024, 1, 8, tzinfo=UTC), dt.datetime(2024, 1, 14, 23, 59, 59, 999999, tzinfo=UTC)),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import CHANNELS, SITE, TELEMETRY, S, W, channels, query, rounded
+from catalog.registry import CHANNELS, TELEMETRY, W, channels, query, rounded
 from catalog.scans import scratch
 from catalog.scalars import STAB, stab
 from wattloom.operators import features as ops
@@ -26,8 +26,8 @@ def on_frame(t):
 
 
 def predictor_frame(t):
-    df = ops.predictor_features(on_frame(t), S, compressor="compressor_on")
-    return ops.predictor_labels(df, S, compressor="compressor_on", per_hour=30)
+    df = ops.predictor_features(on_frame(t), t.S, compressor="compressor_on")
+    return ops.predictor_labels(df, t.S, compressor="compressor_on", per_hour=30)
 
 
 @query(
@@ -36,7 +36,7 @@ def predictor_frame(t):
       compressor_runtime, 0.0::DOUBLE AS outdoor_temp, 0 AS active_units FROM pf""",
 )
 def _(t):
-    df = ops.predictor_features(on_frame(t), S, compressor="compressor_on")
+    df = ops.predictor_features(on_frame(t), t.S, compressor="compressor_on")
     return rounded(df, "power_trend", "power_std").select("entity_id", "ts", *ops.PREDICTOR_FEATURES)
 
 
@@ -46,11 +46,11 @@ def _(t):
     SELECT entity_id, ts, CASE WHEN sum(moved) OVER ({W} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) >= 5 THEN 1 ELSE 0 END AS label FROM m""",
 )
 def _(t):
-    return ops.predictor_labels(on_frame(t), S, compressor="compressor_on", per_hour=30).select("entity_id", "ts", "label")
+    return ops.predictor_labels(on_frame(t), t.S, compressor="compressor_on", per_hour=30).select("entity_id", "ts", "label")
 
 
 def filled(t):
-    return ffill(channels(t), SITE, ["target_eg"])
+    return ffill(channels(t), t.SITE, ["target_eg"])
 
 
 _FILLED = f"""{CHANNELS}, f AS (SELECT * REPLACE (last_value(target_eg IGNORE NULLS) OVER ({_SW} ROWS UNBOUNDED PRECEDING) AS target_eg) FROM channels)"""
@@ -76,7 +76,7 @@ def _rounded6(df, names):
 
 @query("causal_features", f"WITH {_CAUSAL} SELECT site_id, ts, {_r6(CAUSAL)} FROM ca")
 def _(t):
-    return _rounded6(ops.causal_features(filled(t), SITE, ROOMS), CAUSAL).select("site_id", "ts", *CAUSAL)
+    return _rounded6(ops.causal_features(filled(t), t.SITE, ROOMS), CAUSAL).select("site_id", "ts", *CAUSAL)
 
 
 SYMPTOM = ops.symptom_feature_names(ROOMS)
@@ -87,7 +87,7 @@ _SYM = f"""{_FILLED}, sd AS (SELECT *, power - lag(power) OVER ({_SW}) AS dp, ou
 
 
 def symptom(t):
-    return ops.symptom_features(filled(t), SITE, ROOMS)
+    return ops.symptom_features(filled(t), t.SITE, ROOMS)
 
 
 @query("symptom_features", f"WITH {_SYM} SELECT site_id, ts, {_r6(SYMPTOM)} FROM sy")
@@ -109,7 +109,7 @@ _LABELLED = f"""{_SYM}, lb AS (SELECT *, CASE WHEN power_std > 300 THEN 1 ELSE 0
 
 def imputed(t):
     labelled = ops.label_binary(symptom(t), "power_std", 250, 300)
-    return ops.impute_features(labelled, SITE, SYMPTOM)
+    return ops.impute_features(labelled, t.SITE, SYMPTOM)
 
 
 @query("impute_features", f"WITH {_LABELLED} SELECT site_id, ts, target, {_r6(SYMPTOM)} FROM im")
@@ -148,7 +148,7 @@ def _(t):
     f"""WITH {TELEMETRY}, {STAB}, {_STB} SELECT entity_id, ts, target, CAST(floor((row_number() OVER (PARTITION BY target ORDER BY us, entity_id) - 1) * 5 / n) AS INTEGER) AS fold FROM rk""",
 )
 def _(t):
-    return ops.time_folds(targets(t), S, "target").select("entity_id", "ts", "target", "fold")
+    return ops.time_folds(targets(t), t.S, "target").select("entity_id", "ts", "target", "fold")
 
 
 def small_forest(t, **options):
@@ -164,20 +164,20 @@ def _(t):
 
 @query("cross_validate_f1")
 def _(t):
-    m = ml.cross_validate_f1(predictor_frame(t), list(ops.PREDICTOR_FEATURES), "label", S, trees=10, depth=4)
+    m = ml.cross_validate_f1(predictor_frame(t), list(ops.PREDICTOR_FEATURES), "label", t.S, trees=10, depth=4)
     return t.spark.createDataFrame([(m["f1_mean"], m["f1_std"])], "f1_mean double, f1_std double")
 
 
 @query("predict_latest")
 def _(t):
-    return ml.predict_latest(small_forest(t), predictor_frame(t), S)
+    return ml.predict_latest(small_forest(t), predictor_frame(t), t.S)
 
 
 @query("save_model")
 def _(t):
     path = scratch(t, "model")
     ml.save_model(small_forest(t), path, t.spark)
-    return ml.predict_latest(ml.load_model(t.spark, path), predictor_frame(t), S)
+    return ml.predict_latest(ml.load_model(t.spark, path), predictor_frame(t), t.S)
 
 
 @query("load_model")

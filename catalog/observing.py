@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import READINGS, TELEMETRY, S, W, query, readings, rounded
+from catalog.registry import READINGS, TELEMETRY, W, query, readings, rounded
 from wattloom.operators import observer as ops
 
 # windows are scaled to the readings at hand: steps beyond 1500 W, scores divided by 8
@@ -27,7 +27,7 @@ SMALL = TELEMETRY.replace("floor(value * 10) AS value", "floor(floor(value * 10)
     f"WITH {SMALL}, {OBS} SELECT entity_id, ts, value, round(score, 6) AS instability_score, score > 0.6 AS is_cycling FROM obs",
 )
 def _(t):
-    return rounded(ops.observer_risk(small(t), S).drop("cycling_risk"), "instability_score")
+    return rounded(ops.observer_risk(small(t), t.S).drop("cycling_risk"), "instability_score")
 
 
 @query(
@@ -36,7 +36,7 @@ def _(t):
     FROM obs WHERE rn >= 5 AND dl > 200 QUALIFY recency <= 10""",
 )
 def _(t):
-    return ops.recent_jumps(t.telemetry, S)
+    return ops.recent_jumps(t.telemetry, t.S)
 
 
 @query(
@@ -49,7 +49,7 @@ def _(t):
       + 0.25::DOUBLE * least(1, sw / m), 6) END AS score FROM g""",
 )
 def _(t):
-    return rounded(ops.window_instability(t.telemetry, S, "6 hours", jump=800), "score")
+    return rounded(ops.window_instability(t.telemetry, t.S, "6 hours", jump=800), "score")
 
 
 @query(
@@ -63,7 +63,7 @@ def _(t):
 )
 def _(t):
     r = readings(t).groupBy(F.col("event_type").alias("entity_id"), "user_id").agg((F.max_by("k", "ts") >= 30).alias("is_on"))
-    return ops.status_summary(ops.observer_risk(small(t), S), ops.recent_jumps(small(t), S), r, S).drop("cycling_risk")
+    return ops.status_summary(ops.observer_risk(small(t), t.S), ops.recent_jumps(small(t), t.S), r, t.S).drop("cycling_risk")
 
 
 @query(
@@ -73,7 +73,7 @@ def _(t):
       round(avg(score), 6) AS mean_risk, round(max(score), 6) AS max_risk FROM obs GROUP BY 1""",
 )
 def _(t):
-    df = ops.risk_bands(ops.observer_risk(small(t), S), ("entity_id",), "instability_score")
+    df = ops.risk_bands(ops.observer_risk(small(t), t.S), ("entity_id",), "instability_score")
     return rounded(df, "high_pct", "medium_pct", "low_pct", "mean_risk", "max_risk")
 
 
@@ -90,7 +90,7 @@ def _(t):
 def _(t):
     from wattloom.operators.stats import with_stability
 
-    seen = with_stability(ops.observer_risk(small(t), S), S)
+    seen = with_stability(ops.observer_risk(small(t), t.S), t.S)
     score, calm = F.col("instability_score"), F.coalesce(F.col("power_std") < 50, F.lit(False))
     metrics = seen.groupBy("entity_id").agg(
         F.min("value").alias("min_stable_power"),

@@ -1,16 +1,15 @@
 """Control rules over past states."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.registry import READINGS, ROOM_STATE, channels, query, readings, room_state, rounded
 from catalog.scans import scratch
 from wattloom.operators import policy as ops
 from wattloom.plans import control
-from wattloom.series import Series
 from wattloom.sources import readers, sinks
 
-SITE_CYCLE = Series(keys=("site_id",), ts="cycle", slice="7 days")
-AT_ROOM = Series(keys=("site_id", "room"), ts="cycle", slice="7 days")
 RULES = ops.Rules(cooldown_minutes=720.0, emergency_cooldown_minutes=400.0)
 CYCLE = ["site_id", "cycle"]
 
@@ -61,7 +60,7 @@ def the_zones(t):
 
 
 def states(t):
-    return control.cycle_states(room_state(t), cycles(t), the_zones(t), SITE_CYCLE, RULES, ("site_id",))
+    return control.cycle_states(room_state(t), cycles(t), the_zones(t), t.SITE_CYCLE, RULES, ("site_id",))
 
 
 def rooms(t):
@@ -76,7 +75,7 @@ def rooms(t):
 
 
 def wanted(t):
-    return ops.room_actions(control.candidate_rooms(rooms(t), states(t), SITE_CYCLE), RULES)
+    return ops.room_actions(control.candidate_rooms(rooms(t), states(t), t.SITE_CYCLE), RULES)
 
 
 def log(t):
@@ -102,7 +101,7 @@ def _(t):
     mode = F.when(k < 10, "observation").when(k < 20, "manual").otherwise("active")
     decisions = readings(t).select("site_id", "ts", mode.alias("mode"))
     acted = readings(t).filter("value > 60").select("site_id", "ts")
-    return ops.can_act(decisions, acted, Series(keys=("site_id",), slice="7 days"), interval_minutes=60)
+    return ops.can_act(decisions, acted, replace(t.SITE, value="value"), interval_minutes=60)
 
 
 @query("gate_cycle", f"WITH {CYCLES} SELECT site_id, cycle, comfort_emergency, stability_emergency, in_unstable, is_emergency, gated FROM st")
@@ -131,8 +130,8 @@ def _(t):
     WHERE coalesce((epoch_us(r.cycle) - epoch_us(l.cycle)) / 6e7 >= CASE WHEN is_emergency THEN 400 ELSE 720 END, true)""",
 )
 def _(t):
-    df = control.candidate_rooms(rooms(t), states(t), SITE_CYCLE)
-    return ops.cooldown_filter(df, log(t), AT_ROOM, RULES).select(*CYCLE, "room", "delta")
+    df = control.candidate_rooms(rooms(t), states(t), t.SITE_CYCLE)
+    return ops.cooldown_filter(df, log(t), t.AT_ROOM, RULES).select(*CYCLE, "room", "delta")
 
 
 @query("cap_actions", f"WITH {CYCLES}, {WANTED}, {CAPPED} SELECT {_ACT}, action_rank FROM capped")
@@ -158,13 +157,13 @@ def _(t):
       FROM wanted w JOIN ready USING (site_id, cycle, room)) WHERE action_rank <= 2""",
 )
 def _(t):
-    df = control.open_loop(rooms(t), states(t), log(t), SITE_CYCLE, RULES)
+    df = control.open_loop(rooms(t), states(t), log(t), t.SITE_CYCLE, RULES)
     return df.select(*CYCLE, "room", "action_type", "action_rank")
 
 
 @query("closed_loop_backtest")
 def _(t):
-    return control.closed_loop(rooms(t), states(t), SITE_CYCLE, RULES)
+    return control.closed_loop(rooms(t), states(t), t.SITE_CYCLE, RULES)
 
 
 EPISODES = f"""{CYCLES}, {WANTED}, {CAPPED}, n AS (SELECT site_id, cycle, count(*) AS n FROM capped GROUP BY 1, 2),
@@ -175,7 +174,7 @@ EPISODES = f"""{CYCLES}, {WANTED}, {CAPPED}, n AS (SELECT site_id, cycle, count(
 def the_episodes(t):
     acts = ops.cap_actions(wanted(t), CYCLE, RULES.max_actions)
     units = rooms(t).select("site_id", "unit_id", "operating_mode").distinct()
-    return control.episodes(rooms(t), states(t), acts, SITE_CYCLE, units=units)
+    return control.episodes(rooms(t), states(t), acts, t.SITE_CYCLE, units=units)
 
 
 @query(
@@ -287,7 +286,7 @@ def _(t):
     f"""WITH {POLICY} SELECT site_id, cycle, strategy, row_number() OVER (PARTITION BY site_id ORDER BY cycle DESC) AS recency FROM pol WHERE strategy IS NOT NULL QUALIFY recency <= 5""",
 )
 def _(t):
-    return ops.last_actions(ops.policy_v2(policy_rows(t)), SITE_CYCLE).select("site_id", "cycle", "strategy", "recency")
+    return ops.last_actions(ops.policy_v2(policy_rows(t)), t.SITE_CYCLE).select("site_id", "cycle", "strategy", "recency")
 
 
 @query(

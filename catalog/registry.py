@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom import series
 from wattloom.series import Series
 
 
@@ -18,6 +19,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+_FITTED: dict[tuple, Series] = {}
 
 
 class Tables:
@@ -35,6 +37,32 @@ class Tables:
     def events(self) -> DataFrame:
         return self.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
+    def _fitted(self, name: str, df: DataFrame, s: Series) -> Series:
+        """Slices cut once for a folder and session."""
+        at = (self.spark.sparkContext.applicationId, self.folder, name, series.TARGET_ROWS)
+        if at not in _FITTED:
+            _FITTED[at] = series.fitted(df, s)
+        return _FITTED[at]
+
+    @property
+    def S(self) -> Series:
+        """Series by entity: of the long series and of the users'."""
+        names = F.explode(F.array("event_type", F.col("user_id").cast("string")))
+        return self._fitted("entity", self.events.select(names.alias("entity_id"), "ts"), Series())
+
+    @property
+    def SITE(self) -> Series:
+        stamps = self.events.select((F.col("user_id") % 10).alias("site_id"), "ts")
+        return replace(self._fitted("site", stamps, Series(keys=("site_id",))), value="power")
+
+    @property
+    def SITE_CYCLE(self) -> Series:
+        return replace(self.SITE, ts="cycle", value="value")
+
+    @property
+    def AT_ROOM(self) -> Series:
+        return replace(self.SITE_CYCLE, keys=("site_id", "room"))
+
     @property
     def telemetry(self) -> DataFrame:
         """Five long series: one per event type; readings are whole watts."""
@@ -56,7 +84,8 @@ TELEMETRY = """telemetry AS (
 BY_USER = """telemetry AS (
   SELECT user_id AS entity_id, ts, epoch_us(ts) AS us, floor(value * 10) AS value FROM events)"""
 
-S = Series(slice="7 days")
+# streams take the description of a series only; slices are of batch queries
+S = Series()
 W = "PARTITION BY entity_id ORDER BY us"
 
 
@@ -153,7 +182,6 @@ def long(t: Tables) -> DataFrame:
 
 
 CHANNEL_COLS = ("power", "outdoor_temp", "temp_eg", "target_eg", "unit_eg")
-SITE = Series(keys=("site_id",), value="power", slice="7 days")
 
 
 def channels(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import CHANNELS, READINGS, ROOM_STATE, SITE, TELEMETRY, S, W, channels, query, r6, room_state
+from catalog.registry import CHANNELS, READINGS, ROOM_STATE, TELEMETRY, W, channels, query, r6, room_state
 from catalog.scans import states
 from wattloom.functions import scalar as fn
 from wattloom.operators.stats import with_stability
@@ -12,7 +12,7 @@ STAB = f"""stab AS (SELECT *, max(value) OVER w - min(value) OVER w AS spread, s
 
 
 def stab(t):
-    return with_stability(t.telemetry, S)
+    return with_stability(t.telemetry, t.S)
 
 
 @query("filter_running", f"WITH {TELEMETRY} SELECT entity_id, ts, value FROM telemetry WHERE value > 50")
@@ -114,7 +114,7 @@ def _(t):
 def _(t):
     from wattloom.operators.features import target_changed
 
-    df = target_changed(channels(t), SITE, ["target_eg", "unit_eg"], any_out="any_changed")
+    df = target_changed(channels(t), t.SITE, ["target_eg", "unit_eg"], any_out="any_changed")
     return df.select("site_id", "ts", "target_eg_changed", "any_changed")
 
 

@@ -5,14 +5,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.registry import LONG, READINGS, TELEMETRY, S, long, query, readings, rounded
+from catalog.registry import LONG, READINGS, TELEMETRY, long, query, readings, rounded
 from wattloom.operators import scan as ops
-from wattloom.series import Series
 from wattloom.session import checkpoint_dir
 from wattloom.sources import readers, sinks
 
 UTC = dt.timezone.utc
-USER = Series(keys=("entity_id",), slice="7 days")
 
 
 def scratch(t, name):
@@ -84,7 +82,7 @@ _HOURLY = "hourly AS (SELECT entity_id, time_bucket(INTERVAL '1 hour', ts, TIMES
 
 @query("resample_mean", f"WITH {TELEMETRY}, {_HOURLY} SELECT * FROM hourly")
 def _(t):
-    return ops.resample_mean(t.telemetry, S, "1 hour")
+    return ops.resample_mean(t.telemetry, t.S, "1 hour")
 
 
 @query(
@@ -94,7 +92,7 @@ def _(t):
     SELECT entity_id, bucket, value FROM grid LEFT JOIN hourly USING (entity_id, bucket)""",
 )
 def _(t):
-    return ops.resample_mean_nullfill(t.telemetry, S, "1 hour")
+    return ops.resample_mean_nullfill(t.telemetry, t.S, "1 hour")
 
 
 @query(
@@ -128,7 +126,7 @@ def _(t):
 )
 def _(t):
     start, stop = dt.datetime(2024, 1, 2, tzinfo=UTC), dt.datetime(2024, 1, 28, tzinfo=UTC)
-    return ops.query_range_pivot(long(t), "W", ["f1", "f2"], start, stop, USER)
+    return ops.query_range_pivot(long(t), "W", ["f1", "f2"], start, stop, t.S)
 
 
 @query(
@@ -139,7 +137,7 @@ def _(t):
     FROM telemetry WHERE entity_id IN ('click', 'view', 'error') GROUP BY 1""",
 )
 def _(t):
-    return ops.align_entities(t.telemetry, ["click", "view", "error"], S, "1 hour")
+    return ops.align_entities(t.telemetry, ["click", "view", "error"], t.S, "1 hour")
 
 
 _STATES = f"""{READINGS}, states AS (SELECT entity_id, ts, us,
@@ -164,7 +162,7 @@ def _(t):
     WHERE ts >= since AND value IS NOT NULL""",
 )
 def _(t):
-    return ops.read_state_history(states(t), USER)
+    return ops.read_state_history(states(t), t.S)
 
 
 @query(
@@ -173,7 +171,7 @@ def _(t):
     QUALIFY ts > max(ts) OVER (PARTITION BY entity_id) - INTERVAL 24 HOUR""",
 )
 def _(t):
-    return ops.tail_period(t.telemetry, S)
+    return ops.tail_period(t.telemetry, t.S)
 
 
 @query("distinct_union", "SELECT DISTINCT id FROM (SELECT user_id AS id FROM events UNION ALL SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier)")

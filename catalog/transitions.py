@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import CHANNEL_COLS, CHANNELS, SITE, TELEMETRY, S, channels, query, rounded
+from catalog.registry import CHANNEL_COLS, CHANNELS, TELEMETRY, channels, query, rounded
 from catalog.joins import _EVENTS
 from catalog.window_ops import PHASED
 from wattloom.operators import transitions as ops
@@ -17,7 +17,7 @@ TH = dict(stable=250, unstable=500)
     FROM ev WHERE (prev = 'stable' AND phase = 'unstable') OR (prev = 'unstable' AND phase = 'stable')""",
 )
 def _(t):
-    return rounded(ops.phase_transitions(t.telemetry, S, **TH), "power_std")
+    return rounded(ops.phase_transitions(t.telemetry, t.S, **TH), "power_std")
 
 
 @query(
@@ -28,7 +28,7 @@ def _(t):
 def _(t):
     from wattloom.series import plain
 
-    return plain(ops.with_phases(t.telemetry, S, **TH)).groupBy("entity_id").agg(
+    return plain(ops.with_phases(t.telemetry, t.S, **TH)).groupBy("entity_id").agg(
         F.count_if(F.col("transition") == "to_unstable").alias("to_unstable"),
         F.count_if(F.col("transition") == "to_stable").alias("to_stable"),
     )
@@ -53,7 +53,7 @@ _ALL = [f"{c}_{k}" for c in CHANNEL_COLS for k in ("before", "after", "delta")]
 
 
 def impact(t):
-    return ops.transition_impact(channels(t), SITE, CHANNEL_COLS, "24 hours", stable=250, unstable=300)
+    return ops.transition_impact(channels(t), t.SITE, CHANNEL_COLS, "24 hours", stable=250, unstable=300)
 
 
 @query("transition_impact", f"WITH {IMPACT} SELECT site_id, ts, {', '.join(f'round({c}, 6) AS {c}' for c in _ALL)} FROM impact")
@@ -78,7 +78,7 @@ RUNS = f"""{PHASED}, g AS (SELECT *, sum(CASE WHEN phase = 'stable' THEN 0 ELSE
 
 
 def runs(t):
-    return rounded(ops.long_stable_runs(t.telemetry, S, min_rows=4, minutes_per_row=22, **TH), "power_mean", "power_std")
+    return rounded(ops.long_stable_runs(t.telemetry, t.S, min_rows=4, minutes_per_row=22, **TH), "power_mean", "power_std")
 
 
 @query("long_stable_runs", f"WITH {TELEMETRY}, {RUNS} SELECT * FROM runs")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.registry import BY_USER, TELEMETRY, S, W, query, r6, rounded
+from catalog.registry import BY_USER, TELEMETRY, W, query, r6, rounded
 from wattloom.functions.scalar import phase
 from wattloom.operators import windows as ops
 
@@ -13,7 +13,7 @@ PHASED = f"""phased AS (
 
 
 def phased(t):
-    df = ops.rolling_rows(t.telemetry, S, 6, "power", ("std",))
+    df = ops.rolling_rows(t.telemetry, t.S, 6, "power", ("std",))
     return df.withColumn("phase", phase("power_std", 250, 500))
 
 
@@ -22,7 +22,7 @@ def phased(t):
     f"WITH {TELEMETRY}, {PHASED} SELECT entity_id, ts, phase, lag(phase) OVER ({W}) AS prev_phase FROM phased",
 )
 def _(t):
-    return ops.lag_phase(phased(t), S, "phase").select("entity_id", "ts", "phase", "prev_phase")
+    return ops.lag_phase(phased(t), t.S, "phase").select("entity_id", "ts", "phase", "prev_phase")
 
 
 @query(
@@ -31,8 +31,8 @@ def _(t):
       value - lag(value, 6) OVER ({W}) AS diff6 FROM telemetry""",
 )
 def _(t):
-    one = ops.diff_n(t.by_user, S, 1, "diff1", fill=0)
-    return ops.diff_n(one, S, 6, "diff6").select("entity_id", "ts", "diff1", "diff6")
+    one = ops.diff_n(t.by_user, t.S, 1, "diff1", fill=0)
+    return ops.diff_n(one, t.S, 6, "diff6").select("entity_id", "ts", "diff1", "diff6")
 
 
 @query(
@@ -42,7 +42,7 @@ def _(t):
     FROM telemetry WINDOW w AS ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    return rounded(ops.rolling_rows(t.telemetry, S, 10), "roll_mean", "roll_std").drop("value")
+    return rounded(ops.rolling_rows(t.telemetry, t.S, 10), "roll_mean", "roll_std").drop("value")
 
 
 @query(
@@ -51,7 +51,7 @@ def _(t):
     FROM telemetry WINDOW w AS ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    return ops.power_spread(t.by_user, S, 10).drop("value")
+    return ops.power_spread(t.by_user, t.S, 10).drop("value")
 
 
 @query(
@@ -62,7 +62,7 @@ def _(t):
     FROM d WINDOW w AS ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    df = ops.power_gradient(t.telemetry, S)
+    df = ops.power_gradient(t.telemetry, t.S)
     return df.select("entity_id", "ts", r6("gradient").alias("gradient"), r6(F.abs("gradient")).alias("gradient_abs"))
 
 
@@ -73,7 +73,7 @@ def _(t):
     FROM telemetry WINDOW w AS ({W} RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    return rounded(ops.rolling_time(t.telemetry, S, "2 hours"), "roll_mean", "roll_std").drop("value")
+    return rounded(ops.rolling_time(t.telemetry, t.S, "2 hours"), "roll_mean", "roll_std").drop("value")
 
 
 @query(
@@ -82,7 +82,7 @@ def _(t):
     SELECT entity_id, ts, sign, CASE WHEN sign <> lag(sign) OVER ({W}) THEN 1 ELSE 0 END AS turn FROM g""",
 )
 def _(t):
-    return ops.direction_changes(t.telemetry, S).drop("value")
+    return ops.direction_changes(t.telemetry, t.S).drop("value")
 
 
 @query(
@@ -91,7 +91,7 @@ def _(t):
     FROM telemetry""",
 )
 def _(t):
-    return ops.forward_window(t.telemetry, S).drop("value")
+    return ops.forward_window(t.telemetry, t.S).drop("value")
 
 
 @query(
@@ -101,7 +101,7 @@ def _(t):
         count(*) OVER w AS n FROM telemetry WINDOW w AS ({W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) WHERE n = 30""",
 )
 def _(t):
-    return rounded(ops.trailing_exclusive(t.telemetry, S), "power_mean", "power_std").drop("value")
+    return rounded(ops.trailing_exclusive(t.telemetry, t.S), "power_mean", "power_std").drop("value")
 
 
 @query(
@@ -111,7 +111,7 @@ def _(t):
     SELECT entity_id, ts, phase, CAST(sum(n) OVER ({W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_id FROM c""",
 )
 def _(t):
-    return ops.islands(phased(t), S, "phase").select("entity_id", "ts", "phase", "run_id")
+    return ops.islands(phased(t), t.S, "phase").select("entity_id", "ts", "phase", "run_id")
 
 
 @query(
@@ -123,7 +123,7 @@ def _(t):
 )
 def _(t):
     df = t.telemetry.withColumn("on", F.col("value") > 300)
-    return ops.run_counter(df, S, "on").select("entity_id", "ts", "runtime")
+    return ops.run_counter(df, t.S, "on").select("entity_id", "ts", "runtime")
 
 
 _GAPPY = f"""g AS (SELECT entity_id, ts, us, CASE WHEN value > 300 THEN value END AS known FROM telemetry)"""
@@ -135,7 +135,7 @@ _GAPPY = f"""g AS (SELECT entity_id, ts, us, CASE WHEN value > 300 THEN value EN
 )
 def _(t):
     df = t.telemetry.select("entity_id", "ts", F.expr("case when value > 300 then value end").alias("known"))
-    return ops.ffill(df, S, ["known"])
+    return ops.ffill(df, t.S, ["known"])
 
 
 @query(
@@ -145,7 +145,7 @@ def _(t):
 )
 def _(t):
     df = t.telemetry.select("entity_id", "ts", F.expr("case when value > 300 then value end").alias("known"))
-    return ops.bfill(df, S, ["known"])
+    return ops.bfill(df, t.S, ["known"])
 
 
 @query(
@@ -163,4 +163,4 @@ def _(t):
       SELECT *, row_number() OVER ({W}) - 1 AS i FROM telemetry) WHERE i >= 10 AND (i - 10) % 5 = 0""",
 )
 def _(t):
-    return ops.sample_every_nth(t.telemetry, S, 5, start=10)
+    return ops.sample_every_nth(t.telemetry, t.S, 5, start=10)

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from catalog.registry import TELEMETRY, S, W, query, rounded
+from catalog.registry import TELEMETRY, W, query, rounded
 from catalog.scans import scratch
 from catalog.scalars import STAB, stab
 from wattloom.functions.scalar import BIN_EDGES
@@ -32,7 +32,7 @@ COLS = "entity_id, region, name, power_min, power_max, power_avg, sample_count,
 
 
 def metrics(t):
-    return ops.stability_metrics(t.telemetry, S, jump=800)
+    return ops.stability_metrics(t.telemetry, t.S, jump=800)
 
 
 def regions(t):
@@ -44,7 +44,7 @@ def regions(t):
     f"WITH {TELEMETRY}, {METRICS} SELECT entity_id, ts, value, round(power_std, 6) AS power_std, round(power_mean, 6) AS power_mean, power_jump, round(least(1, power_std / 600), 6) AS instability FROM metrics",
 )
 def _(t):
-    df = ops.stability_metrics(t.telemetry, S, full=600, jump=800)
+    df = ops.stability_metrics(t.telemetry, t.S, full=600, jump=800)
     return rounded(df, "power_std", "power_mean", "instability")
 
 
@@ -92,7 +92,7 @@ def _(t):
     FROM q LEFT JOIN advice USING (entity_id) LEFT JOIN rc USING (entity_id)""",
 )
 def _(t):
-    df = analysis.analyze_series(t.telemetry, S, min_rows=2000, jump=800, **SCORING)
+    df = analysis.analyze_series(t.telemetry, t.S, min_rows=2000, jump=800, **SCORING)
     total = F.aggregate("regions", F.lit(0).cast("long"), lambda a, r: a + r["sample_count"])
     count = F.when(F.col("regions").isNotNull(), F.size("regions").cast("long"))
     return df.withColumns({"region_count": count, "region_rows": total}).drop("regions")
@@ -114,7 +114,7 @@ def _(t):
 
 @query("analyze_series_kmeans")
 def _(t):
-    return analysis.analyze_series(t.by_user, S, method="kmeans", min_rows=20, jump=800, **SCORING).drop("regions")
+    return analysis.analyze_series(t.by_user, t.S, method="kmeans", min_rows=20, jump=800, **SCORING).drop("regions")
 
 
 _TRAIL = f"""tr AS (SELECT entity_id, ts, avg(value) OVER w AS power_mean, stddev_pop(value) OVER w AS power_std, count(*) OVER w AS n FROM telemetry
@@ -128,7 +128,7 @@ ZONES_SQL = f"""{_TRAIL}, zn AS (SELECT entity_id, CASE WHEN avg(power_std) < 45
 def labelled(t):
     from wattloom.operators.windows import trailing_exclusive
 
-    df = trailing_exclusive(t.telemetry, S)
+    df = trailing_exclusive(t.telemetry, t.S)
     return df.withColumn("cluster", F.floor(F.col("power_mean") / 100).cast("int"))
 
 
@@ -164,14 +164,14 @@ def _(t):
 @query("learn_zones")
 def _(t):
     # readings are far apart here, so a bucket holds one
-    return analysis.learn_zones(t.telemetry, S, stable_below=450)
+    return analysis.learn_zones(t.telemetry, t.S, stable_below=450)
 
 
 @query("retrain_zones_daily")
 def _(t):
     path = scratch(t, "zones")
     for day in (25, 26):
-        out = analysis.retrain_zones(t.telemetry, S, path, dt.datetime(2024, 1, day, 3, tzinfo=dt.timezone.utc), stable_below=450)
+        out = analysis.retrain_zones(t.telemetry, t.S, path, dt.datetime(2024, 1, day, 3, tzinfo=dt.timezone.utc), stable_below=450)
     return out
 
 
@@ -264,7 +264,7 @@ def _(t):
 def _(t):
     from wattloom.operators.stats import with_stability
 
-    df = with_stability(t.telemetry, S, 6).withColumnRenamed("value", "power").withColumn("power_std", F.col("power_std") / 4)
+    df = with_stability(t.telemetry, t.S, 6).withColumnRenamed("value", "power").withColumn("power_std", F.col("power_std") / 4)
     return cl.gmm_labels(df, ["entity_id", "ts"], keys=["entity_id"]).select("entity_id", "ts", "cluster", "label")
 
 
@@ -299,9 +299,9 @@ def _(t):
 @query("pca_2d")
 def _(t):
     from wattloom.operators.features import symptom_features
-    from catalog.registry import SITE, channels
+    from catalog.registry import channels
 
-    df = symptom_features(channels(t), SITE, {"eg": ("temp_eg", "target_eg")})
+    df = symptom_features(channels(t), t.SITE, {"eg": ("temp_eg", "target_eg")})
     out, _ = cl.pca_2d(df, ["power", "power_std", "power_spread", "outdoor_temp", "delta_eg", "hour_sin"])
     return out.select("site_id", "ts", "pc1", "pc2")
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.scalar import flag, hour_cos, hour_sin, is_weekend
 from wattloom.operators.windows import run_counter
-from wattloom.series import ORD, SLICE, Series, plain, running, sliced, with_neighbours
+from wattloom.series import ORD, SLICE, Series, constant, plain, running, sliced, with_neighbours
 
 PREDICTOR_FEATURES = (
     "power", "power_trend", "power_std", "hour", "outdoor_temp", "power_diff", "power_diff_abs", "compressor_runtime", "active_units",
@@ -227,7 +226,7 @@ def time_folds(df: DataFrame, s: Series, label: str, folds: int = 5, out: str =
     single series.
     """
     sizes = class_sizes(df, label)
-    at = sliced(df, replace(s, slice=slice))
+    at = sliced(df, constant(s, slice))
     order = F.struct(F.col(ORD), *s.keys)
     ranked = running(at.withColumn(ORD, order), Series(keys=(label,)), sums={"_rank": F.lit(1).cast("long")})
     fold = F.floor((F.col("_rank") - 1) * folds / F.col("_n")).cast("int")

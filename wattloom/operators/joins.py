@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.scalar import coerce_numeric, is_available, is_on
 from wattloom.operators.grids import grid_between
-from wattloom.series import ORD, SLICE, Series, micros, plain, running, with_time
+from wattloom.series import ORD, SLICE, Series, micros, plain, running, slice_of, with_cuts, with_time, without_cuts
 
 
 def outer_align_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -33,9 +34,8 @@ def asof_join(left: DataFrame, right: DataFrame, s: Series, cols: Sequence[str],
     is_right = F.col("_left").isNull()
     later = ~is_right if not strict else is_right
     us = F.unix_micros(s.ts)
-    both = both.withColumn(ORD, us * 2 + later.cast("long")).withColumn(
-        SLICE, F.expr(f"unix_micros({s.ts}) div {micros(s.slice)}")
-    )
+    both = with_cuts(both.withColumn(ORD, us * 2 + later.cast("long")), s)
+    both = without_cuts(both.withColumn(SLICE, slice_of(both, s, f"unix_micros({s.ts})")))
     seen = running(both, s, last={"_seen": F.col("_hit")}).filter("_left is not null")
     return seen.select("_left.*", "_seen.*")
 
@@ -160,8 +160,8 @@ def state_snapshot(
     room without a valid temperature and target is left out.  ``power`` and ``outdoor`` have
     (site, ts, state), ``room_states`` (site, room, ts, current_temp, target_temp, hvac_mode).
     """
-    at_site = Series(keys=(site,), ts=s.ts, slice=s.slice)
-    at_room = Series(keys=(site, "room"), ts=s.ts, slice=s.slice)
+    at_site = replace(s, keys=(site,))
+    at_room = replace(s, keys=(site, "room"))
     known = asof_join(ticks, power.withColumnRenamed("state", "power"), at_site, ["power"])
     known = asof_join(known, outdoor.withColumnRenamed("state", "outdoor_temp"), at_site, ["outdoor_temp"])
     known = known.filter(is_available("power") & is_available("outdoor_temp")).withColumns(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def recent_jumps(df: DataFrame, s: Series, n: int = 10, jump: float = 200.0) ->
 
 def window_instability(df: DataFrame, s: Series, bucket: str = "10 minutes", jump: float = 200.0) -> DataFrame:
     """One 0-1 score per series and bucket from relative spread, steps and swing."""
-    b = Series(keys=(*s.keys, "bucket"), ts=s.ts, value=s.value, slice=s.slice)
+    b = replace(s, keys=(*s.keys, "bucket"))
     at = df.withColumn("bucket", F.window(s.ts, bucket).start)
     near = with_neighbours(at, b, back=9).withColumns(
         {

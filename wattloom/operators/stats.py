@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,7 +250,7 @@ def stability_emergency(
     from wattloom.series import micros
 
     means = resample_mean(df, s, bucket)
-    b = Series(keys=s.keys, ts="bucket", value=s.value, slice=s.slice)
+    b = replace(s, ts="bucket")
     frame = b.window.rangeBetween(-micros(width), 0)
     near = with_time(means, b, back=width).withColumns(
         {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ def learn_zones(
         until, rows = F.lit(as_of), df
     recent = rows.filter((F.col(s.ts) > until - F.expr(f"INTERVAL {days} DAYS")) & (F.col(s.ts) <= until))
     means = resample_mean(recent, s, bucket).filter(F.col(s.value) > min_power)
-    b = Series(keys=s.keys, ts="bucket", value=s.value, slice=s.slice)
+    b = replace(s, ts="bucket")
     # read by the fit and by the labels
     windows = saved(trailing_exclusive(means, b, n).select(*keys, "power_mean", "power_std"), "windows")
     # a row has its n rows before it unless it is one of the key's first n

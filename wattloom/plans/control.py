@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ def candidate_rooms(rooms: DataFrame, states: DataFrame, s: Series) -> DataFrame
 
 def open_loop(rooms: DataFrame, states: DataFrame, log: DataFrame, s: Series, rules: p.Rules = p.Rules()) -> DataFrame:
     """Actions the rules would take, with the cooldown given by the recorded actions."""
-    at_room = Series(keys=(*s.keys, "room"), ts=s.ts, slice=s.slice)
+    at_room = replace(s, keys=(*s.keys, "room"))
     ready = p.cooldown_filter(candidate_rooms(rooms, states, s), log, at_room, rules)
     return p.cap_actions(p.room_actions(ready, rules), [*s.keys, s.ts], rules.max_actions)
 

@@ -2,7 +2,9 @@
 
 One sensor may hold a large share of all rows, so no window here is partitioned by the
 series key alone.  Every series is cut into time slices and windows run per
-``(key, slice)``.  What a row needs from outside its slice is brought in by one of
+``(key, slice)``.  ``fitted`` cuts each series where its rows are: slices of about equal
+row counts, at cell borders that a row finds by arithmetic and one array access; without
+it slices have a constant length.  What a row needs from outside its slice is brought in by one of
 
 * ``with_neighbours`` - the last / first n rows around the slice (row frames, lag, lead),
 * ``with_time``       - rows within a time distance of the slice (range frames),
@@ -14,13 +16,15 @@ Only the summaries - one row per slice - are ever windowed by the key alone.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wattloom.session import saved
+
 SLICE = "_slice"
 ORD = "_ord"
 HOME = "_home"
@@ -41,15 +45,19 @@ def micros(duration: str) -> int:
 
 @dataclass(frozen=True)
 class Series:
-    """Names of the key, time and value columns and the length of a time slice.
+    """Names of the key, time and value columns, and how series are cut into time slices.
 
-    ``(keys, ts)`` is unique: readings are deduplicated at ingest.
+    ``cuts`` is the table that ``fitted`` makes, by the columns ``cut_keys``; a series that it does not know, and every
+    one without it, has slices of the constant length ``slice``. ``(keys, ts)`` is unique: readings are deduplicated
+    at ingest.
     """
 
     keys: tuple[str, ...] = ("entity_id",)
     ts: str = "ts"
     value: str = "value"
     slice: str = "7 days"
+    cuts: DataFrame | None = field(default=None, compare=False, repr=False)
+    cut_keys: tuple[str, ...] = ()
 
     def of(self, value: str) -> Series:
         return replace(self, value=value)
@@ -75,13 +83,82 @@ def sized(df: DataFrame, s: Series, target_rows: int = 2_000_000) -> Series:
     return replace(s, slice=f"{seconds} seconds")
 
 
+#: rows a slice is cut for
+TARGET_ROWS = 1_000_000
+#: cells of a series at most, which is the length of the array a row looks its slice up in
+MAX_CELLS = 1 << 20
+_KEY, _FROM, _CELL, _IDS = "_cut_key", "_cut_from", "_cut_cell", "_cut_ids"
+
+
+def _cut_key(names: Sequence[str]) -> Column:
+    return F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x02")) for k in names])
+
+
+def fitted(df: DataFrame, s: Series, frame: str = "2 hours", target_rows: int | None = None) -> Series:
+    """The series description with slices cut for about ``target_rows`` rows each, from the rows of ``df``.
+
+    Time is divided into cells per series: at least as long as ``frame`` (the widest time frame used, so that a row
+    is copied to two slices at most where slices are a cell long), else so short that the densest hour has two cells
+    for every ``target_rows`` rows. Consecutive cells are joined until they hold that many. One pass counts rows by
+    hour, one by cell; the table has one row a series and is saved for all queries over it.
+    """
+    target = target_rows or TARGET_ROWS
+    hour = micros("1 hour")
+    rows = df.select(_cut_key(s.keys).alias(_KEY), F.unix_micros(s.ts).alias("_t")).filter("_t IS NOT NULL")
+    hours = rows.groupBy(_KEY, F.expr(f"_t div {hour}").alias("_h")).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    spans = hours.groupBy(_KEY).agg(F.max("_n").alias("_peak"), F.min("_lo").alias(_FROM), F.max("_hi").alias("_hi"))
+    span = F.col("_hi") - F.col(_FROM)
+    dense = F.floor(F.lit(hour * target / 2) / F.col("_peak"))
+    cell = F.greatest(F.lit(micros(frame)), dense, F.floor(span / F.lit(MAX_CELLS)) + 1).cast("long")
+    spans = spans.withColumn(_CELL, cell).withColumn("_size", (F.expr(f"(_hi - {_FROM}) div {_CELL}") + 1).cast("int"))
+    spans = saved(spans.select(_KEY, _FROM, _CELL, "_size"), "spans")
+    counts = rows.join(spans, _KEY).groupBy(_KEY, F.expr(f"cast((_t - {_FROM}) div {_CELL} AS int)").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = spans.select(_KEY, F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_c")).join(counts, [_KEY, "_c"], "left")
+    # cells are counts: at most MAX_CELLS a series
+    order = Window.partitionBy(_KEY).orderBy("_c")
+    n = F.coalesce("_n", F.lit(0))
+    cells = cells.withColumn("_before", F.floor((F.sum(n).over(order) - n) / target))
+    cells = cells.withColumn("_id", F.dense_rank().over(Window.partitionBy(_KEY).orderBy("_before")) - 1)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_c", "_id"))), lambda c: c["_id"])
+    table = cells.groupBy(_KEY).agg(ids.alias(_IDS)).join(spans.drop("_size"), _KEY)
+    return replace(s, cuts=saved(table, "cuts"), cut_keys=s.keys)
+
+
+def constant(s: Series, slice: str) -> Series:
+    """The same series in slices of a constant length, which are the same for all series."""
+    return replace(s, slice=slice, cuts=None, cut_keys=())
+
+
+def _is_cut(df: DataFrame, s: Series) -> bool:
+    return s.cuts is not None and all(k in df.columns for k in s.cut_keys)
+
+
+def with_cuts(df: DataFrame, s: Series) -> DataFrame:
+    """The cuts of each row's series: a row a series, joined by adaptive execution as their size asks."""
+    if not _is_cut(df, s) or _IDS in df.columns:
+        return df
+    return df.withColumn(_KEY, _cut_key(s.cut_keys)).join(s.cuts, _KEY, "left")
+
+
+def slice_of(df: DataFrame, s: Series, micros_sql: str) -> Column:
+    """Slice of a moment given as SQL; ``df`` has its cuts."""
+    plain_slice = f"({micros_sql}) div {micros(s.slice)}"
+    if _IDS not in df.columns:
+        return F.expr(plain_slice)
+    at = f"least(greatest((({micros_sql}) - {_FROM}) div {_CELL}, 0), size({_IDS}) - 1)"
+    return F.expr(f"CASE WHEN {_IDS} IS NULL THEN {plain_slice} ELSE cast({_IDS}[cast({at} AS int)] AS long) END")
+
+
+def without_cuts(df: DataFrame) -> DataFrame:
+    return df.drop(_KEY, _FROM, _CELL, _IDS)
+
+
 def sliced(df: DataFrame, s: Series) -> DataFrame:
     """Add the order column (microseconds) and the slice number."""
     if SLICE in df.columns:
         return df
-    return df.withColumn(ORD, F.unix_micros(s.ts)).withColumn(
-        SLICE, F.expr(f"{ORD} div {micros(s.slice)}")
-    )
+    cut = with_cuts(df.withColumn(ORD, F.unix_micros(s.ts)), s)
+    return without_cuts(cut.withColumn(SLICE, slice_of(cut, s, ORD)))
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -126,17 +203,13 @@ def with_neighbours(df: DataFrame, s: Series, back: int = 0, ahead: int = 0) ->
 
 def with_time(df: DataFrame, s: Series, back: str | None = None, ahead: str | None = None) -> DataFrame:
     """Give every slice the rows up to ``back`` before it and ``ahead`` after it."""
-    size = micros(s.slice)
     after = micros(back) if back else 0
     before = micros(ahead) if ahead else 0
-    needed_by = F.expr(f"sequence(({ORD} - {before}) div {size}, ({ORD} + {after}) div {size})")
-    return (
-        sliced(df, s)
-        .withColumnRenamed(SLICE, "_own")
-        .withColumn(SLICE, F.explode(needed_by))
-        .withColumn(HOME, F.col(SLICE) == F.col("_own"))
-        .drop("_own")
-    )
+    cut = with_cuts(sliced(df, s), s).withColumnRenamed(SLICE, "_own")
+    reach = F.sequence(slice_of(cut, s, f"{ORD} - {before}"), slice_of(cut, s, f"{ORD} + {after}"))
+    cut = without_cuts(cut.withColumn("_reach", reach))
+    near = cut.withColumn(SLICE, F.explode("_reach")).drop("_reach")
+    return near.withColumn(HOME, F.col(SLICE) == F.col("_own")).drop("_own")
 
 
 def running(
