@@ -15,20 +15,46 @@ from wattloom.series import ORD, SLICE, Series, home, plain, running, with_neigh
 _ALL = "_all"
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float], parts: int = 1024) -> DataFrame:
+#: distinct values of a key that are ranked in one part
+PART_VALUES = 1_000_000
+#: parts of a key with more; a power of two, as cuts are found by halving
+PARTS = 256
+
+
+def value_parts(counts: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Number the part of each distinct value: parts of a key hold about equally many and follow each other.
+
+    Cuts come from a mergeable quantile sketch of each key with more than ``PART_VALUES`` values, so they follow the
+    values whatever their range; ranks inside are exact.
+    """
+    large = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > PART_VALUES).select(*keys)
+    shares = [i / PARTS for i in range(1, PARTS)]
+    cuts = counts.join(large, list(keys), "left_semi").groupBy(*keys).agg(F.percentile_approx(value, shares, 20 * PARTS).alias("_cuts"))
+    steps, step = [], PARTS // 2
+    while step:
+        steps.append(F.lit(step))
+        step //= 2
+
+    def halved(i, n):
+        return i + F.when(F.col("_cuts")[i + n - 1] < F.col(value), n).otherwise(0)
+
+    part = F.when(F.col("_cuts").isNull(), 0).otherwise(F.aggregate(F.array(*steps), F.lit(0), halved))
+    # one row of cuts a large key: broadcast when few, and split by adaptive execution when a key is hot
+    return counts.join(cuts, list(keys), "left").withColumn(out, part).drop("_cuts")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbouring ranks.
 
-    Rows are first counted per distinct value, then ranked by running counts over slices of
-    the value range, so no task ever holds all values of a key.
+    Rows are first counted per distinct value, then ranked by running counts over parts of about equally many values,
+    so no task ever holds all values of a key.
     """
     grouped = df.filter(F.col(col).isNotNull())
     if not keys:
         grouped, keys = grouped.withColumn(_ALL, F.lit(0)), (_ALL,)
     counts = grouped.groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    spans = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1))
-    placed = counts.join(spans, list(keys)).withColumn(SLICE, part).withColumn(ORD, F.col("_v"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    placed = value_parts(counts, keys, "_v", SLICE).join(totals, list(keys)).withColumn(ORD, F.col("_v"))
     ranked = running(placed, Series(keys=tuple(keys)), sums={"_cum": F.col("_n")})
     aggs, out = [], {}
     for name, p in probs.items():
