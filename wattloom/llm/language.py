@@ -177,12 +177,17 @@ def identify(
     names, p = model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(p)
-    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    # a carried text is sent to the workers once
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text]
+    places, at = [], 0
+    for c in carry:
+        at += c != text
+        places.append(0 if c == text else at)
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in rows:
+        for batch in (b.slice(i, 1000) for b in rows for i in range(0, len(b), 1000)):
             texts, shares = batch.column(0).to_pylist(), {}
             waiting, size = [], 0
             for i, t in enumerate(texts):
@@ -199,7 +204,7 @@ def identify(
             top = [None if x is None else int(x.argmax()) for x in w]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(k + 1) for k in range(len(carry))),
+                    *(batch.column(k) for k in places),
                     pa.array([UNKNOWN if k is None else names[k] for k in top], pa.string()),
                     pa.array([0.0 if k is None else min(1.0, float(x[k])) for k, x in zip(top, w)], pa.float64()),
                     pa.array([[] if x is None else [(names[k], float(x[k])) for k in np.flatnonzero(x > 0)] for x in w], pa.map_(pa.string(), pa.float64())),

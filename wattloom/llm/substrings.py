@@ -55,7 +55,7 @@ def _stretches(anchors: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.
     return first, np.diff(np.append(first, len(anchors)))
 
 
-_PART = "doc long, route long, c1 long, c2 long, start long, windows long, body binary"
+_PART = "doc long, own long, route long, c1 long, c2 long, start long, windows long, body binary"
 
 
 def _parts(docs: DataFrame, window: int) -> DataFrame:
@@ -69,14 +69,14 @@ def _parts(docs: DataFrame, window: int) -> DataFrame:
         hashes, sent, out = WordHashes(), OrderedDict(), []
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 6 + [pa.binary()]
+            kinds = [pa.int64()] * 7 + [pa.binary()]
             names = [c.split()[0] for c in _PART.split(", ")]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
             out.clear()
             return batch
 
         for batch in rows:
-            for doc, text, few, many in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for doc, own, text, few, many in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 words = utf8_words(text)
                 anchors = _anchors(hashes.of(words), window)
                 hot = np.isin(anchors, np.array(many or [], dtype=np.int64).view(np.uint64))
@@ -95,7 +95,7 @@ def _parts(docs: DataFrame, window: int) -> DataFrame:
                         sent[c] = None
                         if len(sent) > 200_000:
                             sent.popitem(last=False)
-                    out.append((doc, route, c1, c2, int(first), int(n), body))
+                    out.append((doc, own, route, c1, c2, int(first), int(n), body))
                     if len(out) >= 4_000:
                         yield flush()
         if out:
@@ -162,17 +162,18 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                 out.append((len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), edges))
             n, gone, kept, edges = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(edges, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "n_removed", "kept_text", "removed"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(edges, pa.list_(pa.int64())), batch.column(3)],
+                names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "text_hash"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>, text_hash long")
 
 
 def repeated_substrings(
     docs: DataFrame, window: int = 50, many: int = 4_000, doc_id: str = "doc_id", text: str = "text", shard_words: int = 1_000_000
 ) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (words joined by a space) and removed (starts and ends of spans, in turn).
+    """doc_id, n_words, n_removed, kept_text (words joined by a space), removed (starts and ends of spans, in turn) and
+    text_hash (``xxhash64`` of the text).
 
     A word is removed if it lies in ``window`` consecutive words whose sequence also starts in a document with a
     smaller doc_id; windows are judged on the input. Windows are routed by their anchor, the smallest hash of
@@ -181,29 +182,30 @@ def repeated_substrings(
     just the first goes through the index of its shard. Where more than ``many`` documents share an anchor its
     windows are routed one by one, so that equal ones merge and different ones spread.
 
-    A null or empty text has no words. Rows with equal ids are one document's: none is earlier, each is cut
-    by documents before. Rows without an id come before all others. An empty table gives an empty result.
+    A null or empty text has no words. Rows with equal ids are one document's: none is earlier, and
+    each text is cut by itself, by documents before. Rows without an id come before all others. An empty table gives an empty result.
     doc_id is an integer. Words of a text of any length are compared whole; a task holds a shard, one
     document, and up to 200,000 hashes.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
-    anchors = written(_anchor_rows(rows, window), "anchors")
+    # rows of one id are told apart by their texts
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
+    anchors = written(_anchor_rows(rows.select("doc", "text"), window), "anchors")
     # documents are counted by the smallest and the largest id, and roughly for the split: repeated rows may count twice
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b")
     mine = anchors.join(shared.select("anchor", (F.col("n") > many).alias("hot")), "anchor")
     mine = mine.groupBy("doc").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("few"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("many")
     )
-    parts = _parts(rows.join(mine, "doc").select("doc", "text", "few", "many"), window)
+    parts = _parts(rows.join(mine, "doc").select("doc", "own", "text", "few", "many"), window)
     contents = parts.groupBy("route", "c1", "c2").agg(F.min("doc").alias("least"), F.max("body").alias("body"))
     found = _search(contents, window, shard_words).select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), "least", "early")
-    hit = parts.select("doc", "c1", "c2", "start", "windows").join(found, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")))
+    hit = parts.select("doc", "own", "c1", "c2", "start", "windows").join(found, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")))
     whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi")))
     places = F.sequence(F.lit(0), (F.size("early") / 2).cast("int") - 1)
     some = F.transform(
         places, lambda i: F.struct((F.col("start") + F.get("early", 2 * i)).alias("lo"), (F.col("start") + F.get("early", 2 * i + 1)).alias("hi"))
     )
     spans = F.when(F.col("doc") > F.col("least"), whole).when(F.size("early") > 0, some)
-    spans = hit.select("doc", spans.alias("s")).where(F.col("s").isNotNull()).groupBy("doc").agg(F.flatten(F.collect_set("s")).alias("spans"))
-    out = _kept(rows.join(spans, "doc", "left").select("doc", "text", "spans"), window)
+    spans = hit.select("doc", "own", spans.alias("s")).where(F.col("s").isNotNull()).groupBy("doc", "own").agg(F.flatten(F.collect_set("s")).alias("spans"))
+    out = _kept(rows.join(spans, ["doc", "own"], "left").select("doc", "text", "spans", "own"), window)
     return out.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
