@@ -58,13 +58,13 @@ def _(t):
 
 @query("stream_observer", f"WITH {TELEMETRY}, {OBS} SELECT entity_id, ts, value, round(score, 6) AS instability_score, score > 0.6 AS is_cycling FROM obs")
 def _(t):
-    df = drain_held(t, "observer", lambda readings: live.stream_observer(readings, S, "2 hours", hold=True))
+    df = drain_held(t, "observer", lambda readings: live.stream_observer(readings, S, "2 hours"))
     return rounded(df.drop("cycling_risk"), "instability_score")
 
 
 @query("stream_cycles", f"WITH {TELEMETRY}, {CYCLES} SELECT * FROM cycles")
 def _(t):
-    df = drain_held(t, "cycles", lambda readings: live.stream_cycles(readings, S, on=300, off=150, delay="2 hours", hold=True))
+    df = drain_held(t, "cycles", lambda readings: live.stream_cycles(readings, S, on=300, off=150, delay="2 hours"))
     return rounded(df, "avg_power")
 
 
@@ -105,13 +105,20 @@ def _(t):
     return back.select("site_id", "ts", "state.power", "reward.energy")
 
 
-@query("stream_cooldown")
+@query(
+    "stream_cooldown",
+    f"""WITH RECURSIVE {READINGS}, w AS (SELECT event_type AS entity_id, site_id, ts, us, floor(value * 10) > 1000 AS urgent FROM readings),
+      act AS (SELECT entity_id, site_id, min(us) AS us FROM w GROUP BY ALL
+        UNION ALL SELECT a.entity_id, a.site_id, min(w.us) AS us FROM act a JOIN w ON w.entity_id = a.entity_id AND w.site_id = a.site_id
+          AND w.us - a.us >= CASE WHEN urgent THEN 18000000000 ELSE 43200000000 END GROUP BY a.entity_id, a.site_id)
+    SELECT entity_id, site_id, ts, urgent AS is_emergency FROM act JOIN w USING (entity_id, site_id, us)""",
+)
 def _(t):
     from wattloom.series import Series
 
     def build(readings):
         # every reading wants an action
         wanted = readings.select("entity_id", "site_id", "ts", (F.col("value") > 1000).alias("is_emergency"))
-        return live.stream_cooldown(wanted, Series(keys=("entity_id", "site_id")), minutes=720, emergency_minutes=300, delay="2 hours", hold=True)
+        return live.stream_cooldown(wanted, Series(keys=("entity_id", "site_id")), minutes=720, emergency_minutes=300, delay="2 hours")
 
     return drain_held(t, "cooldown", build)

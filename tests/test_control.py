@@ -104,3 +104,45 @@ def test_unit_strategies(spark):
     assert policy_row(spark, power_std=60.0, units=[("z", True, 15.0, 1)]).temperature == pytest.approx(15.3)
     assert policy_row(spark, power_std=60.0, units=[]).action_type == "no_action"
     assert policy_row(spark, power=300.0, units=on).action_type == "no_action"
+
+
+# -- zones by bucket ------------------------------------------------------------------
+def test_zones_of_any_number_and_shape(spark):
+    """Overlapping, touching, nested, point-like, very wide and broken zones, against looking at every one."""
+    import random
+
+    from wattloom.operators import joins
+
+    rng = random.Random(5)
+    zone_rows, power_rows = [], []
+    for key in ("a", "b", "c"):
+        for _ in range({"a": 300, "b": 3, "c": 1}[key]):
+            lo = round(rng.uniform(-500, 3000), 1)
+            zone_rows.append((key, "unstable", lo, lo + rng.choice([0.0, 0.5, 2.0, 40.0])))
+        zone_rows.append((key, "stable", 0.0, 5000.0))
+    zone_rows += [("a", "unstable", 1000.0, 1001.0), ("a", "unstable", 1001.0, 1001.5), ("b", "unstable", None, 9.0), ("b", "unstable", 9.0, 8.0), ("b", "unstable", -1e6, -9e5)]
+    ends = [x for _, _, *z in zone_rows for x in z if x is not None]
+    for key in ("a", "b", "c", "none"):
+        power_rows += [(key, p) for p in [*rng.sample(ends, 60), *[rng.uniform(-600, 3200) for _ in range(200)], None, float("nan"), 1e12, -1e12]]
+    df = spark.createDataFrame(power_rows, "key string, value double").repartition(3)
+    zones_ = spark.createDataFrame(zone_rows, "key string, kind string, power_min double, power_max double")
+
+    def hit(p, mine):
+        return p is not None and any(lo is not None and lo <= p <= hi for _, kind, lo, hi in mine if kind == "unstable")
+
+    own = joins.zone_range_join(df, zones_, ["key"]).collect()
+    every = joins.zone_range_join(df, zones_, out="hit").collect()
+    assert len(own) == len(every) == len(power_rows)
+    assert all(r.in_unstable == hit(r.value, [z for z in zone_rows if z[0] == r.key]) for r in own)
+    assert all(r.hit == hit(r.value, zone_rows) for r in every)
+    none = joins.zone_range_join(df, zones_.limit(0)).collect()
+    assert len(none) == len(power_rows) and not any(r.in_unstable for r in none)
+
+
+def test_the_index_grows_with_the_ranges_only(spark):
+    from wattloom.operators import joins
+
+    many = spark.range(2000).select(F.lit("unstable").alias("kind"), (F.col("id") * 10.0).alias("power_min"), (F.col("id") * 10.0 + 4).alias("power_max"))
+    assert joins.disjoint_ranges(many).count() == 2000
+    df = spark.range(5000).select((F.col("id") * 4.0).alias("value"))
+    assert joins.zone_range_join(df, many).filter("in_unstable").count() == sum((4 * i) % 10 <= 4 and 4 * i < 20_000 for i in range(5000))

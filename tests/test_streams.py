@@ -38,7 +38,7 @@ def drain(spark, df, tmp_path):
 
 def test_observer(spark, readings, tmp_path):
     df, data = readings
-    got = drain(spark, live.stream_observer(feed(spark, df, f"{tmp_path}/in"), S), tmp_path)
+    got = drain(spark, live.stream_observer(feed(spark, df, f"{tmp_path}/in"), S, hold=False), tmp_path)
     want = observer.observer_risk(df, S)
     cols = ("entity_id", "ts", "value", "is_cycling", "instability_score")
     a, b = rows(got.select(*cols), "entity_id", "ts"), rows(want.select(*cols), "entity_id", "ts")
@@ -49,7 +49,7 @@ def test_observer(spark, readings, tmp_path):
 
 def test_cycles(spark, readings, tmp_path):
     df, _ = readings
-    got = drain(spark, live.stream_cycles(feed(spark, df, f"{tmp_path}/in"), S, 300, 150), tmp_path)
+    got = drain(spark, live.stream_cycles(feed(spark, df, f"{tmp_path}/in"), S, 300, 150, hold=False), tmp_path)
     want = cycling.detect_cycles(df, S, 300, 150)
     assert rows(got, "entity_id", "start") == rows(want.select(*got.columns), "entity_id", "start")
 
@@ -69,7 +69,7 @@ def test_held_rows_come_in_time_order(spark, readings, tmp_path):
     # two hours of disorder are allowed, so a reading is out once the newest one is two hours ahead of it
     passed = F.col("ts") + F.expr("INTERVAL 2 HOURS") <= F.lit(newest)
     source = feed_unordered(spark, df, f"{tmp_path}/in")
-    got = drain(spark, live.stream_observer(source, S, "2 hours", hold=True), tmp_path / "observer")
+    got = drain(spark, live.stream_observer(source, S, "2 hours"), tmp_path / "observer")
     cols = ("entity_id", "ts", "value", "is_cycling")
     assert rows(got.select(*cols), "entity_id", "ts") == rows(observer.observer_risk(df, S).filter(passed).select(*cols), "entity_id", "ts")
     assert got.count() > 20
@@ -79,7 +79,7 @@ def test_held_cycles(spark, readings, tmp_path):
     df, _ = readings
     newest = df.agg(F.max("ts")).first()[0]
     source = feed_unordered(spark, df, f"{tmp_path}/in")
-    got = drain(spark, live.stream_cycles(source, S, 300, 150, "80 minutes", hold=True), tmp_path / "cycles")
+    got = drain(spark, live.stream_cycles(source, S, 300, 150, "80 minutes"), tmp_path / "cycles")
     want = cycling.detect_cycles(df, S, 300, 150).filter(F.col("end") + F.expr("INTERVAL 80 MINUTES") <= F.lit(newest))
     assert got.count() > 3
     assert rows(got, "entity_id", "start") == rows(want.select(*got.columns), "entity_id", "start")
@@ -89,7 +89,7 @@ def test_held_cooldown(spark, readings, tmp_path):
     df, _ = readings
     df = df.withColumn("is_emergency", F.col("value") > 800)
     source = feed_unordered(spark, df, f"{tmp_path}/in")
-    got = drain(spark, live.stream_cooldown(source, S, delay="80 minutes", hold=True), tmp_path / "cooldown")
+    got = drain(spark, live.stream_cooldown(source, S, delay="80 minutes"), tmp_path / "cooldown")
     newest, want = df.agg(F.max("ts")).first()[0], []
     for key in ("a", "b"):
         acted = None
@@ -133,7 +133,7 @@ def test_resample_drops_late_rows(spark, readings, tmp_path):
 
 def test_cooldown(spark, minutes, tmp_path):
     df = minutes({"r": [0] * 40}).withColumn("is_emergency", F.minute("ts") >= 30)
-    got = drain(spark, live.stream_cooldown(feed(spark, df, f"{tmp_path}/in", (0, 13, 40)), S), tmp_path)
+    got = drain(spark, live.stream_cooldown(feed(spark, df, f"{tmp_path}/in", (0, 13, 40)), S, hold=False), tmp_path)
     assert [r[0].minute for r in rows(got.select("ts"), "ts")] == [0, 15, 30, 37]
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.scalar import coerce_numeric, is_available, is_on
 from wattloom.operators.grids import grid_between
 from wattloom.series import ORD, SLICE, Series, micros, plain, running, slice_of, with_cuts, with_time, without_cuts
+from wattloom.session import saved
 
 
 def outer_align_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -69,13 +70,47 @@ def in_ranges(power: Column, ranges: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def disjoint_ranges(zones: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The unstable zones of each key as ranges ``lo`` to ``hi`` that do not touch; zones without both ends are none."""
+    own = zones.filter((F.col("kind") == "unstable") & (F.col("power_min") <= F.col("power_max"))).select(
+        *keys, F.col("power_min").cast("double").alias("lo"), F.col("power_max").cast("double").alias("hi")
+    )
+    order = Window.partitionBy(*keys).orderBy("lo", "hi") if keys else Window.partitionBy(F.lit(0)).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1))
+    numbered = own.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+
+
 def zone_range_join(df: DataFrame, zones: DataFrame, keys: Sequence[str] = (), power: str = "value", out: str = "in_unstable") -> DataFrame:
-    """Flag rows whose power lies in an unstable zone (of their key, or of all)."""
-    ranges = unstable_ranges(zones, keys)
-    if keys:
-        joined = df.join(ranges, list(keys), "left")
-        return joined.withColumn(out, in_ranges(F.col(power), F.col("_zones"))).drop("_zones")
-    return df.withColumn("_zones", ranges.scalar()).withColumn(out, in_ranges(F.col(power), F.col("_zones"))).drop("_zones")
+    """Flag rows whose power lies in an unstable zone (of their key, or of all), both ends included.
+
+    Zones are merged to disjoint ranges and listed under equal buckets of their key's power range, about three entries
+    a range. A row looks into one bucket, by an equi-join, so its cost does not grow with the number of zones.
+    """
+    # read for the heads and for the buckets
+    ranges = saved(disjoint_ranges(zones, keys), "ranges")
+    heads = ranges.groupBy(*keys).agg(
+        F.min("lo").alias("_from"), F.max("hi").alias("_to"), ((F.max("hi") - F.min("lo")) / (2 * F.count(F.lit(1)))).alias("_step")
+    ).withColumn("_step", F.when(F.col("_step") > 0, F.col("_step")).otherwise(1.0))
+
+    def with_head(rows: DataFrame) -> DataFrame:
+        if keys:
+            return rows.join(heads, list(keys), "left")
+        return rows.withColumn("_h", heads.select(F.struct("_from", "_to", "_step")).scalar()).select(*rows.columns, "_h.*")
+
+    def bucket(x: str) -> Column:
+        return F.floor((F.col(x) - F.col("_from")) / F.col("_step"))
+
+    listed = with_head(ranges).withColumn("_bucket", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    listed = listed.select(*keys, "_bucket", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    inside = (F.col("_p") >= F.col("_from")) & (F.col("_p") <= F.col("_to"))
+    # rows beyond all zones get buckets that no zone has, spread over many
+    beyond = -1 - F.pmod(F.xxhash64("_p"), F.lit(1024))
+    rows = with_head(df.withColumn("_p", F.col(power).cast("double")))
+    rows = rows.withColumn("_bucket", F.when(inside, bucket("_p")).otherwise(beyond)).drop("_from", "_to", "_step")
+    on = [rows[c] == listed[c] for c in (*keys, "_bucket")] + [(rows["_p"] >= listed["_lo"]) & (rows["_p"] <= listed["_hi"])]
+    return rows.join(listed, on, "left").select(*[rows[c] for c in df.columns], F.col("_lo").isNotNull().alias(out))
 
 
 def event_window(df: DataFrame, s: Series, event: Column, cols: Sequence[str], width: str = "30 minutes") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators import policy as p
-from wattloom.operators.joins import in_ranges, unstable_ranges
+from wattloom.operators.joins import zone_range_join
 from wattloom.operators.stats import comfort_emergency
 from wattloom.series import SLICE, Series, micros
 from wattloom.session import checkpoint_dir
@@ -28,12 +28,7 @@ def cycle_states(rooms: DataFrame, cycles: DataFrame, zones: DataFrame | None, s
     if zones is None:
         out = out.withColumn("in_unstable", F.lit(False))
     else:
-        ranges = unstable_ranges(zones, zone_keys)
-        if zone_keys:
-            out = out.join(ranges, list(zone_keys), "left")
-        else:
-            out = out.withColumn("_zones", ranges.scalar())
-        out = out.withColumn("in_unstable", in_ranges(F.col("power"), F.col("_zones"))).drop("_zones")
+        out = zone_range_join(out, zones, zone_keys, "power")
     return p.reward(p.gate_cycle(out))
 
 

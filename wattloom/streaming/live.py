@@ -1,10 +1,11 @@
 """The operators on live readings.
 
 Built-in windows where they suffice, keyed state for the observer, cycles and cooldowns.
-Within a micro-batch the rows of a key are put in time order; a row that is not newer than
-the last one processed for its key is late and ignored. Where micro-batches do not come in time
-order, ``hold=True`` keeps rows in the state until the watermark has passed them: only rows behind
-the watermark are lost then, and results come ``delay`` later.
+Rows are kept in the state of their key until the watermark has passed them and then taken in
+time order, so micro-batches may come in any order: only rows behind the watermark are lost, and
+results come ``delay`` later. Where every micro-batch is newer than the one before,
+``hold=False`` gives results at once; a row that is not newer than the last one processed for
+its key is then late and ignored.
 """
 
 from __future__ import annotations
@@ -110,23 +111,29 @@ def _with_micros(df: DataFrame, s: Series, delay: str, *more: str) -> DataFrame:
     return late.select(*s.keys, s.ts, F.col(s.value).cast("double").alias("_v"), F.unix_micros(s.ts).alias("_us"), *more)
 
 
-def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: float = 200.0, cycling: float = 0.6, hold: bool = False) -> DataFrame:
+def _risks(values: np.ndarray, jump: float) -> np.ndarray:
+    """Risk of each value from itself and the up to 19 before it; 0 for the first four, and where one is missing."""
+    out = np.zeros(len(values))
+    short = [values[: i + 1][None] for i in range(FIRST - 1, min(HISTORY - 1, len(values)))]
+    whole = [np.lib.stride_tricks.sliding_window_view(values, HISTORY)] if len(values) >= HISTORY else []
+    at = FIRST - 1
+    for recent in (*short, *whole):
+        jumps = (np.abs(np.diff(recent, axis=1)) > jump).sum(axis=1)
+        raw = 0.4 * recent.std(axis=1) / 125.0 + 0.4 * np.ptp(recent, axis=1) / 1000.0 + 0.2 * jumps / 10.0
+        out[at : at + len(raw)] = np.clip(np.nan_to_num(raw, nan=0.0), 0.0, 1.0)
+        at += len(raw)
+    return out
+
+
+def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: float = 200.0, cycling: float = 0.6, hold: bool = True) -> DataFrame:
     """The risk of every reading; the state of a key is its last 20 readings, and with ``hold`` those above the watermark."""
     n_keys = len(s.keys)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, last, *pending = state.get if state.exists else ([], -(2**62), [], [])
         rows, pending = _due(batches, pending, last, state, hold)
-        history, scores = list(held), []
-        for value in rows["_v"]:
-            history = [*history[-(HISTORY - 1) :], value]
-            if len(history) < FIRST:
-                scores.append(0.0)
-                continue
-            recent = np.asarray(history)
-            jumps = float((np.abs(np.diff(recent)) > jump).sum())
-            raw = 0.4 * recent.std() / 125.0 + 0.4 * np.ptp(recent) / 1000.0 + 0.2 * jumps / 10.0
-            scores.append(float(min(1.0, max(0.0, raw))))
+        values = np.concatenate([np.asarray(held, dtype="float64"), rows["_v"].to_numpy(dtype="float64")])
+        scores, history = _risks(values, jump)[len(held) :], values[-HISTORY:].tolist()
         if len(rows) or pending[0]:
             state.update((history, int(rows["_us"].iloc[-1]) if len(rows) else last, *pending))
             _wake(state, pending)
@@ -156,7 +163,7 @@ def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: f
     )
 
 
-def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.0, delay: str = "10 minutes", hold: bool = False) -> DataFrame:
+def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.0, delay: str = "10 minutes", hold: bool = True) -> DataFrame:
     """A row per finished cycle, emitted at its off reading.
 
     State: on/off, whether the cycle counts (a run on from the first reading does not), its
@@ -214,7 +221,7 @@ def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.
     )
 
 
-def stream_cooldown(df: DataFrame, s: Series, minutes: float = 15.0, emergency_minutes: float = 7.0, emergency: str = "is_emergency", delay: str = "10 minutes", hold: bool = False) -> DataFrame:
+def stream_cooldown(df: DataFrame, s: Series, minutes: float = 15.0, emergency_minutes: float = 7.0, emergency: str = "is_emergency", delay: str = "10 minutes", hold: bool = True) -> DataFrame:
     """Wanted actions that the cooldown of their key lets through.
 
     The state is the time of the last action, and with ``hold`` the wanted actions above the watermark;
