@@ -29,18 +29,12 @@ def _(t):
     return readers.read_telemetry_csv(t.spark, path)
 
 
-def _response(columns, values):
-    series = F.struct(F.lit("state").alias("name"), F.array(*[F.lit(c) for c in columns]).alias("columns"), values.alias("values"))
-    return F.to_json(F.struct(F.array(F.struct(F.array(series).alias("series"))).alias("results")))
-
 
 @query("read_query_response", "SELECT event_type AS entity, ts, value FROM events")
 def _(t):
-    # one saved response per entity and day
     path = scratch(t, "responses")
-    rows = F.collect_list(F.array(stamp(), F.col("value").cast("string")))
-    days = t.events.groupBy(F.col("event_type").alias("entity"), F.to_date("ts").alias("day")).agg(rows.alias("rows"))
-    days.select("entity", _response(["time", "value"], F.col("rows")).alias("value")).write.partitionBy("entity").text(path)
+    df = t.events.withColumn("entity_id", F.col("event_type"))
+    sinks.write_responses(df, t.S, path, {"time": stamp(), "value": F.col("value").cast("string")}, F.col("entity_id").alias("entity"), rows=100)
     return readers.read_query_response(t.spark, path, lines=True).drop("source")
 
 
@@ -53,18 +47,16 @@ def _(t):
 def _(t):
     path = scratch(t, "states")
     k = F.col("k")
-    row = F.array(
-        stamp(),
-        F.col("value").cast("string"),
-        F.when(k < 90, (k / 4.0).cast("string")).otherwise("unavailable"),
-        F.when(k < 50, "auto").otherwise("low"),
-        F.when(k < 30, "off").otherwise("heat"),
-        F.when(k < 30, "idle").otherwise("heating"),
-    )
-    names = ["time", "current_temperature", "temperature", "fan_mode", "state", "hvac_action_str"]
-    days = readings(t).groupBy(F.concat(F.lit("ac_"), "event_type").alias("room"), F.to_date("ts").alias("day"))
-    days = days.agg(F.collect_list(row).alias("rows")).select("room", _response(names, F.col("rows")).alias("value"))
-    days.write.partitionBy("room").text(path)
+    columns = {
+        "time": stamp(),
+        "current_temperature": F.col("value").cast("string"),
+        "temperature": F.when(k < 90, (k / 4.0).cast("string")).otherwise("unavailable"),
+        "fan_mode": F.when(k < 50, "auto").otherwise("low"),
+        "state": F.when(k < 30, "off").otherwise("heat"),
+        "hvac_action_str": F.when(k < 30, "idle").otherwise("heating"),
+    }
+    df = readings(t).withColumn("entity_id", F.col("event_type"))
+    sinks.write_responses(df, t.S, path, columns, F.concat(F.lit("ac_"), "entity_id").alias("room"), rows=100)
     return readers.read_state_records(t.spark, path, lines=True)
 
 

@@ -306,6 +306,19 @@ def _(t):
     return out.select("site_id", "ts", "pc1", "pc2")
 
 
+@query(
+    "pca_two_columns",
+    f"""WITH {TELEMETRY}, {STAB}, p AS (SELECT entity_id, ts, value AS x, std AS y FROM stab WHERE std IS NOT NULL),
+      z AS (SELECT entity_id, ts, (x - avg(x) OVER k) / stddev_pop(x) OVER k AS a, (y - avg(y) OVER k) / stddev_pop(y) OVER k AS b, corr(x, y) OVER k AS r, count(*) OVER k AS n
+        FROM p WINDOW k AS (PARTITION BY entity_id))
+    SELECT entity_id, ts, round(abs(a + sign(r) * b) / sqrt(2), 6) AS pc1, round(abs(a - sign(r) * b) / sqrt(2), 6) AS pc2, n AS rows, round((1 + abs(r)) / 2, 6) AS share1, round((1 - abs(r)) / 2, 6) AS share2 FROM z""",
+)
+def _(t):
+    out, shares = cl.pca_2d(stab(t).select("entity_id", "ts", "value", "power_std"), ["value", "power_std"], ["entity_id"])
+    share = [F.round(F.col("shares")[i], 6).alias(f"share{i + 1}") for i in range(2)]
+    return out.join(shares, "entity_id").select("entity_id", "ts", F.round(F.abs("pc1"), 6).alias("pc1"), F.round(F.abs("pc2"), 6).alias("pc2"), "rows", *share)
+
+
 @query(
     "standardize",
     f"""WITH {TELEMETRY} SELECT entity_id, ts, round((value - avg(value) OVER k) / stddev_pop(value) OVER k, 6) AS value_z,

@@ -6,15 +6,16 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.operators import models
 from wattloom.operators.joins import label_writeback, stable_cluster_label
 from wattloom.operators.stats import quantiles
-from wattloom.session import checkpoint_dir
+from wattloom.series import ORD, SLICE, Series, running
+from wattloom.session import checkpoint_dir, saved
 
 
 def standardize(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), suffix: str = "_z") -> DataFrame:
@@ -33,10 +34,6 @@ def standardize(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), su
     return joined.withColumns(z).drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
 
 
-def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.na.drop(subset=list(cols)))
-
-
 def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int, keys: Sequence[str] = (), seed: int = 42, restarts: int = 10, out: str = "cluster") -> DataFrame:
     """Cluster numbers of each key's cheapest k-means run on standardised columns; of all rows without keys."""
     grouped, names = models.grouped(df, keys)
@@ -66,14 +63,35 @@ def gmm_labels(df: DataFrame, identity: Sequence[str], power: str = "power", std
     return stable_cluster_label(back, medians.filter(F.col("m") < stable_below), keys=keys)
 
 
-def pca_2d(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[float]]:
-    """First two principal components of the standardised columns and their variance shares."""
-    names = [f"{c}_z" for c in cols]
-    data = _vectors(standardize(df, cols), names)
-    model = PCA(k=2, inputCol="features", outputCol="_pc").fit(data)
-    pc = vector_to_array("_pc")
-    out = model.transform(data).withColumns({"pc1": pc[0], "pc2": pc[1]}).drop("_pc", "features", *names)
-    return out, [float(x) for x in model.explainedVariance]
+def pca_2d(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """First two principal components of each key's standardised columns, and their shares of the variance.
+
+    Covariances are sums over all rows of a key; only these small matrices are gathered, a key a group. A component's
+    largest weight is positive. Rows that lack a value are dropped; a key with no variance has components of 0 and
+    null shares. The second frame has (keys, rows, shares) with one row a key.
+    """
+    grouped, on = models.grouped(df.na.drop(subset=list(cols)), keys)
+    data, d = standardize(grouped, cols, on), len(cols)
+    pairs = [(i, j) for i in range(d) for j in range(d)]
+    sums = [F.avg(F.col(f"{cols[i]}_z") * F.col(f"{cols[j]}_z")) for i, j in pairs]
+    facts = data.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"), F.array(*sums).alias("_cov"))
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        e, v = np.linalg.eigh(np.array(table.column("_cov")[0].as_py()).reshape(d, d))
+        e, v = e[::-1], v[:, ::-1][:, :2]
+        v = v * np.where(v[np.abs(v).argmax(axis=0), range(v.shape[1])] < 0, -1, 1)
+        total = e.sum()
+        shares = [float(x / total) for x in e[:2]] if total > 0 else [None, None]
+        columns = {k: pa.array([x.as_py()], table.column(k).type) for k, x in zip(on, key)}
+        lists = pa.list_(pa.float64())
+        return pa.table(columns | {"rows": table.column("rows").combine_chunks(), "shares": pa.array([shares], lists), "_w": pa.array([v.T.ravel().tolist()], lists)})
+
+    types = ", ".join(f"`{k}` {facts.schema[k].dataType.simpleString()}" for k in on)
+    # a row a key, used for the rows and for the shares
+    solved = saved(facts.groupBy(*on).applyInArrow(solve, f"{types}, rows long, shares array<double>, _w array<double>"), "components")
+    joined = data.join(solved.select(*on, "_w"), on)
+    pc = {f"pc{c + 1}": reduce(Column.__add__, [F.col(f"{x}_z") * F.col("_w")[c * d + i] for i, x in enumerate(cols)]) for c in range(min(2, d))}
+    return joined.withColumns(pc).select(*df.columns, *pc), solved.select(*keys, "rows", "shares")
 
 
 # -- density clusters -------------------------------------------------------------------
@@ -261,9 +279,9 @@ def dbscan(df: DataFrame, dims: Sequence[str], eps: float = 0.5, min_samples: in
         F.struct(*[F.col(f"ca_{d}").alias(d) for d in dims]).alias("a"), F.struct(*[F.col(f"cb_{d}").alias(d) for d in dims]).alias("b")
     )
     labels = _components(core.select(vertex.alias("v")).distinct(), links)
-    # clusters are at most as many as cells
-    number = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1).cast("long")
-    numbers = labels.select("label").distinct().withColumn(out, number)
+    # numbered by running counts: slices follow the first dimension, and only their counts meet in one place
+    found = labels.select("label").distinct().withColumns({"_all": F.lit(0), SLICE: F.col(f"label.{dims[0]}"), ORD: F.col("label")})
+    numbers = running(found, Series(keys=("_all",)), sums={out: F.lit(1).cast("long")}).select("label", (F.col(out) - 1).alias(out))
     inner = core.select(*dims, vertex.alias("v")).join(labels, "v").select(*dims, "label", F.lit(True).alias("is_core"))
     outer = _border(points, core, labels, dims, eps).select(*dims, "label", F.lit(False).alias("is_core"))
     labelled = inner.unionByName(outer).join(numbers, "label").drop("label")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.operators.windows import row_index
+from wattloom.series import Series
+
 
 # JSON keeps microseconds only when told to
 JSON_STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -23,6 +28,22 @@ def write_telemetry(df: DataFrame, path: str) -> None:
     )
 
 
+def write_responses(df: DataFrame, s: Series, path: str, columns: Mapping[str, Column], folder: Column, rows: int = 1000, name: str = "state") -> None:
+    """Saved query responses of at most ``rows`` rows each, one JSON line a response, in folders by ``folder``.
+
+    Rows of a series are numbered in time order first, so a response is bounded however many rows a series has.
+    ``columns`` are text columns, the first one the time. The readers split responses into rows again.
+    """
+    numbered = row_index(df, s, "_no").withColumn("_part", F.floor((F.col("_no") - 1) / rows))
+    row = F.struct(F.col("_no"), F.array(*columns.values()).alias("row"))
+    parts = numbered.groupBy(*s.keys, "_part", folder).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    series = F.struct(
+        F.lit(name).alias("name"), F.array(*[F.lit(c) for c in columns]).alias("columns"), F.transform("_rows", lambda r: r["row"]).alias("values")
+    )
+    response = F.to_json(F.struct(F.array(F.struct(F.array(series).alias("series"))).alias("results")))
+    parts.select(folder, response.alias("value")).write.mode("append").partitionBy(parts.select(folder).columns[0]).text(path)
+
+
 def write_zones(zones: DataFrame, path: str, version: str) -> None:
     """One folder per version, so earlier zones stay readable."""
     zones.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").json(path)
