@@ -215,8 +215,8 @@ def balance_classes(df: DataFrame, identity: Sequence[str], label: str = "target
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
-    """Rows per class; a binary label has two, so the result is broadcast."""
-    return F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    """Rows per class."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def time_folds(df: DataFrame, s: Series, label: str, folds: int = 5, out: str = "fold", slice: str = "10 minutes") -> DataFrame:

@@ -87,7 +87,8 @@ class Mixture:
         return c | {"weights": w / w.sum(), "means": means, "covs": covs}
 
     def floor(self, c: dict) -> np.ndarray:
-        return self.reg * c.get("unit", 1.0)
+        # below that, rounding could leave a covariance without a root
+        return np.maximum(self.reg * c.get("unit", 1.0), 1e-12)
 
     def settled(self, score: float, c: dict, new: dict, n: float) -> bool:
         return abs(score - c["score"]) < self.tol * n
