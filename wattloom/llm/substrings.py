@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +145,8 @@ def _search(contents: DataFrame, window: int, shard_words: int) -> DataFrame:
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
-    """Applies the spans of windows: removed spans of words, and the words that are left."""
+    """Applies the spans of windows: removed spans of words, and the words that are left; columns beyond are passed on."""
+    more = docs.columns[4:]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -162,18 +163,19 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                 out.append((len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), edges))
             n, gone, kept, edges = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(edges, pa.list_(pa.int64())), batch.column(3)],
-                names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "text_hash"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(edges, pa.list_(pa.int64())), batch.column(3), *([batch.column(1), batch.column(4)] if more else [])],
+                names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "text_hash", *(["text", "row"] if more else [])],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>, text_hash long")
+    passed = f", text string, row {docs.schema['row'].dataType.simpleString()}" if more else ""
+    return docs.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_text string, removed array<long>, text_hash long{passed}")
 
 
 def repeated_substrings(
-    docs: DataFrame, window: int = 50, many: int = 4_000, doc_id: str = "doc_id", text: str = "text", shard_words: int = 1_000_000
+    docs: DataFrame, window: int = 50, many: int = 4_000, doc_id: str = "doc_id", text: str = "text", shard_words: int = 1_000_000, carry: Sequence[str] = ()
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (words joined by a space), removed (starts and ends of spans, in turn) and
-    text_hash (``xxhash64`` of the text).
+    text_hash (``xxhash64`` of the text). With ``carry``, also text and ``row``, a struct of those columns.
 
     A word is removed if it lies in ``window`` consecutive words whose sequence also starts in a document with a
     smaller doc_id; windows are judged on the input. Windows are routed by their anchor, the smallest hash of
@@ -189,6 +191,10 @@ def repeated_substrings(
     """
     # rows of one id are told apart by their texts
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
+    whole = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("own"), F.col(text).alias("text"),
+        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []),
+    )
     anchors = written(_anchor_rows(rows.select("doc", "text"), window), "anchors")
     # documents are counted by the smallest and the largest id, and roughly for the split: repeated rows may count twice
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b")
@@ -200,12 +206,12 @@ def repeated_substrings(
     contents = parts.groupBy("route", "c1", "c2").agg(F.min("doc").alias("least"), F.max("body").alias("body"))
     found = _search(contents, window, shard_words).select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), "least", "early")
     hit = parts.select("doc", "own", "c1", "c2", "start", "windows").join(found, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")))
-    whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi")))
+    every = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi")))
     places = F.sequence(F.lit(0), (F.size("early") / 2).cast("int") - 1)
     some = F.transform(
         places, lambda i: F.struct((F.col("start") + F.get("early", 2 * i)).alias("lo"), (F.col("start") + F.get("early", 2 * i + 1)).alias("hi"))
     )
-    spans = F.when(F.col("doc") > F.col("least"), whole).when(F.size("early") > 0, some)
+    spans = F.when(F.col("doc") > F.col("least"), every).when(F.size("early") > 0, some)
     spans = hit.select("doc", "own", spans.alias("s")).where(F.col("s").isNotNull()).groupBy("doc", "own").agg(F.flatten(F.collect_set("s")).alias("spans"))
-    out = _kept(rows.join(spans, ["doc", "own"], "left").select("doc", "text", "spans", "own"), window)
+    out = _kept(whole.join(spans, ["doc", "own"], "left").select("doc", "text", "spans", "own", *whole.columns[3:]), window)
     return out.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
