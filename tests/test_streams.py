@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from wattloom.operators import cycling, observer, scan
-from wattloom.series import Series
+from wattloom.series import Series, fitted
 from wattloom.streaming import live
 
 S = Series(slice="30 minutes")
@@ -69,7 +69,7 @@ def test_held_rows_come_in_time_order(spark, readings, tmp_path):
     # two hours of disorder are allowed, so a reading is out once the newest one is two hours ahead of it
     passed = F.col("ts") + F.expr("INTERVAL 2 HOURS") <= F.lit(newest)
     source = feed_unordered(spark, df, f"{tmp_path}/in")
-    got = drain(spark, live.stream_observer(source, S, "2 hours"), tmp_path / "observer")
+    got = drain(spark, live.stream_observer(source, fitted(df, S), "2 hours"), tmp_path / "observer")
     cols = ("entity_id", "ts", "value", "is_cycling")
     assert rows(got.select(*cols), "entity_id", "ts") == rows(observer.observer_risk(df, S).filter(passed).select(*cols), "entity_id", "ts")
     assert got.count() > 20
@@ -79,7 +79,7 @@ def test_held_cycles(spark, readings, tmp_path):
     df, _ = readings
     newest = df.agg(F.max("ts")).first()[0]
     source = feed_unordered(spark, df, f"{tmp_path}/in")
-    got = drain(spark, live.stream_cycles(source, S, 300, 150, "80 minutes"), tmp_path / "cycles")
+    got = drain(spark, live.stream_cycles(source, fitted(df, S), 300, 150, "80 minutes"), tmp_path / "cycles")
     want = cycling.detect_cycles(df, S, 300, 150).filter(F.col("end") + F.expr("INTERVAL 80 MINUTES") <= F.lit(newest))
     assert got.count() > 3
     assert rows(got, "entity_id", "start") == rows(want.select(*got.columns), "entity_id", "start")
@@ -89,7 +89,7 @@ def test_held_cooldown(spark, readings, tmp_path):
     df, _ = readings
     df = df.withColumn("is_emergency", F.col("value") > 800)
     source = feed_unordered(spark, df, f"{tmp_path}/in")
-    got = drain(spark, live.stream_cooldown(source, S, delay="80 minutes"), tmp_path / "cooldown")
+    got = drain(spark, live.stream_cooldown(source, fitted(df, S), delay="80 minutes"), tmp_path / "cooldown")
     newest, want = df.agg(F.max("ts")).first()[0], []
     for key in ("a", "b"):
         acted = None

@@ -127,7 +127,7 @@ def _risks(values: np.ndarray, jump: float) -> np.ndarray:
 
 def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: float = 200.0, cycling: float = 0.6, hold: bool = True) -> DataFrame:
     """The risk of every reading; the state of a key is its last 20 readings, and with ``hold`` those above the watermark."""
-    n_keys = len(s.keys)
+    keys = s.keys  # a description with cuts cannot go to the workers
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, last, *pending = state.get if state.exists else ([], -(2**62), [], [])
@@ -137,7 +137,7 @@ def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: f
         if len(rows) or pending[0]:
             state.update((history, int(rows["_us"].iloc[-1]) if len(rows) else last, *pending))
             _wake(state, pending)
-        out = pd.DataFrame({k: [key[i]] * len(rows) for i, k in enumerate(s.keys[:n_keys])})
+        out = pd.DataFrame({k: [key[i]] * len(rows) for i, k in enumerate(keys)})
         out["_us"], out["value"] = rows["_us"].to_numpy(), rows["_v"].to_numpy()
         out["instability_score"] = scores
         yield out
@@ -172,6 +172,7 @@ def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.
     """
     if off > on:
         raise ValueError("the off threshold must not exceed the on threshold")
+    keys = s.keys
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
@@ -197,7 +198,7 @@ def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.
             newest = int(rows["_us"].iloc[-1]) if len(rows) else last
             state.update((bool(is_on), bool(counts), start, peak, total, known, n, newest, *pending))
             _wake(state, pending)
-        yield pd.DataFrame(done, columns=[*s.keys, "_start", "_end", "duration_minutes", "peak_power", "avg_power", "rows"])
+        yield pd.DataFrame(done, columns=[*keys, "_start", "_end", "duration_minutes", "peak_power", "avg_power", "rows"])
 
     found = (
         _with_micros(df, s, delay)
@@ -227,7 +228,7 @@ def stream_cooldown(df: DataFrame, s: Series, minutes: float = 15.0, emergency_m
     The state is the time of the last action, and with ``hold`` the wanted actions above the watermark;
     event time clears it when it no longer matters.
     """
-    longest = int(max(minutes, emergency_minutes) * 60_000)
+    longest, keys = int(max(minutes, emergency_minutes) * 60_000), s.keys
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         acted, last, *pending = state.get if state.exists else (-(2**62), -(2**62), [], [])
@@ -247,7 +248,7 @@ def stream_cooldown(df: DataFrame, s: Series, minutes: float = 15.0, emergency_m
                 _wake(state, pending)
             else:
                 state.setTimeoutTimestamp(max(newest // 1000 + longest, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(allowed, columns=[*s.keys, "_us", "is_emergency"])
+        yield pd.DataFrame(allowed, columns=[*keys, "_us", "is_emergency"])
 
     wanted = df.withWatermark(s.ts, delay).select(*s.keys, s.ts, F.unix_micros(s.ts).alias("_us"), F.coalesce(F.col(emergency).cast("boolean"), F.lit(False)).cast("double").alias("_v"))
     passed = wanted.groupBy(*s.keys).applyInPandasWithState(
