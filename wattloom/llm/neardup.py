@@ -40,8 +40,13 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc, n, c1, c2 (128-bit hash of the set) and tokens (minwise) of every document."""
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """One byte a token. Different tokens share a byte once in 256 times, which may only add candidates."""
+    return (mix(tokens.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
+def _sets(docs: DataFrame, trees: int) -> DataFrame:
+    """doc, n, c1, c2 (128-bit hash of the set), roots (a minwise token a tree) and tokens (all, a byte each) of every document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -51,13 +56,15 @@ def _sets(docs: DataFrame) -> DataFrame:
                 s = shingle_set(t, hashes)
                 place = np.arange(1, len(s) + 1, dtype=np.uint64)
                 c1, c2 = (int(mix(s * place + np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (3, 7))
-                out.append((len(s), c1, c2, minwise(s).astype("<u4").tobytes()))
-            columns = list(zip(*out)) or [()] * 4
+                tokens = minwise(s)
+                out.append((len(s), c1, c2, tokens[:trees].astype("<u4").tobytes(), _short(tokens).tobytes()))
+            columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc", "n", "c1", "c2", "tokens"]
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.binary()) for c in columns[3:])],
+                names=["doc", "n", "c1", "c2", "roots", "tokens"],
             )
 
-    return docs.mapInArrow(run, "doc long, n long, c1 long, c2 long, tokens binary")
+    return docs.mapInArrow(run, "doc long, n long, c1 long, c2 long, roots binary, tokens binary")
 
 
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
@@ -66,12 +73,12 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             n = batch.num_rows
-            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").reshape(n, COORDINATES)[:, :trees].astype(np.uint64)
+            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").reshape(n, trees).astype(np.uint64)
             node = mix(tokens * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, trees + 1, dtype=np.uint64)[None, :])
             doc = np.repeat(batch.column(0).to_numpy(), trees)
             yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), pa.array(doc)], names=["node", "doc"])
 
-    return classes.select("doc", "tokens").mapInArrow(run, "node long, doc long")
+    return classes.select("doc", "roots").mapInArrow(run, "node long, doc long")
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
@@ -81,7 +88,7 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
         for batch in batches:
             k = batch.num_rows
             node = batch.column(0).to_numpy().view(np.uint64)
-            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u4").reshape(k, COORDINATES)
+            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(k, COORDINATES)
             nodes = []
             for j in (1, 2):
                 path = mix(node + np.uint64(2 * level + j))
@@ -130,7 +137,7 @@ def _thinned(docs: np.ndarray, pairs: np.ndarray, same: np.ndarray, labels: np.n
 
 def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     docs = group["doc"].to_numpy()
-    return docs, group["n"].to_numpy(), np.frombuffer(b"".join(group["tokens"].to_pylist()), dtype="<u4").reshape(len(docs), COORDINATES)
+    return docs, group["n"].to_numpy(), np.frombuffer(b"".join(group["tokens"].to_pylist()), dtype=np.uint8).reshape(len(docs), COORDINATES)
 
 
 def _in_node(group: pa.Table, threshold: int) -> list[tuple[int, int]]:
@@ -386,11 +393,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     linked with nothing, has no component and is kept. An empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    sets = written(_sets(rows), "minwise")
+    trees = trees or shape(threshold)[0]
+    sets = written(_sets(rows, trees), "minwise")
     some = sets.where("n > 0 AND doc IS NOT NULL")
     same = some.groupBy("c1", "c2", "n").agg(F.min("doc").alias("first"))
     classes = some.join(same.select(F.col("first").alias("doc"), F.col("c1").alias("_1"), F.col("c2").alias("_2")), "doc").where("c1 = _1 AND c2 = _2")
-    classes = classes.select("doc", "n", "tokens").dropDuplicates(["doc"])
+    classes = classes.select("doc", "n", "roots", "tokens").dropDuplicates(["doc"])
     found = linked(classes, rows.where("doc IS NOT NULL"), threshold, trees)
     # a class's documents have its component, found through its first document
     same = same.join(found.select(F.col("doc").alias("first"), "component"), "first", "left")
