@@ -183,6 +183,21 @@ def _pivot_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     return parts.groupBy("node", "part").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Pairs that no component of ``found`` holds."""
+    if found is None:
+        return pairs
+    for end in "ab":
+        pairs = pairs.join(found.select(F.col("doc").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the nodes that hold more than one component."""
+    label = _labelled(rows.select("node", "doc"), found).groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return rows.join(label.where("lo < hi").select("node"), "node", "left_semi")
+
+
 def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """Rows with the component of their document, its own id if it has none."""
     if found is None:
@@ -297,15 +312,19 @@ def shape(threshold: int) -> tuple[int, int]:
     raise ValueError(f"{COORDINATES} coordinates are too few for a threshold of {threshold}")
 
 
-def branched(classes: DataFrame, trees: int | None = None, threshold: int = 85, depth: int | None = None, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
-    """Nodes of at most ``small`` sets, as rows of node, doc, n, tokens and size; and those still larger at the last level.
+def branched(
+    classes: DataFrame, docs: DataFrame, trees: int | None = None, threshold: int = 85, depth: int | None = None, small: int = SMALL
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Nodes of at most ``small`` sets, as rows of node, doc, n, tokens and size; those still larger at the last level; links.
 
     Two sets with similarity s share a tree's first node with probability s. Nodes of at most ``small`` sets end
-    there; larger ones branch, up to ``depth`` levels. Trees and levels not given are those of :func:`shape`.
+    there. Larger ones are first tied through pivots, by confirmed links. A node that then lies in one component
+    has nothing left to find and ends; others branch, up to ``depth`` levels. Trees and levels not given are
+    those of :func:`shape`.
     """
     fit = shape(threshold) if trees is None or depth is None else (trees, depth)
     trees, depth = trees or fit[0], depth or fit[1]
-    nodes, done, large = _roots(classes, trees), [], None
+    nodes, done, large, links, found = _roots(classes, trees), [], None, None, None
     sets = classes.select("doc", "n", "tokens")
     for level in range(depth):
         count = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -318,9 +337,18 @@ def branched(classes: DataFrame, trees: int | None = None, threshold: int = 85,
         if large.isEmpty():
             large = None
             break
+        tied = cut(confirm(cut(_apart(_pivot_pairs(large, threshold), found)), docs, threshold))
+        links = tied if links is None else links.union(tied)
+        found = components(links)
+        large = _mixed(large, found)
+        if large.isEmpty():
+            large = None
+            break
+        if level == depth - 1:
+            break
         # a node that all of its sets enter twice counts them once
         nodes = _branches(large, level).dropDuplicates(["node", "doc"])
-    return reduce(DataFrame.union, done), large
+    return reduce(DataFrame.union, done), large, links
 
 
 def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int | None = None) -> DataFrame:
@@ -329,14 +357,12 @@ def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int | Non
     Large groups are tied first, through the pivots of their nodes. All other pairs of a node are then
     compared unless the links confirmed so far already join them.
     """
-    small, large = branched(classes, trees, threshold)
-    if large is None:
-        return components(confirm(cut(small_pairs(small, None, threshold).distinct()), docs, threshold))
-    links = cut(confirm(cut(_pivot_pairs(large, threshold)), docs, threshold))
-    found = components(links)
-    links = links.union(cut(rest_links(large, found, docs, threshold)))
-    found = components(links)
-    return components(links.union(confirm(cut(small_pairs(small, found, threshold).distinct()), docs, threshold)))
+    small, large, links = branched(classes, docs, trees, threshold)
+    found = None if links is None else components(links)
+    if large is not None:
+        links = links.union(cut(rest_links(large, found, docs, threshold)))
+        found = components(links)
+    return components(confirm(cut(small_pairs(small, found, threshold).distinct()), docs, threshold) if links is None else links.union(confirm(cut(small_pairs(small, found, threshold).distinct()), docs, threshold)))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
