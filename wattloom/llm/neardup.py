@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
@@ -21,7 +21,6 @@ SMALL = 48
 PART, BLOCK = 1000, 500  # sets of a large node in one group, and sets compared with them
 BLOCK_ITEMS = 500_000  # shingles of the sets on either side of one group
 PIVOTS = 16
-SLACK = 0.17  # estimates this far below the threshold are still confirmed
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -100,13 +99,24 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("node", "doc", "n", "tokens").mapInArrow(run, "node long, doc long, n long, tokens binary")
 
 
+@lru_cache
+def least_shared(threshold: int) -> int:
+    """How many coordinates two sets at the threshold share at least, but with probability ``MISSED``; fewer are no candidates."""
+    s, below = threshold / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k)
+        if below > MISSED:
+            return k
+    return COORDINATES
+
+
 def _estimates(tokens: np.ndarray, sizes: np.ndarray, threshold: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of rows, those whose sizes allow a link, and how many coordinates they share."""
     a, b = sizes[i], sizes[j]
     fits = 100 * np.minimum(a, b) >= threshold * np.maximum(a, b)
     i, j = i[fits], j[fits]
     same = np.concatenate([(tokens[i[k : k + 2000]] == tokens[j[k : k + 2000]]).sum(axis=1) for k in range(0, len(i), 2000)] or [np.empty(0, dtype=np.int64)])
-    good = same >= (threshold / 100 - SLACK) * COORDINATES
+    good = same >= least_shared(threshold)
     return np.stack((i[good], j[good])), same[good]
 
 
@@ -140,13 +150,17 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, group["n"].to_numpy(), np.frombuffer(b"".join(group["tokens"].to_pylist()), dtype=np.uint8).reshape(len(docs), COORDINATES)
 
 
-def _in_node(group: pa.Table, threshold: int) -> list[tuple[int, int]]:
+def _in_node(group: pa.Table, threshold: int, thin: bool) -> list[tuple[int, int]]:
     """Candidates of a small node: all pairs are compared but those with equal labels."""
     docs, sizes, tokens = _columns(group)
     labels = group["label"].to_numpy()
     i, j = np.triu_indices(len(docs), 1)
     apart = labels[i] != labels[j]
-    return _thinned(docs, *_estimates(tokens, sizes, threshold, i[apart], j[apart]), labels)
+    pairs, same = _estimates(tokens, sizes, threshold, i[apart], j[apart])
+    if thin:
+        return _thinned(docs, pairs, same, labels)
+    ids = docs[pairs]
+    return list(zip(ids.min(axis=0).tolist(), ids.max(axis=0).tolist()))
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.Table:
@@ -205,11 +219,11 @@ def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found.select("doc", "component"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
 
 
-def small_pairs(small: DataFrame, found: DataFrame | None, threshold: int) -> DataFrame:
-    """Candidates within small nodes, but for pairs that one component of ``found`` already holds."""
+def small_pairs(small: DataFrame, found: DataFrame | None, threshold: int, thin: bool = True) -> DataFrame:
+    """Candidates within small nodes, but for pairs that one component of ``found`` already holds; ``thin``: see :func:`_thinned`."""
 
     def compare(group: pa.Table) -> pa.Table:
-        return _pairs(_in_node(group, threshold))
+        return _pairs(_in_node(group, threshold, thin))
 
     return _labelled(small, found).select("node", "doc", "n", "tokens", "label").groupBy("node").applyInArrow(compare, "a long, b long")
 
@@ -355,14 +369,21 @@ def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int | Non
     """doc, component of every set with a link.
 
     Large groups are tied first, through the pivots of their nodes. All other pairs of a node are then
-    compared unless the links confirmed so far already join them.
+    compared unless the links confirmed so far already join them. In small nodes, chains of pairs that look the
+    same stand for the pairs they tie; where such a chain is not confirmed, those pairs are compared after it.
     """
     small, large, links = branched(classes, docs, trees, threshold)
     found = None if links is None else components(links)
     if large is not None:
         links = links.union(cut(rest_links(large, found, docs, threshold)))
         found = components(links)
-    return components(confirm(cut(small_pairs(small, found, threshold).distinct()), docs, threshold) if links is None else links.union(confirm(cut(small_pairs(small, found, threshold).distinct()), docs, threshold)))
+    pairs = cut(small_pairs(small, found, threshold).distinct())
+    tied = cut(confirm(pairs, docs, threshold))
+    links = tied if links is None else links.union(tied)
+    found = components(links)
+    # pairs left out for a chain between them, if not all of the chain was confirmed
+    rest = cut(small_pairs(small, found, threshold, thin=False).distinct().join(pairs, ["a", "b"], "left_anti"))
+    return found if rest.isEmpty() else components(links.union(confirm(rest, docs, threshold)))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
