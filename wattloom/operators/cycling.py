@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.scalar import clip, cycling_risk_additive
 from wattloom.operators.grids import fill_grid
-from wattloom.operators.windows import rolling_columns, time_frame, with_direction_changes
-from wattloom.series import ORD, SLICE, Series, home, micros, plain, running, with_neighbours, with_time
+from wattloom.operators.windows import over_time, rolling_columns, with_direction_changes
+from wattloom.series import ORD, Series, home, micros, plain, running, with_neighbours
 
 
 def minutes(start: Column | str, end: Column | str) -> Column:
@@ -74,17 +74,13 @@ def short_cycles(cycles: DataFrame, limit_minutes: float = 10.0) -> DataFrame:
 
 
 def _scored(df: DataFrame, s: Series, width: str, weights: tuple[float, float, float]) -> DataFrame:
-    """Home rows with sign, turn, next_sign, next_turn and score."""
+    """Rows with their slices, sign, turn, next_sign, next_turn and score."""
     near = with_direction_changes(df, s).withColumns(
         {"next_sign": F.lead("sign").over(s.window), "next_turn": F.lead("turn").over(s.window)}
     )
-    near = home(near).drop(SLICE)
-    frame = time_frame(s, width)
-    mean, std = F.avg(s.value).over(frame), F.stddev_samp(s.value).over(frame)
-    swing = F.max(s.value).over(frame) - F.min(s.value).over(frame)
-    stats = with_time(near.drop(ORD), s, back=width).withColumns(
-        {"_mean": mean, "_std": std, "_swing": swing, "_turns": F.avg("turn").over(frame)}
-    )
+    near = home(near)
+    frames = {"_mean": ("mean", s.value), "_std": ("std", s.value), "_low": ("min", s.value), "_high": ("max", s.value), "_turns": ("mean", "turn")}
+    stats = over_time(near, s, back=frames, reach=micros(width) - 1).withColumn("_swing", F.col("_high") - F.col("_low"))
     w_std, w_swing, w_turn = weights
     parts = [
         w * F.coalesce(F.try_divide(F.col(c), "_mean"), F.lit(0.0))
@@ -94,7 +90,7 @@ def _scored(df: DataFrame, s: Series, width: str, weights: tuple[float, float, f
     # a spread around a zero mean counts as unbounded
     unbounded = (F.col("_mean") == 0) & ((F.col("_std") > 0) | (F.col("_swing") > 0))
     stats = stats.withColumn("score", F.when(unbounded, 1.0).otherwise(clip(blend, 0, 1)))
-    return home(stats).drop("_mean", "_std", "_swing", "_turns")
+    return stats.drop("_mean", "_std", "_low", "_high", "_swing", "_turns")
 
 
 SCORE_WEIGHTS = (0.4, 0.4, 2.0)

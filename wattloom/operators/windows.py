@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wattloom.series import ORD, SLICE, Series, micros, plain, running, sliced, with_neighbours, with_time
+from wattloom.series import ORD, SLICE, Series, micros, plain, running, sliced, with_neighbours
 
 STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
@@ -50,15 +50,75 @@ def power_gradient(df: DataFrame, s: Series, n: int = 6, out: str = "gradient",
     return plain(near.withColumn(out, F.abs(mean) if absolute else mean)).drop("_d")
 
 
-def time_frame(s: Series, width: str):
-    """The frame ``(t - width, t]`` - open on the left."""
-    return s.window.rangeBetween(-micros(width) + 1, 0)
+_BLOCK, _POS, _KIND = "_block", "_pos", "_kind"
+_OWN, _FORMER, _LATTER = 0, 1, 2
+_PARTS = {
+    "mean": {"n": F.count, "sum": F.sum},
+    "std": {"n": F.count, "sum": F.sum, "var": F.var_pop},
+    "min": {"min": F.min},
+    "max": {"max": F.max},
+}
+
+
+def _merged(stat: str, a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """A statistic of two sets of rows from their parts."""
+    if stat in ("min", "max"):
+        return (F.least if stat == "min" else F.greatest)(a[stat], b[stat])
+    n = a["n"] + b["n"]
+    total = F.coalesce(a["sum"], F.lit(0)) + F.coalesce(b["sum"], F.lit(0))
+    if stat == "mean":
+        return F.when(n > 0, total / n)
+    # spreads add up with the distance of the means: nothing is subtracted that could cancel
+    apart = b["sum"] / b["n"] - a["sum"] / a["n"]
+    between = F.when((a["n"] > 0) & (b["n"] > 0), apart * apart * (a["n"] / n) * b["n"]).otherwise(0.0)
+    within = F.coalesce(a["var"] * a["n"], F.lit(0.0)) + F.coalesce(b["var"] * b["n"], F.lit(0.0))
+    return F.when(n > 1, F.sqrt((within + between) / (n - 1)))
+
+
+def over_time(df: DataFrame, s: Series, back: Mapping[str, tuple[str, str]] | None = None, ahead: Mapping[str, tuple[str, str]] | None = None, reach: int = 0) -> DataFrame:
+    """Add statistics of the rows in ``[t - reach, t]`` (``back``) and in ``[t, t + reach]`` (``ahead``), microseconds.
+
+    Both map a new column to (statistic, column). Time is cut into blocks as long as the frame, so a frame is the
+    end of one block and the start of the next. Rows of the block before are moved on by ``reach``: those in the frame of a
+    row then stand at or after it, and the rows of its own block at or before it. Both sides are running aggregates,
+    so a row costs the same whatever its frame holds. Rows without a time are dropped.
+    """
+    back, ahead = back or {}, ahead or {}
+    kinds = [_OWN] + [_FORMER] * bool(back) + [_LATTER] * bool(ahead)
+    us, kind, length = F.unix_micros(s.ts), F.col(_KIND), reach + 1
+    used = dict.fromkeys(c for _, c in (*back.values(), *ahead.values()))
+    place = F.expr(f"(unix_micros({s.ts}) - pmod(unix_micros({s.ts}), {length}L)) div {length}L")
+    dealt = df.filter(F.col(s.ts).isNotNull()).select("*", F.explode(F.array(*[F.lit(k) for k in kinds])).alias(_KIND))
+    rest = [c for c in df.columns if c not in s.keys and c not in used]
+    dealt = dealt.select(
+        *s.keys,
+        *used,
+        # a moved row is there for its values only
+        *[F.when(kind == _OWN, F.col(c)).alias(c) for c in rest],
+        _KIND,
+        (place + F.when(kind == _FORMER, 1).when(kind == _LATTER, -1).otherwise(0)).alias(_BLOCK),
+        (us + F.when(kind == _FORMER, reach).when(kind == _LATTER, -reach).otherwise(0)).alias(_POS),
+    )
+    block = Window.partitionBy(*s.keys, _BLOCK)
+    so_far = block.orderBy(F.col(_POS).asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = block.orderBy(F.col(_POS).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    parts: dict[str, Column] = {}
+
+    def part(stat: str, col: str, of: int, over: WindowSpec, side: str) -> dict[str, Column]:
+        names = {k: f"_{k}_{of}{side}_{col}" for k in _PARTS[stat]}
+        parts.update({names[k]: fn(F.when(kind == of, F.col(col))).over(over) for k, fn in _PARTS[stat].items()})
+        return {k: F.col(n) for k, n in names.items()}
+
+    out = {name: _merged(stat, part(stat, c, _FORMER, from_here, "f"), part(stat, c, _OWN, so_far, "s")) for name, (stat, c) in back.items()}
+    out |= {name: _merged(stat, part(stat, c, _OWN, from_here, "f"), part(stat, c, _LATTER, so_far, "s")) for name, (stat, c) in ahead.items()}
+    framed = dealt.withColumns(parts).filter(kind == _OWN)
+    return framed.select(*df.columns, *[v.alias(k) for k, v in out.items()])
 
 
 def rolling_time(df: DataFrame, s: Series, width: str = "10 minutes", prefix: str = "roll", stats: Sequence[str] = tuple(STATS)) -> DataFrame:
-    frame = time_frame(s, width)
-    cols = {f"{prefix}_{k}": STATS[k](s.value).over(frame) for k in stats}
-    return plain(with_time(df, s, back=width).withColumns(cols))
+    """Statistics over ``(t - width, t]`` - open on the left."""
+    return over_time(df, s, back={f"{prefix}_{k}": (k, s.value) for k in stats}, reach=micros(width) - 1)
 
 
 def with_direction_changes(df: DataFrame, s: Series) -> DataFrame:
