@@ -60,11 +60,32 @@ def forest(features: Sequence[str], label: str, trees: int = 100, depth: int = 1
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), classifier])
 
 
+#: rows above which trees are grown on evenly dealt partitions, and rows of such a partition at most
+PART_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The rows in even partitions of at most ``PART_ROWS``, in a fixed order.
+
+    Features come in the partitions of their windows, a few large ones; each level of the trees reads all of them.
+    """
+    if rows <= PART_ROWS:
+        return df
+    n = max(-(-rows // PART_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # trees draw rows by their position
+    return df.repartition(n).sortWithinPartitions(*df.columns)
+
+
 def _fit(df: DataFrame, features: Sequence[str], label: str, trees: int, depth: int, seed: int, balanced: bool) -> PipelineModel:
-    if not balanced:
-        return forest(features, label, trees, depth, seed).fit(df.select(*features, label))
-    weighted = balanced_weights(df, label).select(*features, label, "weight")
-    return forest(features, label, trees, depth, seed, "weight").fit(weighted)
+    used = balanced_weights(df, label).select(*features, label, "weight") if balanced else df.select(*features, label)
+    dealt = spread(used, df.count())
+    if dealt is not used:
+        dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return forest(features, label, trees, depth, seed, "weight" if balanced else None).fit(dealt)
+    finally:
+        if dealt is not used:
+            dealt.unpersist()
 
 
 def importances_of(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
