@@ -19,9 +19,9 @@ def odd(spark):
     """Two series with repeated moments, missing values and a missing time; a missing key is a series, too."""
     rng = random.Random(7)
     rows = [(k, rng.randrange(0, 4000) * 250_000, rng.choice([None, rng.uniform(-900, 900), 250.1])) for k in ("a", "b", None) for _ in range(300)]
-    rows += rows[:40] + [("a", None, 5.0)]
+    rows += rows[:40] + [("a", None, 5.0), ("a", None, 8.5)]
     df = spark.createDataFrame(rows, "entity_id string, us long, value double")
-    return df.select("entity_id", F.timestamp_micros("us").alias("ts"), "value"), [r for r in rows if r[1] is not None]
+    return df.select("entity_id", F.timestamp_micros("us").alias("ts"), "value"), rows
 
 
 def sliding(df):
@@ -36,7 +36,8 @@ def test_rolling_time_of_odd_rows(odd, width):
     got = windows.rolling_time(df, S, width).withColumn("us", F.unix_micros("ts")).collect()
     assert len(got) == len(rows)
     for r in got:
-        held = [v for k, u, v in rows if k == r.entity_id and r.us - span < u <= r.us and v is not None]
+        # rows without a time are in each other's frames
+        held = [v for k, u, v in rows if k == r.entity_id and v is not None and (u is r.us is None or None not in (u, r.us) and r.us - span < u <= r.us)]
         want = (statistics.fmean(held), statistics.stdev(held) if len(held) > 1 else None, min(held), max(held)) if held else (None,) * 4
         for x, y in zip((r.roll_mean, r.roll_std, r.roll_min, r.roll_max), want):
             assert (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-6))
@@ -59,6 +60,6 @@ def test_event_window_of_odd_rows(odd):
     got = found.withColumn("us", F.unix_micros("ts")).collect()
     assert len(got) == sum(v is not None and v > 600 for _, _, v in rows) > 20
     for r in got:
-        own = [(u, v) for k, u, v in rows if k == r.entity_id and v is not None]
+        own = [(u, v) for k, u, v in rows if k == r.entity_id and None not in (u, v)]
         assert r.value_before == pytest.approx(statistics.fmean(v for u, v in own if r.us - 90_000_000 <= u <= r.us))
         assert r.value_after == pytest.approx(statistics.fmean(v for u, v in own if r.us <= u <= r.us + 90_000_000))

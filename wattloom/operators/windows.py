@@ -81,14 +81,14 @@ def over_time(df: DataFrame, s: Series, back: Mapping[str, tuple[str, str]] | No
     Both map a new column to (statistic, column). Time is cut into blocks as long as the frame, so a frame is the
     end of one block and the start of the next. Rows of the block before are moved on by ``reach``: those in the frame of a
     row then stand at or after it, and the rows of its own block at or before it. Both sides are running aggregates,
-    so a row costs the same whatever its frame holds. Rows without a time are dropped.
+    so a row costs the same whatever its frame holds. The frame of a row without a time is all such rows of its series.
     """
     back, ahead = back or {}, ahead or {}
     kinds = [_OWN] + [_FORMER] * bool(back) + [_LATTER] * bool(ahead)
     us, kind, length = F.unix_micros(s.ts), F.col(_KIND), reach + 1
     used = dict.fromkeys(c for _, c in (*back.values(), *ahead.values()))
     place = F.expr(f"(unix_micros({s.ts}) - pmod(unix_micros({s.ts}), {length}L)) div {length}L")
-    dealt = df.filter(F.col(s.ts).isNotNull()).select("*", F.explode(F.array(*[F.lit(k) for k in kinds])).alias(_KIND))
+    dealt = df.select("*", F.explode(F.array(*[F.lit(k) for k in kinds])).alias(_KIND)).filter((kind == _OWN) | F.col(s.ts).isNotNull())
     rest = [c for c in df.columns if c not in s.keys and c not in used]
     dealt = dealt.select(
         *s.keys,
