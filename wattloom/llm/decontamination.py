@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    # split at what is between words: regexp_extract_all took six times as long
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def _let(value: Column, use) -> Column:
@@ -21,8 +22,12 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _gram(ws: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(*(F.get(ws, i + j) for j in range(k)))
+def _gram(hashes: Column, i: Column, k: int) -> Column:
+    return F.xxhash64(*(F.get(hashes, i + j) for j in range(k)))
+
+
+def _hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
 
 def _context(ws: Column, h: Column, p: Column, k: int, reach: int) -> Column:
@@ -42,13 +47,17 @@ def fingerprints(ws: Column, k: int, window: int) -> Column:
         places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - window), smallest))
         return F.transform(places, lambda p: _context(ws, F.get(grams, p), p, k, reach))
 
-    grams = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: _gram(ws, i, k))
-    return F.when(F.size(ws) >= window, _let(grams, chosen))
+    def grams(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: _gram(hashes, i, k))
+
+    return F.when(F.size(ws) >= window, _let(_let(_hashes(ws), grams), chosen))
 
 
 def _all_grams(ws: Column, k: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda p: _context(ws, _gram(ws, p, k), p, k, 0))
-    return F.when(F.size(ws) >= k, grams)
+    def grams(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda p: _context(ws, _gram(hashes, p, k), p, k, 0))
+
+    return F.when(F.size(ws) >= k, _let(_hashes(ws), grams))
 
 
 def _agree(a: str, b: str) -> Column:
