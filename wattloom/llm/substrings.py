@@ -30,22 +30,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """row, anchor: the distinct anchors of each document."""
+    """doc, own, anchor: the distinct anchors of each row's text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in rows:
-            keys, out, sizes = batch.column(0).to_pylist(), [], []
-            for t in batch.column(1).to_pylist():
+            out, sizes = [], []
+            for t in batch.column(2).to_pylist():
                 a = np.unique(_anchors(hashes.of(utf8_words(t)), window))
                 out.append(a)
                 sizes.append(len(a))
-            names = np.repeat(np.array(keys, dtype=np.int64), sizes)
-            for i in range(0, max(len(names), 1), 200_000):
-                flat = _signed(np.concatenate(out)) if out else np.empty(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 200_000]), pa.array(flat[i : i + 200_000])], names=["doc", "anchor"])
+            doc, own = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
+            flat = _signed(np.concatenate(out)) if out else np.empty(0, dtype=np.int64)
+            for i in range(0, max(len(flat), 1), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in (doc, own, flat)], names=["doc", "own", "anchor"])
 
-    return docs.mapInArrow(run, "doc long, anchor long")
+    return docs.mapInArrow(run, "doc long, own long, anchor long")
 
 
 def _stretches(anchors: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,19 +190,19 @@ def repeated_substrings(
     document, and up to 200,000 hashes.
     """
     # rows of one id are told apart by their texts
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
-    whole = docs.select(
+    rows = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("own"), F.col(text).alias("text"),
         *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []),
     )
-    anchors = written(_anchor_rows(rows.select("doc", "text"), window), "anchors")
+    anchors = written(_anchor_rows(rows.select("doc", "own", "text"), window), "anchors")
     # documents are counted by the smallest and the largest id, and roughly for the split: repeated rows may count twice
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b")
     mine = anchors.join(shared.select("anchor", (F.col("n") > many).alias("hot")), "anchor")
-    mine = mine.groupBy("doc").agg(
+    mine = mine.groupBy("doc", "own").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("few"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("many")
     )
-    parts = _parts(rows.join(mine, "doc").select("doc", "own", "text", "few", "many"), window)
+    # the same columns by the same keys here and in the last join: texts are shuffled once
+    parts = _parts(rows.join(mine, ["doc", "own"]).select("doc", "own", "text", "few", "many", *rows.columns[3:]), window)
     contents = parts.groupBy("route", "c1", "c2").agg(F.min("doc").alias("least"), F.max("body").alias("body"))
     found = _search(contents, window, shard_words).select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), "least", "early")
     hit = parts.select("doc", "own", "c1", "c2", "start", "windows").join(found, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")))
@@ -213,5 +213,5 @@ def repeated_substrings(
     )
     spans = F.when(F.col("doc") > F.col("least"), every).when(F.size("early") > 0, some)
     spans = hit.select("doc", "own", spans.alias("s")).where(F.col("s").isNotNull()).groupBy("doc", "own").agg(F.flatten(F.collect_set("s")).alias("spans"))
-    out = _kept(whole.join(spans, ["doc", "own"], "left").select("doc", "text", "spans", "own", *whole.columns[3:]), window)
+    out = _kept(rows.join(spans, ["doc", "own"], "left").select("doc", "text", "spans", "own", *rows.columns[3:]), window)
     return out.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
