@@ -72,30 +72,37 @@ def stream_zone_flag(df: DataFrame, zones: DataFrame, keys: tuple[str, ...], pow
     return joined.withColumn("in_unstable", in_ranges(F.col(power), F.col("_zones"))).drop("_zones")
 
 
-def _in_order(batches: Iterable[pd.DataFrame], after: int) -> pd.DataFrame:
-    rows = pd.concat(list(batches), ignore_index=True)
-    return rows[rows["_us"] > after].sort_values("_us", kind="stable")
-
-
-_PENDING = "pending_us array<bigint>, pending_v array<double>"
-
-
-def _due(batches: Iterable[pd.DataFrame], pending: tuple[list, list], after: int, state: GroupState, hold: bool) -> tuple[pd.DataFrame, tuple[list, list]]:
-    """Rows to process now, in time order, and the times and values to keep until the watermark has passed them."""
-    if not hold:
-        return _in_order(batches, after), ([], [])
-    held = pd.DataFrame({"_us": np.asarray(pending[0], dtype="int64"), "_v": np.asarray(pending[1], dtype="float64")})
-    new = [b[["_us", "_v"]].astype({"_us": "int64", "_v": "float64"}) for b in batches]
-    rows = _in_order([held, *new], after)
-    passed = rows["_us"] <= state.getCurrentWatermarkMs() * 1000
-    rest = rows[~passed]
-    return rows[passed], (rest["_us"].tolist(), rest["_v"].tolist())
-
-
-def _wake(state: GroupState, pending: tuple[list, list]) -> None:
+# held readings are packed: a state of Python lists takes many times the memory
+_PENDING = "pending_us binary, pending_v binary"
+_CHUNK = 100_000  # rows scored, walked through or given out at once
+
+
+def _due(batches: Iterable[pd.DataFrame], pending: tuple[bytes, bytes], after: int, state: GroupState, hold: bool) -> tuple[np.ndarray, np.ndarray, tuple[bytes, bytes]]:
+    """Times and values to process now, in time order, and those to keep until the watermark has passed them."""
+    us, v = [np.frombuffer(pending[0], dtype="int64")], [np.frombuffer(pending[1], dtype="float64")]
+    for b in batches:
+        b = b[["_us", "_v"]] if hold else b.loc[b["_us"] > after, ["_us", "_v"]]
+        # copies, so that the batch can go
+        us.append(b["_us"].astype("int64").to_numpy(copy=True))
+        v.append(b["_v"].astype("float64").to_numpy(copy=True))
+    us, v = np.concatenate(us), np.concatenate(v)
+    order = np.argsort(us, kind="stable")
+    order = order[np.searchsorted(us, after, side="right", sorter=order) :]
+    us, v = us[order], v[order]
+    now = np.searchsorted(us, state.getCurrentWatermarkMs() * 1000, side="right") if hold else len(us)
+    return us[:now], v[:now], (us[now:].tobytes(), v[now:].tobytes())
+
+
+def _wake(state: GroupState, pending: tuple[bytes, bytes]) -> None:
     """Calls the key again, with or without new rows, once the watermark has passed its first pending row."""
     if pending[0]:
-        state.setTimeoutTimestamp(max(pending[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        first = int(np.frombuffer(pending[0], dtype="int64", count=1)[0])
+        state.setTimeoutTimestamp(max(first // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def _each(us: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, float]]:
+    for i in range(0, len(us), _CHUNK):
+        yield from zip(us[i : i + _CHUNK].tolist(), v[i : i + _CHUNK].tolist())
 
 
 def _timeout(hold: bool) -> str:
@@ -115,9 +122,10 @@ def _risks(values: np.ndarray, jump: float) -> np.ndarray:
     """Risk of each value from itself and the up to 19 before it; 0 for the first four, and where one is missing."""
     out = np.zeros(len(values))
     short = [values[: i + 1][None] for i in range(FIRST - 1, min(HISTORY - 1, len(values)))]
-    whole = [np.lib.stride_tricks.sliding_window_view(values, HISTORY)] if len(values) >= HISTORY else []
+    every = np.lib.stride_tricks.sliding_window_view(values, HISTORY) if len(values) >= HISTORY else []
     at = FIRST - 1
-    for recent in (*short, *whole):
+    # each step below makes an array of 20 values a row
+    for recent in (*short, *(every[i : i + _CHUNK] for i in range(0, len(every), _CHUNK))):
         jumps = (np.abs(np.diff(recent, axis=1)) > jump).sum(axis=1)
         raw = 0.4 * recent.std(axis=1) / 125.0 + 0.4 * np.ptp(recent, axis=1) / 1000.0 + 0.2 * jumps / 10.0
         out[at : at + len(raw)] = np.clip(np.nan_to_num(raw, nan=0.0), 0.0, 1.0)
@@ -130,17 +138,18 @@ def stream_observer(df: DataFrame, s: Series, delay: str = "10 minutes", jump: f
     keys = s.keys  # a description with cuts cannot go to the workers
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last, *pending = state.get if state.exists else ([], -(2**62), [], [])
-        rows, pending = _due(batches, pending, last, state, hold)
-        values = np.concatenate([np.asarray(held, dtype="float64"), rows["_v"].to_numpy(dtype="float64")])
+        held, last, *pending = state.get if state.exists else ([], -(2**62), b"", b"")
+        us, v, pending = _due(batches, pending, last, state, hold)
+        values = np.concatenate([np.asarray(held, dtype="float64"), v])
         scores, history = _risks(values, jump)[len(held) :], values[-HISTORY:].tolist()
-        if len(rows) or pending[0]:
-            state.update((history, int(rows["_us"].iloc[-1]) if len(rows) else last, *pending))
+        if len(us) or pending[0]:
+            state.update((history, int(us[-1]) if len(us) else last, *pending))
             _wake(state, pending)
-        out = pd.DataFrame({k: [key[i]] * len(rows) for i, k in enumerate(keys)})
-        out["_us"], out["value"] = rows["_us"].to_numpy(), rows["_v"].to_numpy()
-        out["instability_score"] = scores
-        yield out
+        for at in range(0, max(len(us), 1), _CHUNK):
+            some = slice(at, at + _CHUNK)
+            out = pd.DataFrame({k: [key[i]] * len(us[some]) for i, k in enumerate(keys)})
+            out["_us"], out["value"], out["instability_score"] = us[some], v[some], scores[some]
+            yield out
 
     scored = (
         _with_micros(df, s, delay)
@@ -178,27 +187,30 @@ def stream_cycles(df: DataFrame, s: Series, on: float = 200.0, off: float = 100.
         if state.exists:
             is_on, counts, start, peak, total, known, n, last, *pending = state.get
         else:
-            is_on, counts, start, peak, total, known, n, last, *pending = False, False, 0, 0.0, 0.0, 0, 0, -(2**62), [], []
+            is_on, counts, start, peak, total, known, n, last, *pending = False, False, 0, 0.0, 0.0, 0, 0, -(2**62), b"", b""
         fresh = last == -(2**62)
-        rows, pending = _due(batches, pending, last, state, hold)
-        done = []
-        for us, value in zip(rows["_us"], rows["_v"]):
-            us, present = int(us), value == value
+        times, values, pending = _due(batches, pending, last, state, hold)
+        done, names = [], [*keys, "_start", "_end", "duration_minutes", "peak_power", "avg_power", "rows"]
+        for us, value in _each(times, values):
+            present = value == value
             was, is_on = is_on, (value > on or (is_on and not value < off)) if present else is_on
             if is_on and not was:
                 counts, start, peak, total, known, n = not fresh, us, float("-inf"), 0.0, 0, 0
             if is_on or was:
                 n += 1
                 if present:
-                    peak, total, known = max(peak, float(value)), total + float(value), known + 1
+                    peak, total, known = max(peak, value), total + value, known + 1
             if was and not is_on and counts:
                 done.append((*key, start, us, (us - start) / 6e7, peak, total / known, n))
+                if len(done) >= _CHUNK:
+                    yield pd.DataFrame(done, columns=names)
+                    done.clear()
             fresh = False
-        if len(rows) or pending[0]:
-            newest = int(rows["_us"].iloc[-1]) if len(rows) else last
+        if len(times) or pending[0]:
+            newest = int(times[-1]) if len(times) else last
             state.update((bool(is_on), bool(counts), start, peak, total, known, n, newest, *pending))
             _wake(state, pending)
-        yield pd.DataFrame(done, columns=[*keys, "_start", "_end", "duration_minutes", "peak_power", "avg_power", "rows"])
+        yield pd.DataFrame(done, columns=names)
 
     found = (
         _with_micros(df, s, delay)
@@ -231,18 +243,18 @@ def stream_cooldown(df: DataFrame, s: Series, minutes: float = 15.0, emergency_m
     longest, keys = int(max(minutes, emergency_minutes) * 60_000), s.keys
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        acted, last, *pending = state.get if state.exists else (-(2**62), -(2**62), [], [])
+        acted, last, *pending = state.get if state.exists else (-(2**62), -(2**62), b"", b"")
         if state.hasTimedOut and not len(pending[0]):
             state.remove()
             return
-        rows, pending = _due(batches, pending, last, state, hold)
+        times, urgents, pending = _due(batches, pending, last, state, hold)
         allowed = []
-        for us, urgent in zip(rows["_us"], rows["_v"]):
+        for us, urgent in _each(times, urgents):
             if us - acted >= (emergency_minutes if urgent else minutes) * 6e7:
-                acted = int(us)
+                acted = us
                 allowed.append((*key, acted, bool(urgent)))
-        if len(rows) or pending[0]:
-            newest = int(rows["_us"].iloc[-1]) if len(rows) else last
+        if len(times) or pending[0]:
+            newest = int(times[-1]) if len(times) else last
             state.update((acted, newest, *pending))
             if pending[0]:
                 _wake(state, pending)
