@@ -31,17 +31,19 @@ class WaveletMatrix:
             self.levels.append((shift, RankBits(bits)))
             self.zeros.append(int(len(bits) - bits.sum()))
             sequence = np.concatenate((sequence[~bits], sequence[bits]))
+        every = np.arange(symbols)
+        self.start = self._down(every, np.zeros((1, symbols), dtype=np.int64))[0]  # where a symbol's run starts on the last level
 
-    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where a symbol's run starts on the last level, and how often it occurs before lo and before hi."""
-        start = np.zeros_like(lo)
+    def _down(self, symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of the first level, several rows of one a symbol, on the last."""
         for (shift, bits), zeros in zip(self.levels, self.zeros):
-            one = (symbol >> shift & 1).astype(bool)
-            ends = np.concatenate((start, lo, hi))
-            ones = bits.rank(ends).astype(np.int64)
-            ends = np.where(np.tile(one, 3), zeros + ones, ends - ones)
-            start, lo, hi = np.split(ends, 3)
-        return start, lo - start, hi - start
+            ones = bits.rank(ends)
+            ends = np.where(symbol >> shift & 1, zeros + ones, ends - ones)
+        return ends
+
+    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often a symbol occurs before lo and before hi."""
+        return tuple(self._down(symbol, np.stack((lo, hi))) - self.start[symbol])
 
 
 class FMIndex:
@@ -72,7 +74,7 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one symbol more in front."""
-        _, before, upto = self.bwt.ranks(symbol, lo, hi)
+        before, upto = self.bwt.ranks(symbol, lo, hi)
         return self.first[symbol] + before, self.first[symbol] + upto
 
     def common(self, length: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 
@@ -11,18 +12,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import WordHashes, gram_hashes, sliding_min, utf8_words, written
+from wattloom.llm.common import mix, sliding_min, utf8_words, written
 from wattloom.llm.fmindex import FMIndex, LeastOwner
 
 GRAM = 8
+CHUNK = 1 << 18  # bytes of text that are hashed together
 _NONE = np.iinfo(np.int64).max
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_END = re.compile(rb"[\x20\x09-\x0D]")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * _ODD)  # a number for each byte and place in a word, modulo 64
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash: the sum of its bytes' numbers. Equal words have equal hashes."""
+    code = np.frombuffer(raw, dtype=np.uint8)
+    inside = ~_SPACE[code]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.empty(0, dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    return starts, np.add.reduceat(_BYTES[(place & 63) << 8 | code[inside]], first)
 
 
 def _anchors(h: np.ndarray, window: int) -> np.ndarray:
     """Anchor of each window of words: the smallest hash of its grams. Equal windows have equal anchors."""
     if len(h) < window:
         return np.empty(0, dtype=np.uint64)
-    return sliding_min(gram_hashes(h, min(GRAM, window)), window - min(GRAM, window) + 1)
+    k = min(GRAM, window)
+    grams = h[: len(h) - k + 1].copy()
+    for i in range(1, k):
+        grams *= _ODD
+        grams += h[i : len(h) - k + 1 + i]
+    return sliding_min(mix(grams), window - k + 1)
+
+
+def _text_anchors(texts: list[str | None], window: int) -> Iterator[np.ndarray]:
+    """Anchors of each text's windows. Short texts are hashed together, long ones in parts that end between words."""
+    held, size = [], 0
+
+    def together() -> Iterator[np.ndarray]:
+        starts, h = _word_hashes(b"\n".join(held))
+        anchors = _anchors(h, window)
+        ends = np.searchsorted(starts, np.cumsum([len(raw) + 1 for raw in held])).tolist()
+        # windows that reach into the next text belong to none
+        yield from (anchors[a : max(a, b - window + 1)] for a, b in zip([0, *ends], ends))
+
+    for t in texts:
+        raw = t.encode("utf-8", "surrogatepass") if t else b""
+        if held and size + len(raw) > CHUNK:
+            yield from together()
+            held, size = [], 0
+        if len(raw) <= CHUNK:
+            held.append(raw)
+            size += len(raw)
+            continue
+        parts, at = [], 0
+        while at < len(raw):
+            end = _END.search(raw, at + CHUNK)
+            end = end.start() if end else len(raw)
+            parts.append(_word_hashes(raw[at:end])[1])
+            at = end
+        yield _anchors(np.concatenate(parts), window)
+    if held:
+        yield from together()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -33,13 +88,9 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     """doc, own, anchor: the distinct anchors of each row's text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in rows:
-            out, sizes = [], []
-            for t in batch.column(2).to_pylist():
-                a = np.unique(_anchors(hashes.of(utf8_words(t)), window))
-                out.append(a)
-                sizes.append(len(a))
+            out = [np.unique(a) for a in _text_anchors(batch.column(2).to_pylist(), window)]
+            sizes = [len(a) for a in out]
             doc, own = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
             flat = _signed(np.concatenate(out)) if out else np.empty(0, dtype=np.int64)
             for i in range(0, max(len(flat), 1), 200_000):
@@ -66,7 +117,7 @@ def _parts(docs: DataFrame, window: int) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent, out = WordHashes(), OrderedDict(), []
+        sent, out = OrderedDict(), []
 
         def flush() -> pa.RecordBatch:
             kinds = [pa.int64()] * 7 + [pa.binary()]
@@ -76,9 +127,9 @@ def _parts(docs: DataFrame, window: int) -> DataFrame:
             return batch
 
         for batch in rows:
-            for doc, own, text, few, many in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            doc_, own_, texts, few_, many_ = (batch.column(i).to_pylist() for i in range(5))
+            for doc, own, text, few, many, anchors in zip(doc_, own_, texts, few_, many_, _text_anchors(texts, window)):
                 words = utf8_words(text)
-                anchors = _anchors(hashes.of(words), window)
                 hot = np.isin(anchors, np.array(many or [], dtype=np.int64).view(np.uint64))
                 chosen = hot | np.isin(anchors, np.array(few or [], dtype=np.int64).view(np.uint64))
                 for first, n in zip(*_stretches(anchors, hot)):
