@@ -77,6 +77,6 @@ class PieceIds:
 
 
 @lru_cache(maxsize=4)
-def piece_ids(vocabulary: str) -> PieceIds:
+def piece_ids(vocabulary: str, bound: int = 2_000_000) -> PieceIds:
     """One cache a worker process."""
-    return PieceIds(vocabulary)
+    return PieceIds(vocabulary, bound)
