@@ -21,6 +21,7 @@ SMALL = 48
 PART, BLOCK = 1000, 500  # sets of a large node in one group, and sets compared with them
 BLOCK_ITEMS = 500_000  # shingles of the sets on either side of one group
 PIVOTS = 16
+PIECE = 200_000  # links that one task contracts
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -87,16 +88,15 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
         for batch in batches:
             k = batch.num_rows
             node = batch.column(0).to_numpy().view(np.uint64)
-            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(k, COORDINATES)
+            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(k, COORDINATES)
             nodes = []
             for j in (1, 2):
                 path = mix(node + np.uint64(2 * level + j))
                 token = tokens[np.arange(k), (path % np.uint64(COORDINATES)).astype(np.int64)].astype(np.uint64)
                 nodes.append(mix(path ^ mix(token)).view(np.int64))
-            again = pa.array(np.tile(np.arange(k), 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), *(batch.column(i).take(again) for i in (1, 2, 3))], names=["node", "doc", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), batch.column(1).take(pa.array(np.tile(np.arange(k), 2)))], names=["node", "doc"])
 
-    return rows.select("node", "doc", "n", "tokens").mapInArrow(run, "node long, doc long, n long, tokens binary")
+    return rows.select("node", "doc", "tokens").mapInArrow(run, "node long, doc long")
 
 
 @lru_cache
@@ -328,8 +328,8 @@ def shape(threshold: int) -> tuple[int, int]:
 
 def branched(
     classes: DataFrame, docs: DataFrame, trees: int | None = None, threshold: int = 85, depth: int | None = None, small: int = SMALL
-) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Nodes of at most ``small`` sets, as rows of node, doc, n, tokens and size; those still larger at the last level; links.
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
+    """Nodes of at most ``small`` sets, as rows of node, doc, n, tokens and size; those still larger at the last level; links and their components.
 
     Two sets with similarity s share a tree's first node with probability s. Nodes of at most ``small`` sets end
     there. Larger ones are first tied through pivots, by confirmed links. A node that then lies in one component
@@ -342,9 +342,7 @@ def branched(
     sets = classes.select("doc", "n", "tokens")
     for level in range(depth):
         count = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        rows = nodes.join(count, "node")
-        if level == 0:
-            rows = rows.join(sets, "doc")
+        rows = nodes.join(count, "node").join(sets, "doc")
         rows = written(rows.select("node", "doc", "n", "tokens", "size"), f"nodes{level}")
         done.append(rows.where(F.col("size") <= small))
         large = rows.where(F.col("size") > small)
@@ -354,15 +352,16 @@ def branched(
         tied = cut(confirm(cut(_apart(_pivot_pairs(large, threshold), found)), docs, threshold))
         links = tied if links is None else links.union(tied)
         found = components(links)
-        large = _mixed(large, found)
+        # written, as the next level and the last comparison read it several times
+        large = written(_mixed(large, found), f"mixed{level}")
         if large.isEmpty():
             large = None
             break
         if level == depth - 1:
             break
-        # a node that all of its sets enter twice counts them once
-        nodes = _branches(large, level).dropDuplicates(["node", "doc"])
-    return reduce(DataFrame.union, done), large, links
+        # without tokens, and written, as nodes are counted first and joined with the counts after
+        nodes = written(_branches(large, level), f"branches{level}")
+    return reduce(DataFrame.union, done), large, links, found
 
 
 def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int | None = None) -> DataFrame:
@@ -372,8 +371,7 @@ def linked(classes: DataFrame, docs: DataFrame, threshold: int, trees: int | Non
     compared unless the links confirmed so far already join them. In small nodes, chains of pairs that look the
     same stand for the pairs they tie; where such a chain is not confirmed, those pairs are compared after it.
     """
-    small, large, links = branched(classes, docs, trees, threshold)
-    found = None if links is None else components(links)
+    small, large, links, found = branched(classes, docs, trees, threshold)
     if large is not None:
         links = links.union(cut(rest_links(large, found, docs, threshold)))
         found = components(links)
@@ -405,25 +403,59 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """u, v: links with the same components, each document tied to the smallest one that ``PIECE`` links of its task reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], names=["u", "v"])
+
+        held = 0
+        for batch in batches:
+            if held + batch.num_rows > PIECE and held:
+                yield stars()
+                held = 0
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+            held += batch.num_rows
+        yield stars()
+
+    return links.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc, component: the smallest document each linked document reaches.
 
-    Alternating stars: neighbours are tied to the smallest of a neighbourhood until nothing changes. Minima are
-    aggregated before they meet the links, and lineage is cut each round.
+    Pieces of up to ``PIECE`` links are contracted first, each in a task. Of several pieces, alternating stars do the
+    rest: neighbours are tied to the smallest of a neighbourhood until nothing changes. Minima are aggregated before
+    they meet the links, and lineage is cut each round.
     """
     links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    pieces = -(-links.count() // PIECE)
+    links = cut(_contracted(links.coalesce(max(1, pieces))))
     state = None
-    while True:
+    while pieces > 1:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = up.groupBy("u").agg(F.min("v").alias("m"))
         links = up.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         links = cut(links.select("e.u", "e.v").where("u <> v").distinct())
         new = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
-            return links.select(F.col("u").alias("doc"), F.col("v").alias("component"))
+            break
         state = new
+    return links.select(F.col("u").alias("doc"), F.col("v").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id", text: str = "text", trees: int | None = None) -> DataFrame:
