@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 
@@ -14,6 +15,7 @@ import numpy as np
 # Python's \s holds all of Unicode's white space and four control characters more; where the two differ
 # nothing is cut, which is always safe.
 CUT = re.compile(r"(?= \S)")
+NO_CUT = re.compile(r" (?!\S)")
 
 
 @lru_cache(maxsize=4)
@@ -27,25 +29,36 @@ def tokenizer(vocabulary: str):
 
 
 def pieces(text: str) -> list[str]:
-    return CUT.split(text)
+    # where every space may be cut, plain string methods do it in a fifth of the time
+    return CUT.split(text) if "\0" in text or NO_CUT.search(text) else text.replace(" ", "\0 ").split("\0")
 
 
 class PieceIds:
     """Ids of texts as little-endian unsigned 32-bit integers; remembers up to ``bound`` pieces."""
 
     def __init__(self, vocabulary: str, bound: int = 2_000_000):
-        self.encode, self.bound, self.known = tokenizer(vocabulary).encode, bound, {}
+        known = tokenizer(vocabulary)
+        self.encode, self.fast, self.bound, self.known = known.encode, known.encode_batch_fast, bound, {}
+        # a special string that ends whatever is around it, and its id; a normalizer would start anew after each
+        plain = ((i, t.content) for i, t in known.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word))
+        self.end = next(plain, None) if known.normalizer is None else None
 
     def _learn(self, pieces: set[str]) -> None:
         """Encodes new pieces. Those with a space in front only are encoded together, as one text, as that is
-        where a text may be cut; ids go to the piece in which their first character lies."""
-        alone = [p for p in pieces if not (len(p) > 1 and p[0] == " " and p.count(" ") == 1)]
+        where a text may be cut; with a special string after each, whose id then ends the piece's ids, or else ids
+        go to the piece in which their first character lies."""
+        end, text = self.end or (None, None)
+        alone = [p for p in pieces if not (len(p) > 1 and p[0] == " " and p.count(" ") == 1) or text and text in p]
         for p in alone:
             self.known[p] = np.array(self.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
         joint = list(pieces.difference(alone))
-        if joint:
+        if joint and text:
+            found = np.array(self.fast([text.join([*joint, ""])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends, ids = np.flatnonzero(found == end).tolist(), found.tobytes()
+            self.known.update((p, ids[4 * a : 4 * b]) for p, a, b in zip(joint, [0, *(b + 1 for b in ends)], ends))
+        elif joint:
             found = self.encode("".join(joint), add_special_tokens=False)
-            starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64)
+            starts = np.fromiter(map(itemgetter(0), found.offsets), dtype=np.int64)
             ids = np.array(found.ids, dtype="<u4").tobytes()
             ends = np.searchsorted(starts, np.cumsum([len(p) for p in joint])).tolist()
             self.known.update((p, ids[4 * a : 4 * b]) for p, a, b in zip(joint, [0, *ends], ends))
